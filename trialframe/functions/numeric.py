@@ -17,7 +17,8 @@ def half_even(c: Column, digits: int = 0) -> Column:
 
 
 def percent_label(share: Column) -> Column:
-    return F.format_string("%.2f%%", share * 100)
+    """Percent with two decimals, halves rounded to even."""
+    return F.format_string("%.2f%%", F.bround(share * 100, 2))
 
 
 def mark_or_ns(p: Column, alpha: float = 0.05) -> Column:

@@ -84,6 +84,11 @@ def read_typed(df: DataFrame, schema: T.StructType | str) -> DataFrame:
     return normalise_missing(typed)
 
 
-def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
-    """Columnar table that carries its own schema."""
-    return normalise_missing(spark.read.parquet(path))
+def read_snapshot(spark: SparkSession, path: str, foreign: bool = False) -> DataFrame:
+    """Columnar table that carries its own schema.
+
+    A table from elsewhere may hold NaN; with ``foreign`` it becomes NULL. Our own
+    snapshots never do, and reading them as they are keeps filters pushed down.
+    """
+    df = spark.read.parquet(path)
+    return normalise_missing(df) if foreign else df

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+from .readers import normalise_missing
+
 # A result with at most this many rows goes out as one file.
 ONE_FILE_ROWS = 1_000_000
 
@@ -11,7 +13,7 @@ ONE_FILE_ROWS = 1_000_000
 def write_snapshot(df: DataFrame, base: str, run_date: str) -> str:
     """Write the table under its run date; an earlier run of that date is replaced."""
     path = f"{base.rstrip('/')}/run_date={run_date}"
-    df.write.mode("overwrite").parquet(path)
+    normalise_missing(df).write.mode("overwrite").parquet(path)
     return path
 
 
