@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import coding
 from ..operators import aggregates, crossproducts, linmodel, ordination, permute
 from ..plans import partition
 from .registry import query, rounded, table
@@ -187,6 +188,33 @@ def pca_scores(spark, folder):
     )
 
 
+# One component of two variables has a closed form.
+_FIRST = f"""{_COMPLETE},
+    s AS (SELECT var_samp(quantity) AS a, covar_samp(quantity, price) AS b, var_samp(price) AS d,
+                 avg(quantity) AS mq, avg(price) AS mp FROM m),
+    e AS (SELECT *, (a + d) / 2 + sqrt((a - d) * (a - d) / 4 + b * b) AS e1 FROM s),
+    v AS (SELECT *, sign(b + e1 - a) * b / sqrt(b * b + (e1 - a) * (e1 - a)) AS vq,
+                 sign(b + e1 - a) * (e1 - a) / sqrt(b * b + (e1 - a) * (e1 - a)) AS vp FROM e)"""
+
+
+@query("pca_first_loadings", f"""{_FIRST}
+    SELECT 'quantity' AS variable, round(vq * sqrt(e1), 6) AS rc1, 'amount' AS type FROM v
+    UNION ALL SELECT 'price', round(vp * sqrt(e1), 6), 'other' FROM v""")
+def pca_first_loadings(spark, folder):
+    fit = ordination.principal_components(_measures(spark, folder), ["quantity", "price"], 1)
+    return rounded(fit.loadings_table({"quantity": "amount"}, "other"), 6, "rc1")
+
+
+@query("pca_first_scores", f"""{_FIRST}
+    SELECT l_orderkey, l_linenumber, l_returnflag,
+           round(((l_quantity - mq) * vq + (l_extendedprice / 1000 - mp) * vp) / sqrt(e1), 6) AS rc1
+    FROM lineitem, v WHERE l_linenumber > 1""")
+def pca_first_scores(spark, folder):
+    rows = _measures(spark, folder)
+    fit = ordination.principal_components(rows, ["quantity", "price"], 1)
+    return rounded(fit.scores(rows, ["l_orderkey", "l_linenumber", "l_returnflag"]), 6, "rc1")
+
+
 @query("pca_parallel_analysis")
 def pca_parallel_analysis(spark, folder):
     return ordination.parallel_analysis(_measures(spark, folder), _MEASURES, 5000)
@@ -281,14 +309,25 @@ def rda_scores(spark, folder):
     return rounded(out, 3, "rda1", "rda2")
 
 
-@query("rda_biplot")
+@query("rda_biplot", f"""{_SPECIES},
+    u AS (SELECT *, (s11 * p1 + s12 * d1) / sqrt(e1) AS u11, (s21 * p1 + s22 * d1) / sqrt(e1) AS u21,
+                 (s11 * p2 + s12 * d2) / sqrt(e2) AS u12, (s21 * p2 + s22 * d2) / sqrt(e2) AS u22,
+                 xw / sqrt(xx * ww) AS low, sqrt(1 - xw * xw / xx / ww) AS high
+          FROM v)
+    SELECT 'quantity' AS var, round(u11, 5) AS rda1, round(u12, 5) AS rda2 FROM u
+    UNION ALL SELECT 'tax', round(low * u11 + high * u21, 5), round(low * u12 + high * u22, 5)
+    FROM u""")
 def rda_biplot(spark, folder):
-    rows = ordination.with_interactions(
-        _measures(spark, folder).withColumn("ecc", F.when(F.col("l_returnflag") == "N", 1.0)
-                                            .otherwise(0.0)),
-        ["quantity:ecc", "tax:ecc"],
-    )
+    fit = ordination.redundancy(_measures(spark, folder), _OUTCOMES, _TERMS)
+    return rounded(fit.biplot_scores(), 5, "rda1", "rda2")
+
+
+@query("rda_biplot_interactions")
+def rda_biplot_interactions(spark, folder):
+    flag = F.col("l_returnflag")
+    rows = _measures(spark, folder).withColumn("ecc", coding.indicator(flag, ["A", "R"]))
     terms = ["quantity", "tax", "ecc", "quantity:ecc", "tax:ecc"]
+    rows = ordination.with_interactions(rows, terms)
     return ordination.redundancy(rows, _OUTCOMES, terms).biplot_scores()
 
 
@@ -405,11 +444,60 @@ def rda_perm_terms(spark, folder):
     return rounded(rounded(rounded(out, 10, "variance"), 5, "statistic"), 8, "prop")
 
 
-@query("rda_perm_axis")
+def _axis_sql(responses):
+    """Axis tests of two predictors: 2 x 2 eigenvalues, the second axis given the first."""
+    pairs = [(j, k) for j in (1, 2) for k in (1, 2)]
+    crossed = ", ".join(f"sum(z{j} * h{k}) AS t{j}{k}" for j, k in pairs)
+    sums = ", ".join(f"sum(stay.z{j} * swap.{y}) AS s{j}_{y}" for j in (1, 2) for y in responses)
+    seen = ", ".join(f"o.s{j}_{y} AS o{j}_{y}" for j in (1, 2) for y in responses)
+    ys = ", ".join(responses)
+
+    def gram(s, i, j):
+        return " + ".join(f"{s}{i}_{y} * {s}{j}_{y}" for y in responses)
+
+    def top(a, b, d):
+        return f"(({a} + {d}) / 2 + sqrt(({a} - {d}) ** 2 / 4 + {b} ** 2))"
+
+    fitted = ", ".join(f"u1 * o1_{y} + u2 * o2_{y} AS f_{y}" for y in responses)
+    moved = ", ".join(
+        f"s{j}_{y} - (t{j}1 * u1 + t{j}2 * u2) * f_{y} AS m{j}_{y}"
+        for j in (1, 2) for y in responses
+    )
+    gone = " + ".join(f"(u1 * m1_{y} + u2 * m2_{y}) ** 2" for y in responses)
+    now = " + ".join(f"(u1 * m2_{y} - u2 * m1_{y}) ** 2" for y in responses)
+    kept = " + ".join(f"f_{y} ** 2" for y in responses)
+    first = _P.format("l1 / ((sst - a - d) / df)", "e1 / oe")
+    second = _P.format("now / ((sst - kept - gone - now) / df)", "e2 / oe")
+    return f""",
+    swap2 AS (SELECT b, z1 AS h1, z2 AS h2, {ys},
+                     row_number() OVER (PARTITION BY b
+                                        ORDER BY md5('{_SEED}-' || b || '-' || rid)) AS pos
+              FROM z, range(1, 1000) AS numbers(b)),
+    qs AS (SELECT b, {sums}, {crossed} FROM swap2 AS swap JOIN stay USING (pos) GROUP BY b),
+    j AS (SELECT qs.*, {seen}, obs.n, obs.sst, obs.df,
+                 {gram("o.s", 1, 1)} AS oa, {gram("o.s", 1, 2)} AS ob, {gram("o.s", 2, 2)} AS od
+          FROM qs, os AS o, obs),
+    k AS (SELECT *, {gram("s", 1, 1)} AS a, {gram("s", 1, 2)} AS bb, {gram("s", 2, 2)} AS d,
+                 {top("oa", "ob", "od")} AS e1, (sst - oa - od) / df AS oe FROM j),
+    k2 AS (SELECT *, oa + od - e1 AS e2, {top("a", "bb", "d")} AS l1,
+                  ob / sqrt(ob ** 2 + (e1 - oa) ** 2) AS u1,
+                  (e1 - oa) / sqrt(ob ** 2 + (e1 - oa) ** 2) AS u2 FROM k),
+    k3 AS (SELECT *, {fitted} FROM k2),
+    k4 AS (SELECT *, {moved} FROM k3),
+    k5 AS (SELECT *, {gone} AS gone, {now} AS now, {kept} AS kept FROM k4)
+    SELECT 1 AS ord, 'rda1' AS term, CAST(1 AS BIGINT) AS df,
+           round(any_value(e1 / (n - 1)), 10) AS variance,
+           round(any_value(e1 / oe), 5) AS statistic, {first} AS p_value FROM k5
+    UNION ALL SELECT 2, 'rda2', CAST(1 AS BIGINT), round(any_value(e2 / (n - 1)), 10),
+           round(any_value(e2 / oe), 5), {second} FROM k5
+    UNION ALL SELECT 3, 'Residual', df, round((sst - o1 - o2) / (n - 1), 10), NULL, NULL FROM obs"""
+
+
+@query("rda_perm_axis", _EMBEDDED_SQL + _axis_sql(["y1", "y2", "y3"]))
 def rda_perm_axis(spark, folder):
     fit, rows = _embedded_fit(spark, folder)
     sums = permute.permuted_sums(fit, rows, ["vec_id"], 999, _SEED, with_predictors=True)
-    return permute.axes_test(fit, sums)
+    return rounded(rounded(permute.axes_test(fit, sums), 10, "variance"), 5, "statistic")
 
 
 def _lines(spark, folder):

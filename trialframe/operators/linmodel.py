@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from ..functions.numeric import ratio
 from ..functions.tails import SimultaneousT, f_upper, t_critical, t_two_sided
+from ..sources.scratch import stored
 
 # A response whose residual is this small a part of its total is a perfect fit.
 _PERFECT = 1e-12
@@ -236,8 +237,12 @@ def fit_one_way(
     df: DataFrame, group: str, responses: Sequence[str],
     contrasts: Mapping[str, Mapping[str, float]],
 ) -> OneWayFit:
-    """Models, marginal means and contrasts for every response."""
-    moments = group_moments(df, group, responses)
+    """Models, marginal means and contrasts for every response.
+
+    The moments are computed now and stored, so the three tables never read
+    ``df`` again.
+    """
+    moments = stored(group_moments(df, group, responses), "moments")
     return OneWayFit(
         marginal_means(moments), planned_contrasts(moments, contrasts), model_summary(moments)
     )
