@@ -457,7 +457,7 @@ def fn_format_label(spark, folder):
 @query("fn_unit_derivations", """
     SELECT l_orderkey, l_linenumber,
            round(l_extendedprice * 1e-4 / (l_quantity / 1e6), 3) AS sla,
-           round(l_quantity / 1e6 / (l_extendedprice * 1e-4), 9) AS lma,
+           round(l_quantity / 1e6 / (l_extendedprice * 1e-4), 14) AS lma,
            round(l_quantity / nullif(l_tax * 1e-3, 0), 3) AS ldmc,
            l_quantity / 10 AS lnc
     FROM lineitem""")
@@ -468,7 +468,7 @@ def fn_unit_derivations(spark, folder):
     return table(spark, folder, "lineitem").select(
         "l_orderkey", "l_linenumber",
         F.round(sla, 3).alias("sla"),
-        F.round(numeric.ratio(F.lit(1.0), sla), 9).alias("lma"),
+        F.round(numeric.ratio(F.lit(1.0), sla), 14).alias("lma"),
         F.round(ldmc, 3).alias("ldmc"),
         (c("l_quantity") / 10).alias("lnc"),
     )

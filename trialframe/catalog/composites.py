@@ -159,12 +159,12 @@ def name_reconciliation(spark, folder):
 
 @query("trait_table", f"""
     WITH {_INDIVIDUALS}
-    SELECT num_point, year, species, combi_fac, rep, height, round(sla, 8) AS sla,
-           round(lma, 12) AS lma, round(ldmc, 4) AS ldmc, round(lnc, 7) AS lnc
+    SELECT num_point, year, species, combi_fac, rep, height, round(sla, 10) AS sla,
+           round(lma, 12) AS lma, round(ldmc, 6) AS ldmc, round(lnc, 9) AS lnc
     FROM ind""")
 def trait_table(spark, folder):
     out = _individuals(spark, folder)
-    return rounded(rounded(rounded(rounded(out, 8, "sla"), 12, "lma"), 4, "ldmc"), 7, "lnc")
+    return rounded(rounded(rounded(rounded(out, 10, "sla"), 12, "lma"), 6, "ldmc"), 9, "lnc")
 
 
 @query("trait_means", f"""
@@ -218,9 +218,10 @@ def _moisture_readings(spark, folder):
     path = scratch.fresh_path(spark, "moisture")
     rows.write.option("header", True).option("sep", ";").option("nullValue", "NA").csv(path)
     schema = "TimeStamp string, Plot string, Site string, Subplot string, `Moisture......` double"
-    return plots.moisture_readings(
+    readings = plots.moisture_readings(
         readers.clean_names(readers.read_csv_decimal_comma(spark, path, schema))
     )
+    return scratch.stored(readings, "readings")  # text is parsed once
 
 
 _MOISTURE = """
@@ -248,7 +249,7 @@ def plot_moisture(spark, folder):
 
 
 def _microscope_counts(spark, folder):
-    """One viewed field per event; the sample is the event type and the hour."""
+    """One viewed field per event; a sample is the event type and hour on one day."""
     kind = F.col("event_type")
     code = (
         F.when(kind == "click", "LT").when(kind == "view", "LC").when(kind == "purchase", "GC")
@@ -258,7 +259,7 @@ def _microscope_counts(spark, folder):
     value = F.when((F.col("value") >= 1) | (hour != "02"), F.col("value"))
     return table(spark, folder, "events").select(
         F.concat(code, hour).alias("sample"),
-        F.col("user_id").alias("sample_no"),
+        F.dayofmonth("ts").alias("sample_no"),
         (value - 8).alias("arbuscule"), (value - 20).alias("hypha"),
     )
 
@@ -267,10 +268,10 @@ _MYCO = """
     f AS (SELECT CASE event_type WHEN 'click' THEN 'AlpineWarmed' WHEN 'view' THEN 'SubalpineControl'
                       WHEN 'purchase' THEN 'AlpineControl' WHEN 'error' THEN 'LA'
                       ELSE 'SubalpineCooled' END AS combi_fac,
-                 strftime(ts, '%H') AS rep, user_id,
+                 strftime(ts, '%H') AS rep, day(ts) AS sample_no,
                  CASE WHEN value >= 1 OR strftime(ts, '%H') <> '02' THEN value END AS value
           FROM events),
-    sa AS (SELECT combi_fac, rep, user_id,
+    sa AS (SELECT combi_fac, rep, sample_no,
                   CASE WHEN count(*) = count(value)
                        THEN count(*) FILTER (value - 8 > 0) / 30::DOUBLE * 100 END AS a,
                   CASE WHEN count(*) = count(value)
@@ -583,11 +584,11 @@ def _line_tables(spark, folder):
 
 
 @query("site_centroids", f"""{models._SPECIES},
-    mid AS (SELECT avg(price) AS mp, avg(discount) AS md FROM m),
+    mid AS (SELECT avg(turnover) AS mp, avg(reduction) AS md FROM m),
     sc AS (SELECT l_returnflag,
-                  ((l_extendedprice / 1000 - mp) * p1 + (l_discount * 100 - md) * d1) / sqrt(e1) AS r1,
-                  ((l_extendedprice / 1000 - mp) * p2 + (l_discount * 100 - md) * d2) / sqrt(e2) AS r2
-           FROM lineitem, v, mid WHERE l_linenumber > 1)
+                  ((turnover - mp) * p1 + (reduction - md) * d1) / sqrt(e1) AS r1,
+                  ((turnover - mp) * p2 + (reduction - md) * d2) / sqrt(e2) AS r2
+           FROM m, v, mid)
     SELECT l_returnflag, round(avg(r1), 3) AS mean_rda1, round(avg(r2), 3) AS mean_rda2
     FROM sc GROUP BY ALL""")
 def site_centroids(spark, folder):
@@ -595,9 +596,9 @@ def site_centroids(spark, folder):
 
 
 @query("response_contributions", f"""{models._SPECIES}
-    SELECT 'price' AS var, round_even(p1 * p1 * 100, 2) AS rda1, round_even(p2 * p2 * 100, 2) AS rda2
+    SELECT 'turnover' AS var, round_even(p1 * p1 * 100, 2) AS rda1, round_even(p2 * p2 * 100, 2) AS rda2
     FROM v UNION ALL
-    SELECT 'discount', round_even(d1 * d1 * 100, 2), round_even(d2 * d2 * 100, 2) FROM v""")
+    SELECT 'reduction', round_even(d1 * d1 * 100, 2), round_even(d2 * d2 * 100, 2) FROM v""")
 def response_contributions(spark, folder):
     return _line_tables(spark, folder).response_contributions
 

@@ -141,20 +141,21 @@ def lm_contrast_intervals(spark, folder):
 
 # ---------------------------------------------------------------- ordination
 
-_MEASURES = ["quantity", "price", "discount", "tax"]
-_MEASURES_SQL = """SELECT CASE WHEN l_linenumber > 1 THEN l_quantity END AS quantity,
-                          l_extendedprice / 1000 AS price, l_discount * 100 AS discount,
-                          l_tax * 100 AS tax
+_MEASURES = ["quantity", "turnover", "reduction", "tax"]
+_MEASURES_SQL = """SELECT l_orderkey, l_linenumber, l_returnflag,
+                          CASE WHEN l_linenumber > 1 THEN l_quantity END AS quantity,
+                          l_extendedprice * l_quantity / 1e5 AS turnover,
+                          (l_discount + l_tax) * 100 AS reduction, l_tax * 100 AS tax
                    FROM lineitem"""
 
 
 def _measures(spark, folder):
     c = F.col
     return table(spark, folder, "lineitem").select(
-        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_returnflag",
+        "l_orderkey", "l_linenumber", "l_returnflag",
         F.when(c("l_linenumber") > 1, c("l_quantity")).alias("quantity"),
-        (c("l_extendedprice") / 1000).alias("price"),
-        (c("l_discount") * 100).alias("discount"), (c("l_tax") * 100).alias("tax"),
+        (c("l_extendedprice") * c("l_quantity") / F.lit(1e5)).alias("turnover"),
+        ((c("l_discount") + c("l_tax")) * 100).alias("reduction"), (c("l_tax") * 100).alias("tax"),
     )
 
 
@@ -176,7 +177,7 @@ def pca_covariance(spark, folder):
 @query("pca_loadings")
 def pca_loadings(spark, folder):
     fit = ordination.principal_components(_measures(spark, folder), _MEASURES)
-    kinds = {"quantity": "amount", "price": "amount"}
+    kinds = {"quantity": "amount", "turnover": "amount"}
     return fit.loadings_table(kinds, "rate")
 
 
@@ -190,8 +191,8 @@ def pca_scores(spark, folder):
 
 # One component of two variables has a closed form.
 _FIRST = f"""{_COMPLETE},
-    s AS (SELECT var_samp(quantity) AS a, covar_samp(quantity, price) AS b, var_samp(price) AS d,
-                 avg(quantity) AS mq, avg(price) AS mp FROM m),
+    s AS (SELECT var_samp(quantity) AS a, covar_samp(quantity, turnover) AS b, var_samp(turnover) AS d,
+                 avg(quantity) AS mq, avg(turnover) AS mp FROM m),
     e AS (SELECT *, (a + d) / 2 + sqrt((a - d) * (a - d) / 4 + b * b) AS e1 FROM s),
     v AS (SELECT *, sign(b + e1 - a) * b / sqrt(b * b + (e1 - a) * (e1 - a)) AS vq,
                  sign(b + e1 - a) * (e1 - a) / sqrt(b * b + (e1 - a) * (e1 - a)) AS vp FROM e)"""
@@ -199,19 +200,19 @@ _FIRST = f"""{_COMPLETE},
 
 @query("pca_first_loadings", f"""{_FIRST}
     SELECT 'quantity' AS variable, round(vq * sqrt(e1), 6) AS rc1, 'amount' AS type FROM v
-    UNION ALL SELECT 'price', round(vp * sqrt(e1), 6), 'other' FROM v""")
+    UNION ALL SELECT 'turnover', round(vp * sqrt(e1), 6), 'other' FROM v""")
 def pca_first_loadings(spark, folder):
-    fit = ordination.principal_components(_measures(spark, folder), ["quantity", "price"], 1)
+    fit = ordination.principal_components(_measures(spark, folder), ["quantity", "turnover"], 1)
     return rounded(fit.loadings_table({"quantity": "amount"}, "other"), 6, "rc1")
 
 
 @query("pca_first_scores", f"""{_FIRST}
     SELECT l_orderkey, l_linenumber, l_returnflag,
-           round(((l_quantity - mq) * vq + (l_extendedprice / 1000 - mp) * vp) / sqrt(e1), 6) AS rc1
-    FROM lineitem, v WHERE l_linenumber > 1""")
+           round(((quantity - mq) * vq + (turnover - mp) * vp) / sqrt(e1), 6) AS rc1
+    FROM m, v""")
 def pca_first_scores(spark, folder):
     rows = _measures(spark, folder)
-    fit = ordination.principal_components(rows, ["quantity", "price"], 1)
+    fit = ordination.principal_components(rows, ["quantity", "turnover"], 1)
     return rounded(fit.scores(rows, ["l_orderkey", "l_linenumber", "l_returnflag"]), 6, "rc1")
 
 
@@ -221,23 +222,23 @@ def pca_parallel_analysis(spark, folder):
 
 
 @query("ord_centroids", """
-    SELECT l_returnflag, round(avg(l_extendedprice / 1000), 7) AS mean_price,
-           round(avg(l_discount * 100), 7) AS mean_discount,
+    SELECT l_returnflag, round(avg(l_extendedprice * l_quantity / 1e5), 7) AS mean_turnover,
+           round(avg((l_discount + l_tax) * 100), 7) AS mean_reduction,
            CAST(NULL AS DOUBLE) AS mean_quantity
     FROM lineitem GROUP BY ALL""")
 def ord_centroids(spark, folder):
-    names = ["price", "discount", "quantity"]
+    names = ["turnover", "reduction", "quantity"]
     out = aggregates.centroids(_measures(spark, folder), ["l_returnflag"], names)
-    return rounded(out, 7, "mean_price", "mean_discount")
+    return rounded(out, 7, "mean_turnover", "mean_reduction")
 
 
 # Two responses on two predictors: everything has a closed form.
-_TERMS, _OUTCOMES = ["quantity", "tax"], ["price", "discount"]
+_TERMS, _OUTCOMES = ["quantity", "tax"], ["turnover", "reduction"]
 _RDA = f"""{_COMPLETE},
     s AS (SELECT count(*) AS n, var_samp(quantity) AS xx, covar_samp(quantity, tax) AS xw,
-                 var_samp(tax) AS ww, covar_samp(quantity, price) AS xp,
-                 covar_samp(quantity, discount) AS xd, covar_samp(tax, price) AS wp,
-                 covar_samp(tax, discount) AS wd, var_samp(price) + var_samp(discount) AS total
+                 var_samp(tax) AS ww, covar_samp(quantity, turnover) AS xp,
+                 covar_samp(quantity, reduction) AS xd, covar_samp(tax, turnover) AS wp,
+                 covar_samp(tax, reduction) AS wd, var_samp(turnover) + var_samp(reduction) AS total
           FROM m),
     r AS (SELECT *, xp / sqrt(xx) AS s11, xd / sqrt(xx) AS s12,
                  (wp - xw / xx * xp) / sqrt(ww - xw * xw / xx) AS s21,
@@ -287,21 +288,21 @@ _SPECIES = f"""{_RDA},
 
 
 @query("rda_species", f"""{_SPECIES}
-    SELECT 'price' AS var, round(p1 * sqrt(e1), 5) AS rda1, round(p2 * sqrt(e2), 5) AS rda2 FROM v
-    UNION ALL SELECT 'discount', round(d1 * sqrt(e1), 5), round(d2 * sqrt(e2), 5) FROM v""")
+    SELECT 'turnover' AS var, round(p1 * sqrt(e1), 5) AS rda1, round(p2 * sqrt(e2), 5) AS rda2 FROM v
+    UNION ALL SELECT 'reduction', round(d1 * sqrt(e1), 5), round(d2 * sqrt(e2), 5) FROM v""")
 def rda_species(spark, folder):
     fit = ordination.redundancy(_measures(spark, folder), _OUTCOMES, _TERMS)
     return rounded(fit.species_scores(), 5, "rda1", "rda2")
 
 
 @query("rda_scores", f"""{_SPECIES},
-    mid AS (SELECT avg(price) AS mp, avg(discount) AS md FROM m)
+    mid AS (SELECT avg(turnover) AS mp, avg(reduction) AS md FROM m)
     SELECT l_orderkey, l_linenumber, l_returnflag,
-           round(((l_extendedprice / 1000 - mp) * p1 + (l_discount * 100 - md) * d1) / sqrt(e1), 3)
+           round(((turnover - mp) * p1 + (reduction - md) * d1) / sqrt(e1), 3)
                AS rda1,
-           round(((l_extendedprice / 1000 - mp) * p2 + (l_discount * 100 - md) * d2) / sqrt(e2), 3)
+           round(((turnover - mp) * p2 + (reduction - md) * d2) / sqrt(e2), 3)
                AS rda2
-    FROM lineitem, v, mid WHERE l_linenumber > 1""")
+    FROM m, v, mid""")
 def rda_scores(spark, folder):
     rows = _measures(spark, folder)
     fit = ordination.redundancy(rows, _OUTCOMES, _TERMS)

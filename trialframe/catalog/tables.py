@@ -320,13 +320,13 @@ def win_zscore(spark, folder):
     WITH m AS (SELECT l_orderkey, l_linenumber, ln(CASE WHEN d > 0 THEN d * 10 END) AS d,
                       ln(p) AS p FROM ({_MEASURED}))
     SELECT l_orderkey, l_linenumber,
-           round((d - (SELECT avg(d) FROM m)) / (SELECT stddev_samp(d) FROM m), 7) AS d,
-           round((p - (SELECT avg(p) FROM m)) / (SELECT stddev_samp(p) FROM m), 7) AS p
+           round((d - (SELECT avg(d) FROM m)) / (SELECT stddev_samp(d) FROM m), 6) AS d,
+           round((p - (SELECT avg(p) FROM m)) / (SELECT stddev_samp(p) FROM m), 6) AS p
     FROM m""")
 def win_log_zscore(spark, folder):
     rows = _measured(spark, folder).select("l_orderkey", "l_linenumber", "d", "p")
     logs = {"d": F.ln(F.col("d") * 10), "p": F.ln(F.col("p"))}
-    return rounded(standardize.standardize(rows, logs), 7, "d", "p")
+    return rounded(standardize.standardize(rows, logs), 6, "d", "p")
 
 
 @query("win_impute_group_mean", f"""

@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .joins import left_join
-from .reshape import longer, wider
 
 # The sketch brackets the middle 0.2% of each group.
 _LOW, _HIGH, _ACCURACY = 0.499, 0.501, 5_000
@@ -41,66 +41,74 @@ def group_median(
 
         return df.groupBy(*by).agg(*[one(c).alias(c) for c in columns])
 
-    ids = [*by, "__var"]
-    values = longer(
-        df.select(*by, *[F.col(c).cast("double").alias(c) for c in columns]),
-        by, columns, "__var", "__x",
+    xs = [f"__x{i}" for i in range(len(columns))]
+    values = df.select(*by, *[F.col(c).cast("double").alias(x) for c, x in zip(columns, xs)])
+    cuts = values.groupBy(*by).agg(
+        *[F.percentile_approx(x, [_LOW, _HIGH], _ACCURACY).alias(f"{x}_cuts") for x in xs]
     )
-    x, lo, hi = F.col("__x"), F.col("__cuts")[0], F.col("__cuts")[1]
-    cuts = values.groupBy(*ids).agg(
-        F.percentile_approx("__x", [_LOW, _HIGH], _ACCURACY).alias("__cuts")
-    )
-    placed = left_join(values, cuts, ids).withColumn(
-        "__part", F.when(x < lo, 0).when(x <= hi, 1).when(x > hi, 2)
+
+    def part(x):
+        low, high = F.col(f"{x}_cuts")[0], F.col(f"{x}_cuts")[1]
+        return F.when(F.col(x) < low, 0).when(F.col(x) <= high, 1).when(F.col(x) > high, 2)
+
+    placed = left_join(values, cuts, by).select(
+        *by, *xs, *[part(x).alias(f"{x}_part") for x in xs]
     )
-    part = F.col("__part")
-    counts = placed.groupBy(*ids).agg(
+    counts = placed.groupBy(*by).agg(
         F.count(F.lit(1)).alias("__rows"),
-        F.count("__x").alias("__n"),
-        F.count_if(part == 0).alias("__below"),
-        F.count_if(part <= 1).alias("__upto"),
+        *[F.count(x).alias(f"{x}_n") for x in xs],
+        *[F.count_if(F.col(f"{x}_part") == 0).alias(f"{x}_below") for x in xs],
+        *[F.count_if(F.col(f"{x}_part") <= 1).alias(f"{x}_upto") for x in xs],
     )
 
-    def part_of(rank):
-        return F.when(rank <= F.col("__below"), 0).when(rank <= F.col("__upto"), 1).otherwise(2)
-
-    first, second = F.floor((F.col("__n") + 1) / 2), F.floor((F.col("__n") + 2) / 2)
-    target = counts.select(
-        *ids, "__rows", "__n",
-        first.alias("__first"), second.alias("__second"),
-        part_of(first).alias("__from"), part_of(second).alias("__to"),
-        F.when(part_of(first) == 0, 0).when(part_of(first) == 1, F.col("__below"))
-        .otherwise(F.col("__upto")).alias("__before"),
+    def target(x):
+        n, below, upto = (F.col(f"{x}_{name}") for name in ("n", "below", "upto"))
+        first, second = F.floor((n + 1) / 2), F.floor((n + 2) / 2)
+
+        def part_of(rank):
+            return F.when(rank <= below, 0).when(rank <= upto, 1).otherwise(2)
+
+        before = F.when(first <= below, F.lit(0)).when(first <= upto, below).otherwise(upto)
+        wanted = F.lit(not strict) | (n == F.col("__rows"))
+        return F.when(
+            wanted,
+            F.struct(
+                first.alias("first"), second.alias("second"), part_of(first).alias("low"),
+                part_of(second).alias("high"), before.alias("before"),
+            ),
+        ).alias(f"{x}_target")
+
+    # one struct per column; NULL where the row is outside the part that holds the middle
+    found = left_join(placed, counts.select(*by, *[target(x) for x in xs]), by).select(
+        *by,
+        *[
+            F.when(
+                F.col(f"{x}_part").between(F.col(f"{x}_target.low"), F.col(f"{x}_target.high")),
+                F.struct(F.lit(i).alias("__var"), F.col(x).alias("__x"),
+                         F.col(f"{x}_target").alias("__target")),
+            ).alias(x)
+            for i, x in enumerate(xs)
+        ],
     )
     kept = (
-        left_join(placed.select(*ids, "__x", "__part"), target, ids)
-        .filter(part.between(F.col("__from"), F.col("__to")))
-        .groupBy(*ids, "__x")
-        .agg(
-            F.count(F.lit(1)).alias("__same"),
-            *[F.first(c).alias(c) for c in ("__rows", "__n", "__first", "__second", "__before")],
-        )
+        found.filter(reduce(lambda a, b: a | b, [F.col(x).isNotNull() for x in xs]))
+        .select(*by, F.explode(F.array(*xs)).alias("__at"))
+        .filter(F.col("__at").isNotNull())
+        .groupBy(*by, "__at.__var", "__at.__x")
+        .agg(F.count(F.lit(1)).alias("__same"), F.first("__at.__target").alias("__target"))
     )
-    in_order = Window.partitionBy(*ids).orderBy("__x").rowsBetween(Window.unboundedPreceding, 0)
-    last = F.col("__before") + F.sum("__same").over(in_order)
-    ranked = kept.withColumn("__last", last)
-
-    def at(rank: str):
-        here = (F.col("__last") - F.col("__same") < F.col(rank)) & (
-            F.col(rank) <= F.col("__last")
-        )
-        return F.max(F.when(here, x))
-
-    medians = ranked.groupBy(*ids).agg(
-        ((at("__first") + at("__second")) / 2).alias("__median"),
-        F.first("__rows").alias("__rows"), F.first("__n").alias("__n"),
+    in_order = Window.partitionBy(*by, "__var").orderBy("__x").rowsBetween(
+        Window.unboundedPreceding, 0
     )
-    if strict:
-        medians = medians.withColumn(
-            "__median", F.when(F.col("__rows") == F.col("__n"), F.col("__median"))
-        )
-    # start from all groups, so one without any value still has its row
-    return wider(
-        left_join(counts.select(*ids), medians.select(*ids, "__median"), ids),
-        by, "__var", "__median", columns,
+    ranked = kept.withColumn("__last", F.col("__target.before") + F.sum("__same").over(in_order))
+
+    def at(i, rank):
+        rank = F.col(f"__target.{rank}")
+        here = (F.col("__last") - F.col("__same") < rank) & (rank <= F.col("__last"))
+        return F.max(F.when((F.col("__var") == i) & here, F.col("__x")))
+
+    medians = ranked.groupBy(*by).agg(
+        *[((at(i, "first") + at(i, "second")) / 2).alias(c) for i, c in enumerate(columns)]
     )
+    # start from all groups, so one without any value still has its row
+    return left_join(counts.select(*by), medians, by)
