@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import coding, missing
 from ..operators import aggregates, joins, medians, reshape, standardize, windows
+from ..sources import scratch
 from .registry import null_if, query, rounded, table
 
 # ---------------------------------------------------------------- joins
@@ -38,6 +39,8 @@ def _multi_key(spark, folder, salt):
     right = left.filter(F.col("status") == "F").groupBy(*keys).agg(
         F.sum("l_quantity").alias("total")
     )
+    if not salt:
+        right = scratch.stored(right, "totals")  # of known size, so it can be broadcast
     return joins.left_join(left, right, keys, salt)
 
 

@@ -17,9 +17,13 @@ def first_match(cases: Sequence[tuple[Column, object]], default=None) -> Column:
     return out if default is None else out.otherwise(default)
 
 
-def translate(c: Column, codes: Mapping[str, str]) -> Column:
-    """Look each value up; unknown codes become NULL."""
-    return first_match([(c == old, new) for old, new in codes.items()])
+def translate(c: Column, codes: Mapping[str, object]) -> Column:
+    """Look each value up; unknown codes become NULL.
+
+    A literal map, so an expensive ``c`` is worked out once and not once per code.
+    """
+    entries = [F.lit(x) for pair in codes.items() for x in pair]
+    return F.create_map(*entries)[c]
 
 
 def recode(c: Column, codes: Mapping[str, str]) -> Column:
@@ -29,7 +33,7 @@ def recode(c: Column, codes: Mapping[str, str]) -> Column:
 
 def level_order(c: Column, levels: Sequence[str]) -> Column:
     """1-based place of the value among ordered levels, NULL outside them."""
-    return first_match([(c == level, place) for place, level in enumerate(levels, start=1)])
+    return translate(c, {level: place for place, level in enumerate(levels, start=1)})
 
 
 def as_level(c: Column, levels: Iterable[str]) -> Column:

@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from .missing import nan_to_null
-
 # First number inside a text: optional sign, digits with grouping commas, decimals.
 _FIRST_NUMBER = r"-?(?:\d[\d,]*\.?\d*|\.\d+)"
 
@@ -26,7 +24,8 @@ def paste(*cols: Column, sep: str = "") -> Column:
 
 
 def to_number(c: Column) -> Column:
-    return nan_to_null(c.try_cast("double"))
+    """Text as a number; text that is none, or reads NaN, becomes NULL."""
+    return F.nanvl(c.try_cast("double"), F.lit(None).cast("double"))
 
 
 def decimal_comma(c: Column) -> Column:

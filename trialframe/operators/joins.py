@@ -17,9 +17,11 @@ def left_join(
 ) -> DataFrame:
     """Every left row with each right row of the same keys, NULL equal to NULL.
 
-    No side is forced to broadcast: Spark does that by itself for a side it
-    measures below its threshold, and splits skewed partitions of the other
-    joins at run time. ``salt`` spreads each key of the left over that many
+    No side is forced to broadcast: Spark does that by itself for a side whose
+    size it knows to be below its threshold, and splits skewed partitions of the
+    other joins at run time. A small right side that is itself an aggregate of a
+    large table is best stored first, because Spark guesses its size from the
+    table and would move the left side. ``salt`` spreads each key of the left over that many
     tasks beforehand, for keys known to be hot; the right side is repeated to
     match, so the result is the same.
     """

@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from ..sources.scratch import stored
 from .joins import left_join
 
 # The sketch brackets the middle 0.2% of each group.
@@ -31,7 +32,9 @@ def group_median(
        values picks the middle.
 
     The cuts only decide how little data reaches step 3: the ranks are counted,
-    so the result is exact however good the sketch was.
+    so the result is exact however good the sketch was. The per-group tables of
+    steps 1 and 2 are stored, so the rows are joined to tables of known size:
+    broadcast when small, which leaves the rows where they are.
     """
     by, columns = list(by), list(columns)
     if small_groups:
@@ -43,8 +46,11 @@ def group_median(
 
     xs = [f"__x{i}" for i in range(len(columns))]
     values = df.select(*by, *[F.col(c).cast("double").alias(x) for c, x in zip(columns, xs)])
-    cuts = values.groupBy(*by).agg(
-        *[F.percentile_approx(x, [_LOW, _HIGH], _ACCURACY).alias(f"{x}_cuts") for x in xs]
+    cuts = stored(
+        values.groupBy(*by).agg(
+            *[F.percentile_approx(x, [_LOW, _HIGH], _ACCURACY).alias(f"{x}_cuts") for x in xs]
+        ),
+        "cuts",
     )
 
     def part(x):
@@ -54,11 +60,14 @@ def group_median(
     placed = left_join(values, cuts, by).select(
         *by, *xs, *[part(x).alias(f"{x}_part") for x in xs]
     )
-    counts = placed.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("__rows"),
-        *[F.count(x).alias(f"{x}_n") for x in xs],
-        *[F.count_if(F.col(f"{x}_part") == 0).alias(f"{x}_below") for x in xs],
-        *[F.count_if(F.col(f"{x}_part") <= 1).alias(f"{x}_upto") for x in xs],
+    counts = stored(
+        placed.groupBy(*by).agg(
+            F.count(F.lit(1)).alias("__rows"),
+            *[F.count(x).alias(f"{x}_n") for x in xs],
+            *[F.count_if(F.col(f"{x}_part") == 0).alias(f"{x}_below") for x in xs],
+            *[F.count_if(F.col(f"{x}_part") <= 1).alias(f"{x}_upto") for x in xs],
+        ),
+        "counts",
     )
 
     def target(x):

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.coding import level_order
 from ..functions.numeric import ratio
+from ..sources.scratch import stored
 from .joins import left_join
 
 
@@ -16,10 +17,11 @@ def partition_share(
 ) -> DataFrame:
     """Add each row's group total and its share of it.
 
-    Totals are aggregated with map-side combining and joined back, so a group
-    holding much of the table is never gathered in one task as a window would.
+    Totals are aggregated with map-side combining, stored, and joined back: a
+    group holding much of the table is never gathered in one task as a window
+    would, and totals of few groups are broadcast, so the rows do not move.
     """
-    totals = df.groupBy(*by).agg(F.sum(value).alias(total))
+    totals = stored(df.groupBy(*by).agg(F.sum(value).alias(total)), "totals")
     return left_join(df, totals, list(by)).withColumn(share, ratio(F.col(value), F.col(total)))
 
 

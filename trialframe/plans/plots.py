@@ -30,9 +30,9 @@ def plot_moisture(readings: DataFrame) -> DataFrame:
         any_pairing(F.col("site"), F.col("subplot"), v.SUBPLOTS_BY_SITE)
     ).select(
         recode(F.col("site"), v.TREATMENT_CODES).alias("combi_fac"),
-        replicate_code(parse_number(F.col("plot"))).alias("rep"),
+        parse_number(F.col("plot")).alias("number"),  # its own step: used several times next
         "moisture",
-    )
+    ).select("combi_fac", replicate_code(F.col("number")).alias("rep"), "moisture")
     return group_median(kept, ["combi_fac", "rep"], ["moisture"])
 
 

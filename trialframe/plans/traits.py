@@ -15,6 +15,7 @@ from ..functions.text import extract, paste, to_number
 from ..operators.aggregates import group_means, group_share, missing_profile
 from ..operators.joins import correct_by_dictionary, left_join
 from ..operators.reshape import wider
+from ..sources.scratch import stored
 from . import vocabulary as v
 
 
@@ -43,12 +44,15 @@ def closest_names(
     to the first in text order), else NULL. Case and outer blanks are ignored.
 
     Names are compared only where they share a deletion variant, so candidates
-    are near-duplicates and no block of names is ever paired with itself.
+    are near-duplicates and no block of names is ever paired with itself. The
+    distinct texts are stored first: the measurements are scanned once.
     """
     def plain(c):
         return F.lower(F.trim(F.col(c)))
 
-    texts = submitted.select("comments").distinct().withColumn("__text", plain("comments"))
+    texts = stored(submitted.select("comments").distinct(), "texts").withColumn(
+        "__text", plain("comments")
+    )
     names = (
         taxonomy.filter(present(F.col("name")))
         .groupBy(plain("name").alias("__name"))
@@ -95,24 +99,23 @@ def trait_table(measured: DataFrame, names: DataFrame, nutrients: DataFrame,
                 merge: str | None = None) -> DataFrame:
     """Long trait measurements to one row per individual with derived traits.
 
-    One lazy plan: the pivot is the only shuffle of the measurements unless a
-    dictionary or nutrient table is too large to broadcast.
+    The pivot comes first, so names and keys are worked out once per individual.
+    The name dictionary is stored: of known size, it is broadcast when small.
     """
+    kept = measured.filter(F.col("code_trait") != v.UNUSED_TRAIT).drop("code_unite")
+    ids = [c for c in kept.columns if c not in ("code_trait", "value")]
+    wide = wider(kept, ids, "code_trait", "value", v.TRAIT_CODES, merge)
+    named = correct_by_dictionary(
+        wide, "comments", stored(names, "names"), "comments", "species"
+    )
     plot, species = F.col("subplotmaincode"), F.col("species")
     site = paste(extract(plot, "^[LG]"), extract(plot, "(?<=[0-9]_)[CT]"))
-    keyed = (
-        correct_by_dictionary(measured, "comments", names, "comments", "species")
-        .withColumn("species", recode(F.coalesce(species, F.col("lb_nom")), v.SYNONYMS))
-        .filter(F.col("code_trait") != v.UNUSED_TRAIT)
-        .withColumn("combi_fac", translate(site, v.TREATMENT_CODES))
-        .withColumn("rep", extract(plot, r"(?<=^[LGCT]_)\d+"))
-        .drop("code_unite")
-    )
-    ids = [c for c in keyed.columns if c not in ("code_trait", "value")]
-    wide = wider(keyed, ids, "code_trait", "value", v.TRAIT_CODES, merge)
     sla = specific_leaf_area(F.col("L_Area"), F.col("D_Mass"))
-    individuals = wide.select(
-        "num_point", "year", "species", "combi_fac", "rep",
+    individuals = named.select(
+        "num_point", "year",
+        recode(F.coalesce(species, F.col("lb_nom")), v.SYNONYMS).alias("species"),
+        translate(site, v.TREATMENT_CODES).alias("combi_fac"),
+        extract(plot, r"(?<=^[LGCT]_)\d+").alias("rep"),
         F.col("H_Veg").alias("height"),
         sla.alias("sla"),
         ratio(F.lit(1.0), sla).alias("lma"),
