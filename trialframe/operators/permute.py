@@ -28,10 +28,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..sources.scratch import stored
 from .ordination import Redundancy
 
-# Rows ranked in one task at most, on average.
-_RANKED_ROWS = 100_000
+# Rows of one permutation that are ordered together at most, on average.
+_RANKED_ROWS = 10_000
 # Ties with the observed statistic count, whatever the last digits say.
 _TIE = 1 - 1e-9
 
@@ -41,28 +42,41 @@ def _row_key(key: Sequence[str]) -> Column:
 
 
 def _draw(seed: int) -> Column:
-    """Sort key of a row in permutation ``b``; portable to any engine with md5."""
-    return F.md5(F.concat_ws("-", F.lit(str(seed)), F.col("b").cast("string"), F.col("rid")))
+    """Sort key of a row in permutation ``b``, 16 bytes; portable to any engine with md5."""
+    return F.unhex(
+        F.md5(F.concat_ws("-", F.lit(str(seed)), F.col("b").cast("string"), F.col("rid")))
+    )
+
+
+def _spread(rows: DataFrame, key: str) -> DataFrame:
+    """Even partitions by ``key`` for work that is heavy per row.
+
+    A fixed number, because run-time coalescing goes by bytes and would put
+    little data with much work into one task.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(parts, key)
 
 
 def _placed(rows: DataFrame, n: int, seed: int) -> DataFrame:
     """Add ``pos``, the row's place 1..n in the order of permutation ``b``.
 
     A permutation is never ordered in one task beyond ``_RANKED_ROWS`` rows: the
-    leading digits of the draw split it into evenly filled slices, slices are
+    leading bytes of the draw split it into evenly filled slices, slices are
     ranked separately, and counted slice sizes give the offsets.
     """
-    digits = max(0, math.ceil(math.log(n / _RANKED_ROWS, 16))) if n > _RANKED_ROWS else 0
+    width = math.ceil(math.log(n / _RANKED_ROWS, 256)) if n > _RANKED_ROWS else 0
     drawn = rows.withColumn("draw", _draw(seed))
-    if digits == 0:
+    if width == 0:
         order = Window.partitionBy("b").orderBy("draw")
         return drawn.withColumn("pos", F.row_number().over(order).cast("long")).drop("draw")
-    drawn = drawn.withColumn("slice", F.substring("draw", 1, digits))
+    drawn = drawn.withColumn("slice", F.substring("draw", 1, width))
     before = Window.partitionBy("b").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
+    offsets = stored(  # 256 to the power of width rows per permutation
         drawn.groupBy("b", "slice")
         .agg(F.count(F.lit(1)).alias("rows"))
-        .select("b", "slice", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("offset"))
+        .select("b", "slice", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("offset")),
+        "offsets",
     )
     inside = Window.partitionBy("b", "slice").orderBy("draw")
     return (
@@ -88,10 +102,12 @@ def permuted_sums(
         return _block_sums(rows, fit.n, z, y, permutations, seed, block_rows, with_predictors)
 
     moved = y + (z if with_predictors else [])
-    stay = _placed(rows.select(F.lit(0).alias("b"), "rid", *z), fit.n, seed).select("pos", *z)
+    stay = _placed(rows.select(F.lit(0).alias("b"), "rid", *z), fit.n, seed)
+    stay = stored(stay.select("pos", *z), "stay")
     numbers = F.explode(F.sequence(F.lit(1), F.lit(permutations)))
     renamed = [F.col(c).alias(f"p_{c}") for c in moved]
-    swap = _placed(rows.select(numbers.alias("b"), "rid", *renamed), fit.n, seed)
+    spread = _spread(rows.select("rid", *renamed), "rid")
+    swap = _placed(spread.select(numbers.alias("b"), *spread.columns), fit.n, seed)
     sums = [
         F.sum(F.col(z[j]) * F.col(f"p_{y[i]}")).alias(f"s_{j}_{i}")
         for j in range(q) for i in range(m)
@@ -112,12 +128,12 @@ def _block_sums(rows, n, z, y, permutations, seed, block_rows, with_predictors)
         names += [f"t_{j}_{k}" for j in range(q) for k in range(q)]
     spread = F.xxhash64(F.lit(seed), F.col("rid"))
     placed = rows.select(
-        F.pmod(spread, F.lit(blocks)).alias("block"), spread.alias("place"), "rid", *z, *y
+        F.pmod(spread, F.lit(blocks)).alias("block"), spread.alias("place"), *z, *y
     )
 
     def one_block(key, block):
-        block = block.sort_values(["place", "rid"])  # same order on every attempt
-        zs, ys = block[z].to_numpy(), block[y].to_numpy()
+        order = np.argsort(block["place"].to_numpy(), kind="stable")  # same on every attempt
+        zs, ys = block[z].to_numpy()[order], block[y].to_numpy()[order]
         moved = np.hstack([ys, zs]) if with_predictors else ys
         out = np.empty((permutations, len(names)))
         for b in range(permutations):
@@ -131,7 +147,7 @@ def _block_sums(rows, n, z, y, permutations, seed, block_rows, with_predictors)
         return result
 
     schema = "b int, " + ", ".join(f"{c} double" for c in names)
-    partial = placed.groupBy("block").applyInPandas(one_block, schema)
+    partial = _spread(placed, "block").groupBy("block").applyInPandas(one_block, schema)
     return partial.groupBy("b").agg(*[F.sum(c).alias(c) for c in names])
 
 
