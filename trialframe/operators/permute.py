@@ -41,11 +41,19 @@ def _row_key(key: Sequence[str]) -> Column:
     return F.concat_ws("-", *[F.col(k).cast("string") for k in key])
 
 
-def _draw(seed: int) -> Column:
-    """Sort key of a row in permutation ``b``, 16 bytes; portable to any engine with md5."""
-    return F.unhex(
-        F.md5(F.concat_ws("-", F.lit(str(seed)), F.col("b").cast("string"), F.col("rid")))
-    )
+def _with_draw(rows: DataFrame, seed: int) -> DataFrame:
+    """Add the sort key of a row in permutation ``b``: 120 bits of md5 as two numbers.
+
+    Ordering by them is ordering by the md5 text, which any engine can repeat;
+    numbers sort about twice as fast.
+    """
+    text = F.md5(F.concat_ws("-", F.lit(str(seed)), F.col("b").cast("string"), F.col("rid")))
+
+    def digits(first):
+        return F.conv(F.substring("hash", first, 15), 16, 10).cast("bigint")
+
+    drawn = rows.withColumn("hash", text)
+    return drawn.withColumns({"draw": digits(1), "draw2": digits(16)}).drop("hash")
 
 
 def _spread(rows: DataFrame, key: str) -> DataFrame:
@@ -66,11 +74,12 @@ def _placed(rows: DataFrame, n: int, seed: int) -> DataFrame:
     ranked separately, and counted slice sizes give the offsets.
     """
     width = math.ceil(math.log(n / _RANKED_ROWS, 256)) if n > _RANKED_ROWS else 0
-    drawn = rows.withColumn("draw", _draw(seed))
+    drawn = _with_draw(rows, seed)
+    order = "draw", "draw2"
     if width == 0:
-        order = Window.partitionBy("b").orderBy("draw")
-        return drawn.withColumn("pos", F.row_number().over(order).cast("long")).drop("draw")
-    drawn = drawn.withColumn("slice", F.substring("draw", 1, width))
+        place = F.row_number().over(Window.partitionBy("b").orderBy(*order)).cast("long")
+        return drawn.withColumn("pos", place).drop(*order)
+    drawn = drawn.withColumn("slice", F.shiftright("draw", 60 - 8 * width))
     before = Window.partitionBy("b").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = stored(  # 256 to the power of width rows per permutation
         drawn.groupBy("b", "slice")
@@ -78,12 +87,12 @@ def _placed(rows: DataFrame, n: int, seed: int) -> DataFrame:
         .select("b", "slice", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("offset")),
         "offsets",
     )
-    inside = Window.partitionBy("b", "slice").orderBy("draw")
+    inside = Window.partitionBy("b", "slice").orderBy(*order)
     return (
         drawn.withColumn("place", F.row_number().over(inside))
         .join(offsets, ["b", "slice"])
         .withColumn("pos", F.col("offset") + F.col("place"))
-        .drop("draw", "slice", "offset", "place")
+        .drop(*order, "slice", "offset", "place")
     )
 
 
