@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, line_spread, simhash, toxicity
+from . import bpe, decontaminate, html_region, langid, line_spread, pii, simhash, toxicity, url_trust
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -33,6 +33,11 @@ def vocabulary() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
 
 
+@_query("op1_html_region")
+def _op1(spark, folder):
+    return html_region.main_texts(table(spark, folder, "pages"))
+
+
 @_query("op2_line_spread", line_spread.SQL)
 def _op2(spark, folder):
     return line_spread.remove_boilerplate(table(spark, folder, "documents"), keep=["doc_id", "text"])
@@ -43,11 +48,21 @@ def _op4(spark, folder):
     return decontaminate.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+@_query("op5_language_masks")
+def _op5(spark, folder):
+    return langid.held_out_languages(table(spark, folder, "documents"))
+
+
 @_query("op6_toxicity")
 def _op6(spark, folder):
     return toxicity.held_out_scores(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+@_query("op7_contextual_pii")
+def _op7(spark, folder):
+    return pii.report(table(spark, folder, "documents"))
+
+
 @_query("op8_simhash_trie")
 def _op8(spark, folder):
     return simhash.near_duplicates(table(spark, folder, "documents"))
@@ -56,3 +71,8 @@ def _op8(spark, folder):
 @_query("op9_byte_bpe")
 def _op9(spark, folder):
     return bpe.digests(table(spark, folder, "documents"), *vocabulary()).drop("token_ids")
+
+
+@_query("op10_url_trust")
+def _op10(spark, folder):
+    return url_trust.verdicts(table(spark, folder, "pages")).drop("trust", "distrust")
