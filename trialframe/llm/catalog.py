@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, html_region, langid, line_spread, pii, simhash, toxicity, url_trust
+from . import ann, bpe, decontaminate, html_region, langid, line_spread, pii, simhash, toxicity, url_trust
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -43,6 +43,11 @@ def _op2(spark, folder):
     return line_spread.remove_boilerplate(table(spark, folder, "documents"), keep=["doc_id", "text"])
 
 
+@_query("op3_learned_partitions")
+def _op3(spark, folder):
+    return ann.nearest(table(spark, folder, "embeddings"), "id % 20 = 0")
+
+
 @_query("op4_qgram_decontamination")
 def _op4(spark, folder):
     return decontaminate.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
