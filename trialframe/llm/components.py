@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..sources.scratch import drop_path, fresh_path
+from ..sources.scratch import drop_path, fresh_path, stored
 
 MAX_ROUNDS = 60
 
@@ -37,8 +37,9 @@ def connected(edges: DataFrame) -> DataFrame:
     Nodes without an edge, and the roots themselves, are not listed.
     """
     spark = edges.sparkSession
-    edges = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct()
-    before, old = None, None
+    first = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct()
+    # written once: a round reads its edges several times
+    edges, before, old = stored(first, "edges"), None, None
     for _ in range(MAX_ROUNDS):
         path = fresh_path(spark, "stars")
         _small_star(_large_star(edges) if old else edges).write.parquet(path)

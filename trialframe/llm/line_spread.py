@@ -92,14 +92,16 @@ def remove_boilerplate(
                     gone = set(gone)
                     text = "\n".join(x for i, x in enumerate(lines) if i not in gone)
                 cleaned.append(text)
-            return cleaned, n_lines, n_removed
+            return (cleaned, n_lines, n_removed) if counts else (cleaned,)
 
         return work
 
-    new = [T.StructField("text", T.StringType()), T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType())]
+    new = [T.StructField("text", T.StringType())]
+    if counts:
+        new += [T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType())]
     out = append_columns(joined, ["text", "__gone"], new, make, [c for c in keep if c != "text"])
-    order = [f"`{c}`" for c in keep if c.lower() not in ("n_lines", "n_removed")]
-    return out.select(*order, *(["n_lines", "n_removed"] if counts else []))
+    fresh = [f.name for f in new if f.name != "text"]
+    return out.select(*[f"`{c}`" for c in keep if c.lower() not in fresh], *fresh)
 
 
 SQL = f"""
