@@ -45,6 +45,8 @@ MAX_WORDS = 4000
 LANDMARKS = 160
 #: Distinct clean words that train the machine, besides those nearest to witnesses.
 CLEAN_WORDS = 6000
+#: Toxic texts let pass that weigh as much as one clean text rejected, by shares of either.
+CLEAN_COST = 3.0
 _CACHE_WORDS = 200_000
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 _INNER = re.compile(r"[\W\d_]+")
@@ -136,8 +138,6 @@ class Scorer:
         self.cache: dict[str, float] = {}
 
     def learn(self, raw: set[str]) -> None:
-        if len(self.cache) + len(raw) > _CACHE_WORDS:
-            self.cache.clear()
         parts: dict[str, float] = {}
         used = {t: [p for w in forms(t) for p in pieces_of(w)] for t in raw}
         by_length = defaultdict(list)
@@ -161,35 +161,54 @@ class Scorer:
         for t, ps in used.items():
             cache[t] = max((parts[p] for p in ps), default=bias)
 
-    def margin(self, text: str) -> float:
-        """The largest margin of a word of the text; the bias where there is none."""
-        raw = tokens(text)
+    def margins(self, texts: list[str | None]) -> np.ndarray:
+        """For each text the largest margin of a word; the bias where there is none."""
+        raw = [tokens(t) if t else set() for t in texts]
+        used = set().union(*raw)
         cache = self.cache
-        missing = raw.difference(cache)
+        missing = used.difference(cache)
         if missing:
+            # unseen words of all texts at once: the work is in arrays over many words
+            if len(cache) + len(missing) > _CACHE_WORDS:
+                cache.clear()
+                missing = used
             self.learn(missing)
-        return max(map(cache.__getitem__, raw), default=self.bias)
+        return np.array([max(map(cache.__getitem__, r), default=self.bias) for r in raw])
 
 
-def _phi(space: Subsequences, words: list[str], index: dict[int, int]) -> np.ndarray:
-    """Normalised subsequence vectors over the subsequences of the index."""
-    table = np.full(space.size**3, -1, np.int64)
-    table[list(index)] = list(index.values())
-    out = np.zeros((len(words), len(index) + 1), np.float32)
-    by_length = defaultdict(list)
+def _by_length(words: list[str], most: int):
+    """Row numbers of words of one length, at most so many at a time; too short ones are left out."""
+    groups = defaultdict(list)
     for i, w in enumerate(words):
-        by_length[len(w)].append(i)
-    for n, rows in by_length.items():
-        if n < 3:
-            continue
+        if len(w) >= 3:
+            groups[len(w)].append(i)
+    for n, rows in groups.items():
+        size = max(1, most // (n * (n - 1) * (n - 2) // 6))
+        for at in range(0, len(rows), size):
+            yield rows[at : at + size]
+
+
+def _kernels(space: Subsequences, words: list[str], place: np.ndarray, vectors: np.ndarray) -> np.ndarray:
+    """Kernels of words with vectors over the placed subsequences (its last row is 0)."""
+    out = np.zeros((len(words), vectors.shape[1]))
+    for rows in _by_length(words, 4_000_000 // vectors.shape[1]):
+        block = [words[i] for i in rows]
+        code, weight = space.codes(space.letters(block))
+        out[rows] = np.einsum("bcm,c->bm", vectors[place[code]], weight) / space.norms(block)[:, None]
+    return out
+
+
+def _vectors(space: Subsequences, words: list[str], place: np.ndarray, width: int) -> np.ndarray:
+    """Normalised subsequence vectors of a few words, as columns, with a last row of 0."""
+    out = np.zeros((width + 1, len(words)), np.float32)
+    for rows in _by_length(words, 1_000_000):
         block = [words[i] for i in rows]
         code, weight = space.codes(space.letters(block))
-        at = table[code]
-        part = np.zeros((len(rows), len(index) + 1), np.float32)
-        np.add.at(part, (np.arange(len(rows))[:, None], at), np.broadcast_to(weight, at.shape))
-        part[:, -1] = 0
-        out[rows] = part / space.norms(block)[:, None]
-    return out[:, :-1]
+        at = place[code]
+        np.add.at(out, (at, np.array(rows)[:, None]), np.broadcast_to(weight, at.shape))
+        out[:, rows] /= space.norms(block)
+    out[-1] = 0
+    return out
 
 
 def _machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray, strength: float = 0.01) -> np.ndarray:
@@ -232,21 +251,32 @@ def _witnesses(toxic: list[set[str]], clean: list[set[str]]) -> dict[str, float]
     """Words of toxic bags that clean ones hardly hold, with their share of all bags that hold them."""
     df = Counter(w for b in [*toxic, *clean] for w in b)
     groups = _clusters([*toxic, *clean], df)
-    holders: dict[str, tuple[set[int], set[int]]] = defaultdict(lambda: (set(), set()))
+    holders: dict[str, set[tuple[bool, int]]] = defaultdict(set)
     for i, bag in enumerate([*toxic, *clean]):
         for w in bag:
-            holders[w][i >= len(toxic)].add(groups[i])
+            if df[w] >= 3:
+                holders[w].add((i < len(toxic), groups[i]))
     nt, nc = len({*groups[: len(toxic)]}), len({*groups[len(toxic) :]})
     prior = nt / max(1, nt + nc)
     out = {}
-    for w, (t, c) in holders.items():
-        a, b = len(t), len(c)
+    for w, held in holders.items():
+        a = sum(is_toxic for is_toxic, _ in held)
+        b = len(held) - a
         expected = (a + b) * prior
         if len(w) > 2 and a >= 3 and (a - expected) / np.sqrt(expected * (1 - prior)) > 3.5 - (b == 0) and a / nt > 8 * b / max(1, nc):
             out[w] = a / (a + b)
     return out
 
 
+def _misspelt(word: str, alphabet: str) -> list[str]:
+    """The word with one character more: a doubled one, and a stray one, at each inner place."""
+    out = []
+    for i in range(1, len(word) if 4 <= len(word) < SPAN else 0):
+        stray = alphabet[zlib.crc32(f"{word} {i}".encode("utf-8", "surrogatepass")) % len(alphabet)]
+        out += [word[:i] + word[i - 1 :], word[:i] + stray + word[i:]]
+    return out
+
+
 class Model:
     """A fitted machine: what tasks need to score texts."""
 
@@ -289,39 +319,37 @@ def fit(texts: list[str], labels: list[int]) -> Model:
     positive = sorted(found, key=lambda w: (-found[w], w))[: LANDMARKS // 2]
     alphabet = "".join(sorted({c for w in found for c in w if ord(c) <= 0xFFFF})[:80])
     space = Subsequences(alphabet)
-    kept: dict[int, int] = {}
+    used = {0}
     for w in positive:
         if len(w) >= 3:
-            for c in np.unique(space.codes(space.letters([w]))[0]):
-                if c:
-                    kept.setdefault(int(c), len(kept))
-    seeds = _phi(space, positive, kept)
+            used.update(np.unique(space.codes(space.letters([w]))[0]).tolist())
+    kept = sorted(used - {0})
+    place = np.full(space.size**3, len(kept), np.int64)
+    place[kept] = np.arange(len(kept))
 
     # distinct clean words: a hash sample, and those that come nearest to a witness
     words = sorted({w for i in clean for w in bags[i] if len(w) >= 3}, key=lambda w: zlib.crc32(w.encode("utf-8", "surrogatepass")))
-    nearness = np.concatenate([
-        (_phi(space, words[i : i + 1024], kept) @ seeds.T).max(axis=1) for i in range(0, len(words), 1024)
-    ]) if words else np.empty(0)
+    seeds = _vectors(space, positive, place, len(kept))
+    nearness = np.concatenate([_kernels(space, words[i : i + 10_000], place, seeds).max(axis=1) for i in range(0, len(words), 10_000)] or [np.empty(0)])
     hard = [words[i] for i in np.argsort(-nearness, kind="stable")[:CLEAN_WORDS]]
     negative = list(dict.fromkeys([*hard, *words[:CLEAN_WORDS]]))
     landmarks = [*positive, *hard[: LANDMARKS - len(positive)]]
-    marks = _phi(space, landmarks, kept).astype(float)
-    values, vectors = np.linalg.eigh(marks @ marks.T)
+    marks = _vectors(space, landmarks, place, len(kept))
+    values, vectors = np.linalg.eigh(marks.T.astype(float) @ marks)
     good = values > 1e-6 * values.max()
     whiten = vectors[:, good] / np.sqrt(values[good])
 
-    def features(some: list[str]) -> np.ndarray:
-        return np.concatenate([_phi(space, some[i : i + 1024], kept) @ marks.T for i in range(0, len(some), 1024)]) @ whiten
-
     # sentences: a clean one by its most telling word, a toxic one by its witness
     number = {w: i for i, w in enumerate(dict.fromkeys([*found, *negative]))}
-    x = features(list(number))
+    clean_words = set(words)
+    altered = [v for w in positive for v in dict.fromkeys(_misspelt(w, alphabet)) if v not in clean_words]
+    x = _kernels(space, list(number), place, marks) @ whiten
     toxic_rows = [[number[w] for w in s if w in found] for i in toxic for s in sentences[i]]
     toxic_rows = [r for r in toxic_rows if r]
     clean_rows = [[number[w] for w in s if w in number] for i in clean for s in sentences[i]]
     clean_rows = [r for r in clean_rows if r]
     margin = np.array([found.get(w, 0.0) for w in number])
-    beta = None
+    beta, bent = None, _kernels(space, altered, place, marks) @ whiten
     for _ in range(4):
         pos = Counter(max(r, key=margin.__getitem__) for r in toxic_rows)
         neg = Counter(max(r, key=margin.__getitem__) for r in clean_rows)
@@ -333,31 +361,47 @@ def fit(texts: list[str], labels: list[int]) -> Model:
         c = np.sqrt(np.array([*pos.values(), *neg.values()], float))
         c[: len(pos)] /= max(c[: len(pos)].sum(), 1e-9)
         c[len(pos) :] /= max(c[len(pos) :].sum(), 1e-9)
-        beta = _machine(x[rows], y, c, 1e-4)
+        # witnesses with a character too many count as a sixth of a label more
+        extra = np.full(len(bent), 0.16 / max(1, len(bent)))
+        beta = _machine(np.vstack([x[rows], bent]), np.append(y, np.ones(len(bent))), np.append(c, extra), 1e-4)
         margin = x @ beta[:-1] + beta[-1]
 
-    weights = np.zeros(space.size**3, np.float32)
-    weights[list(kept)] = marks.T @ (whiten @ beta[:-1])
+    weights = np.append(marks[:-1] @ (whiten @ beta[:-1]), 0.0).astype(np.float32)[place]
     model = Model(alphabet, weights, float(beta[-1]))
     scorer = model.scorer()
-    margins = np.array([scorer.margin(t) for t in texts])
+    margins = np.concatenate([scorer.margins(texts[i : i + 500]) for i in range(0, len(texts), 500)])
     model.slope, model.offset = _calibrate(margins, np.array(labels, float))
     return model
 
 
 def _calibrate(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Logistic regression of the label on the margin, classes weighted alike."""
+    """Slope by logistic regression, classes weighted alike; offset so that 0.5 lies at the best cut.
+
+    A clean text above the cut weighs as CLEAN_COST toxic ones below it; of cuts that
+    are as good, the one in the middle of the widest gap.
+    """
     c = np.where(y > 0, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum()))
     x = np.column_stack([margin, np.ones(len(margin))])
     w = np.zeros(2)
+    ridge = np.diag([1e-4, 1e-6])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -500, 500)))
-        ridge = np.diag([1e-4, 1e-6])
         step = np.linalg.solve((x * (c * p * (1 - p))[:, None]).T @ x + ridge, x.T @ (c * (y - p)) - ridge @ w)
         w += step
         if np.abs(step).max() < 1e-9:
             break
-    return float(max(w[0], 0.0)), float(w[1])
+    slope = float(max(w[0], 0.0))
+    at = np.unique(margin)
+    if len(at) < 2 or not slope:
+        return slope, float(w[1])
+    toxic, clean = np.sort(margin[y > 0]), np.sort(margin[y == 0])
+    # the cut above at[i]: toxic texts at or below it are missed, clean ones above it rejected
+    missed = np.searchsorted(toxic, at[:-1], side="right") / len(toxic)
+    rejected = 1 - np.searchsorted(clean, at[:-1], side="right") / len(clean)
+    loss = missed + CLEAN_COST * rejected
+    best = np.flatnonzero(loss <= loss.min() + 1e-12)
+    i = best[np.argmax(np.diff(at)[best])]
+    return slope, -slope * float(at[i] + at[i + 1]) / 2
 
 
 def fit_on(documents: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, training: str = "true") -> Model:
@@ -386,7 +430,7 @@ def score(documents: DataFrame, model: Model, keep: list[str] | None = None) ->
         scorer = model.scorer()
 
         def work(texts):
-            p = model.probability(np.array([scorer.margin(t or "") for t in texts]))
+            p = model.probability(scorer.margins(texts))
             return [p, (p >= 0.5).astype("int32")]
 
         return work
@@ -411,6 +455,6 @@ def without_toxic(documents: DataFrame, labels: DataFrame, per_class: int = PER_
 
     def make():
         scorer = model.scorer()
-        return lambda texts: [model.probability(np.array([scorer.margin(t or "") for t in texts])) < 0.5]
+        return lambda texts: [model.probability(scorer.margins(texts)) < 0.5]
 
     return append_columns(marked, ["__text"], [T.StructField("__kept", T.BooleanType())], make, documents.columns).where("__kept").drop("__kept")
