@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from .arrow import append_columns
 
-DECAY = 0.6
+DECAY = 0.7
 SPAN = 12
 PER_CLASS = 3000
 MAX_WORDS = 4000
