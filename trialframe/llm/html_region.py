@@ -1,7 +1,8 @@
 """Main text of HTML pages as the maximum-scoring subsequence of their tokens.
 
-A page is a sequence of tags and words. Words score positive, less so (or below zero)
-inside elements that in labelled pages hold little main text; tags score negative.
+A page is a sequence of tags and words. Words score positive, less so inside elements
+that in labelled pages hold little main text, and slightly below zero in elements
+that are left out; tags score negative.
 One linear scan finds the contiguous run with the greatest sum, the content region;
 elements of a kind that is not content are left out of it.
 
@@ -189,7 +190,7 @@ class Weights:
 
     def tag(self, name: str) -> float:
         inside, outside = self.counts.get(name, (0, 0))
-        return -0.1 if name in _INLINE_SET else max(-3.0, min(-0.15, math.log((inside + 10.0) / (outside + 10.0))))
+        return -0.1 if name in _INLINE_SET else max(-1.0, min(-0.15, math.log((inside + 10.0) / (outside + 10.0))))
 
 
 def main_text(page: str | None, weights: Weights) -> str:
@@ -212,7 +213,8 @@ def main_text(page: str | None, weights: Weights) -> str:
         words = len(text.split())
         weight = min((o for o, _ in state), default=1.0)
         side = any(s for _, s in state)
-        steps.append(words * (min(weight, -0.5) if side else max(weight, 0.5)))
+        # what is left out anyway hardly parts the region that surrounds it
+        steps.append(-min(1.0, 0.05 * words) if side else words * max(weight, 0.5))
         kept.append(("side" if side else "text", text))
     best, first, last, total, start = 0.0, 0, -1, 0.0, 0
     for i, value in enumerate(steps):

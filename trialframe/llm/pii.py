@@ -3,8 +3,8 @@
 Base spans are e-mail addresses, IP addresses, card and phone numbers, by their
 written form. Their contexts, the two words before or the words on either side, become
 lexical patterns. Spark scores the graph of patterns and instances in rounds: a
-pattern by the mean score of its distinct instances, an instance by the best pattern
-it stands in, base spans always by one. A pattern that is confident enough, for one
+pattern by the mean score of its distinct instances, base spans by one, another
+instance by the best other pattern that it stands in. A pattern that is confident enough, for one
 kind, on enough distinct known instances and documents, discovers other tokens that
 hold a digit in its place, as spans of its kind.
 
@@ -166,12 +166,14 @@ def confident_patterns(
     scores = graph.groupBy("pattern", "own").agg(F.avg(F.coalesce(known, F.lit(0.0))).alias("score"))
     for _ in range(rounds):
         scores = stored(scores, "patterns")
-        # an unknown instance takes the best score of a pattern of the kind that it stands in
-        best = (
-            graph.where("kind is null").join(scores.select("pattern", "score"), "pattern")
-            .groupBy("instance", "own").agg(F.max("score").alias("reached"))
+        # an unknown instance counts by the best other pattern of the kind that it stands in
+        held = graph.where("kind is null").join(scores.select("pattern", "score"), "pattern").select("instance", "own", "pattern", "score")
+        top = held.groupBy("instance", "own").agg(F.max(F.struct("score", "pattern")).alias("top"))
+        both = held.join(top, ["instance", "own"])
+        second = both.where("pattern != top.pattern").groupBy("instance", "own").agg(F.max("score").alias("second"))
+        unknown = both.join(second, ["instance", "own"], "left").select(
+            "pattern", "own", F.when(F.col("pattern") != F.col("top.pattern"), F.col("top.score")).otherwise(F.coalesce("second", F.lit(0.0))).alias("s")
         )
-        unknown = graph.where("kind is null").join(best, ["instance", "own"]).select("pattern", "own", F.col("reached").alias("s"))
         certain = graph.where("kind is not null").select("pattern", "own", known.alias("s"))
         scores = certain.unionByName(unknown).groupBy("pattern", "own").agg(F.avg("s").alias("score"))
     return stored(scores.where(F.col("score") >= confidence).select("pattern", F.col("own").alias("kind")), "confident")
