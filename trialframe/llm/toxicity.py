@@ -40,7 +40,7 @@ from .arrow import append_columns
 
 DECAY = 0.7
 SPAN = 12
-PER_CLASS = 3000
+PER_CLASS = 1500
 MAX_WORDS = 4000
 LANDMARKS = 160
 #: Distinct clean words that train the machine, besides those nearest to witnesses.
@@ -227,7 +227,7 @@ def _machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray, strength: float =
     return w  # the last steps alternate between sets that differ in rows on the margin
 
 
-def _clusters(bags: list[set[str]], df: Counter) -> list[int]:
+def _clusters(bags: list[np.ndarray], df: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     """A number for each bag; near copies, which share rare words' least hashes, get the same."""
     parent = list(range(len(bags)))
 
@@ -240,32 +240,29 @@ def _clusters(bags: list[set[str]], df: Counter) -> list[int]:
     seen: dict[tuple[int, int], int] = {}
     common = max(20, len(bags) // 100)
     for i, bag in enumerate(bags):
-        rare = [zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in bag if 1 < df[w] <= common]
+        rare = hashes[bag[(df[bag] > 1) & (df[bag] <= common)]]
         for k in range(4 if len(rare) >= 8 else 0):
-            least = min((h * (2 * k + 0x9E3779B1) + k * 0x85EBCA6B) & 0xFFFFFFFF for h in rare)
+            least = int(((rare * np.uint64(2 * k + 0x9E3779B1) + np.uint64(k * 0x85EBCA6B)) & np.uint64(0xFFFFFFFF)).min())
             parent[root(i)] = root(seen.setdefault((k, least), i))
-    return [root(i) for i in range(len(bags))]
-
-
-def _witnesses(toxic: list[set[str]], clean: list[set[str]]) -> dict[str, float]:
-    """Words of toxic bags that clean ones hardly hold, with their share of all bags that hold them."""
-    df = Counter(w for b in [*toxic, *clean] for w in b)
-    groups = _clusters([*toxic, *clean], df)
-    holders: dict[str, set[tuple[bool, int]]] = defaultdict(set)
-    for i, bag in enumerate([*toxic, *clean]):
-        for w in bag:
-            if df[w] >= 3:
-                holders[w].add((i < len(toxic), groups[i]))
-    nt, nc = len({*groups[: len(toxic)]}), len({*groups[len(toxic) :]})
-    prior = nt / max(1, nt + nc)
-    out = {}
-    for w, held in holders.items():
-        a = sum(is_toxic for is_toxic, _ in held)
-        b = len(held) - a
-        expected = (a + b) * prior
-        if len(w) > 2 and a >= 3 and (a - expected) / np.sqrt(expected * (1 - prior)) > 3.5 - (b == 0) and a / nt > 8 * b / max(1, nc):
-            out[w] = a / (a + b)
-    return out
+    return np.array([root(i) for i in range(len(bags))])
+
+
+def _witnesses(bags: list[np.ndarray], toxic: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Words that clean bags hardly hold, and the share of toxic ones among the bags that hold them."""
+    words = np.concatenate(bags)
+    df = np.bincount(words, minlength=len(hashes))
+    groups = _clusters(bags, df, hashes)
+    size = [len(b) for b in bags]
+    # a cluster of near copies counts once for each label
+    held = np.unique(np.column_stack([words, np.repeat(toxic, size), np.repeat(groups, size)])[df[words] >= 3], axis=0)
+    a = np.bincount(held[held[:, 1] == 1, 0], minlength=len(hashes))
+    b = np.bincount(held[held[:, 1] == 0, 0], minlength=len(hashes))
+    nt, nc = len(np.unique(groups[toxic])), len(np.unique(groups[~toxic]))
+    prior = nt / (nt + nc)
+    expected = np.maximum((a + b) * prior, 1e-9)
+    sure = (a - expected) / np.sqrt(expected * (1 - prior)) > 3.5 - (b == 0)
+    found = np.flatnonzero((a >= 3) & sure & (a / nt > 8 * b / nc))
+    return found, a[found] / (a + b)[found]
 
 
 def _misspelt(word: str, alphabet: str) -> list[str]:
@@ -298,26 +295,30 @@ def _prior_only(n_toxic: int, n_clean: int) -> Model:
 
 def fit(texts: list[str], labels: list[int]) -> Model:
     """Train on labelled texts."""
+    toxic = np.array(labels, bool)
+    number: dict[str, int] = {}
     bags, sentences = [], []
     for text in texts:
-        own, bag = [], set()
+        own = []
         for part in _SENTENCE.split(text):
             words = {p for t in tokens(part) for w in forms(t) for p in pieces_of(w)}
             if words:
-                own.append(words)
-                bag |= words
+                own.append(np.fromiter((number.setdefault(w, len(number)) for w in words), np.int32, len(words)))
         sentences.append(own)
-        bags.append(bag if len(bag) <= MAX_WORDS else set(sorted(bag, key=lambda w: zlib.crc32(w.encode("utf-8", "surrogatepass")))[:MAX_WORDS]))
-    toxic = [i for i, y in enumerate(labels) if y]
-    clean = [i for i, y in enumerate(labels) if not y]
-    if not toxic or not clean:
-        return _prior_only(len(toxic), len(clean))
-    found = _witnesses([bags[i] for i in toxic], [bags[i] for i in clean])
-    if not found:
-        return _prior_only(len(toxic), len(clean))
-
-    positive = sorted(found, key=lambda w: (-found[w], w))[: LANDMARKS // 2]
-    alphabet = "".join(sorted({c for w in found for c in w if ord(c) <= 0xFFFF})[:80])
+        bags.append(np.unique(np.concatenate(own)) if own else np.empty(0, np.int32))
+    if not toxic.any() or toxic.all() or not number:
+        return _prior_only(int(toxic.sum()), int((~toxic).sum()))
+    names = np.array(list(number), object)
+    number.clear()
+    hashes = np.array([zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in names], np.uint64)
+    bags = [b if len(b) <= MAX_WORDS else b[np.argsort(hashes[b], kind="stable")[:MAX_WORDS]] for b in bags]
+    found, share = _witnesses(bags, toxic, hashes)
+    if not len(found):
+        return _prior_only(int(toxic.sum()), int((~toxic).sum()))
+
+    witnesses = names[found].tolist()
+    positive = [witnesses[i] for i in np.lexsort((names[found].astype(str), -share))[: LANDMARKS // 2]]
+    alphabet = "".join(sorted({c for w in witnesses for c in w if ord(c) <= 0xFFFF})[:80])
     space = Subsequences(alphabet)
     used = {0}
     for w in positive:
@@ -328,7 +329,9 @@ def fit(texts: list[str], labels: list[int]) -> Model:
     place[kept] = np.arange(len(kept))
 
     # distinct clean words: a hash sample, and those that come nearest to a witness
-    words = sorted({w for i in clean for w in bags[i] if len(w) >= 3}, key=lambda w: zlib.crc32(w.encode("utf-8", "surrogatepass")))
+    clean = np.unique(np.concatenate([b for b, y in zip(bags, toxic) if not y]))
+    clean = clean[np.argsort(hashes[clean], kind="stable")]
+    words = [w for w in names[clean].tolist() if len(w) >= 3]
     seeds = _vectors(space, positive, place, len(kept))
     nearness = np.concatenate([_kernels(space, words[i : i + 10_000], place, seeds).max(axis=1) for i in range(0, len(words), 10_000)] or [np.empty(0)])
     hard = [words[i] for i in np.argsort(-nearness, kind="stable")[:CLEAN_WORDS]]
@@ -340,21 +343,29 @@ def fit(texts: list[str], labels: list[int]) -> Model:
     whiten = vectors[:, good] / np.sqrt(values[good])
 
     # sentences: a clean one by its most telling word, a toxic one by its witness
-    number = {w: i for i, w in enumerate(dict.fromkeys([*found, *negative]))}
+    chosen = list(dict.fromkeys([*witnesses, *negative]))
+    row = dict(zip(chosen, range(len(chosen))))
+    of = np.array([row.get(w, -1) for w in names.tolist()])
+    is_witness = np.zeros(len(chosen), bool)
+    is_witness[: len(witnesses)] = True
     clean_words = set(words)
     altered = [v for w in positive for v in dict.fromkeys(_misspelt(w, alphabet)) if v not in clean_words]
-    x = _kernels(space, list(number), place, marks) @ whiten
-    toxic_rows = [[number[w] for w in s if w in found] for i in toxic for s in sentences[i]]
-    toxic_rows = [r for r in toxic_rows if r]
-    clean_rows = [[number[w] for w in s if w in number] for i in clean for s in sentences[i]]
-    clean_rows = [r for r in clean_rows if r]
-    margin = np.array([found.get(w, 0.0) for w in number])
-    beta, bent = None, _kernels(space, altered, place, marks) @ whiten
+    x = _kernels(space, chosen, place, marks) @ whiten
+    bent = _kernels(space, altered, place, marks) @ whiten
+    toxic_rows, clean_rows = [], []
+    for own, y in zip(sentences, toxic):
+        for s in own:
+            r = of[s]
+            r = r[(r >= 0) & is_witness[r]] if y else r[r >= 0]
+            if len(r):
+                (toxic_rows if y else clean_rows).append(r)
+    margin = np.zeros(len(chosen))
+    margin[: len(witnesses)] = share
     for _ in range(4):
-        pos = Counter(max(r, key=margin.__getitem__) for r in toxic_rows)
-        neg = Counter(max(r, key=margin.__getitem__) for r in clean_rows)
+        pos = Counter(int(r[margin[r].argmax()]) for r in toxic_rows)
+        neg = Counter(int(r[margin[r].argmax()]) for r in clean_rows)
         for w in negative:
-            neg[number[w]] += 0 if w in found else 1
+            neg[row[w]] += 1 - int(is_witness[row[w]])
         rows = np.array([*pos, *neg])
         y = np.array([1.0] * len(pos) + [-1.0] * len(neg))
         # a word counts by the root of the sentences it stands for, each label by half
@@ -369,7 +380,7 @@ def fit(texts: list[str], labels: list[int]) -> Model:
     weights = np.append(marks[:-1] @ (whiten @ beta[:-1]), 0.0).astype(np.float32)[place]
     model = Model(alphabet, weights, float(beta[-1]))
     scorer = model.scorer()
-    margins = np.concatenate([scorer.margins(texts[i : i + 500]) for i in range(0, len(texts), 500)])
+    margins = np.concatenate([scorer.margins(texts[i : i + 250]) for i in range(0, len(texts), 250)])
     model.slope, model.offset = _calibrate(margins, np.array(labels, float))
     return model
 
