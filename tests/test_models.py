@@ -169,10 +169,14 @@ def _f_terms(x, y):
     return ss / (((y**2).sum() - ss.sum()) / (n - q - 1))
 
 
-@pytest.mark.parametrize("block_rows", [None, 1000])
-def test_term_test_agrees_with_full_refits(spark, rda, block_rows):
+@pytest.mark.parametrize("design", ["free", "one stratum", "normal"])
+def test_term_test_agrees_with_full_refits(spark, rda, design):
     fit, df, x, y = rda
-    sums = permute.permuted_sums(fit, df, ["id"], 499, 3, block_rows)
+    if design == "normal":
+        sums = permute.normal_sums(fit, 1999, 3)
+    else:
+        strata = None if design == "free" else "all"
+        sums = permute.permuted_sums(fit, df.withColumn("all", F.lit(1)), ["id"], 499, 3, strata)
     got = permute.terms_test(fit, sums).toPandas().set_index("term")
     rng = np.random.default_rng(0)
     observed = _f_terms(x, y)
@@ -209,14 +213,38 @@ def test_axis_test_agrees_with_full_refits(spark, rda):
 def test_slicing_and_partitioning_change_no_permutation(spark, rda, monkeypatch):
     fit, df, _, _ = rda
 
-    def result(df):
-        rows = permute.permuted_sums(fit, df, ["id"], 5, 3).orderBy("b").toPandas()
+    def result(df, **design):
+        rows = permute.permuted_sums(fit, df, ["id"], 5, 3, **design).orderBy("b").toPandas()
         return rows.to_numpy()
 
     whole = result(df)
     np.testing.assert_allclose(result(df.repartition(1)), whole)
+    np.testing.assert_allclose(result(df.withColumn("all", F.lit("x")), strata="all"), whole)
     monkeypatch.setattr(permute, "_RANKED_ROWS", 10)
     np.testing.assert_allclose(result(df), whole)
-    blocks = [permute.permuted_sums(fit, d, ["id"], 5, 3, 10).orderBy("b").toPandas().to_numpy()
-              for d in (df, df.repartition(1))]
-    np.testing.assert_allclose(*blocks)
+
+
+def test_strata_keep_rows_inside(spark, rda):
+    fit, df, x, y = rda
+    alone = permute.permuted_sums(fit, df, ["id"], 3, 3, strata="id").toPandas()
+    observed = fit.z_y.ravel()
+    for row in alone.drop(columns="b").to_numpy():
+        np.testing.assert_allclose(row, observed, atol=1e-9)
+
+
+def test_row_keys_tell_missing_and_separated_values_apart(spark, rda):
+    rows = [("1", "2", None), ("1", None, "2"), ("1-2", None, None), ("1:2", "", None), ("", "1:2", None), (None, None, None)]
+    keys = spark.createDataFrame(rows, "a string, b string, c string").select(permute.row_key(["a", "b", "c"]).alias("k"))
+    assert keys.distinct().count() == len(rows)
+    fit, df, _, _ = rda
+    with pytest.raises(ValueError, match="identify"):
+        permute.permuted_sums(fit, df.withColumn("same", F.lit(1)), ["same"], 3)
+
+
+def test_normal_sums_have_the_moments_of_permutation(spark, rda):
+    fit, df, x, y = rda
+    got = permute.normal_sums(fit, 20_000, 1, with_predictors=True).drop("b").toPandas()
+    free = permute.permuted_sums(fit, df, ["id"], 4000, 1, with_predictors=True).drop("b").toPandas()
+    scale = np.sqrt(np.diag(free.cov()))
+    assert (abs(got.mean()) / scale < 0.05).all()
+    np.testing.assert_allclose(got.cov() / np.outer(scale, scale), free.cov() / np.outer(scale, scale), atol=0.12)

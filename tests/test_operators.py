@@ -60,7 +60,7 @@ def test_stack_fills_absent_columns(spark):
 
 def test_mutate_sees_earlier_values(spark):
     df = spark.createDataFrame([(2.0,)], "x double")
-    out = columns.mutate(df, x=F.col("x") * 10, y=F.col("x") + 1)
+    out = columns.mutate(df, [("x", F.col("x") * 10), ("y", F.col("x") + 1), ("x", F.col("x") * 1)])
     assert rows(out) == {(20.0, 21.0)}
 
 
@@ -162,3 +162,19 @@ def test_snapshot_is_partitioned_by_run_date(spark, tmp_path):
 
 def test_scratch_paths_never_repeat(spark):
     assert scratch.fresh_path(spark, "a") != scratch.fresh_path(spark, "a")
+
+
+def test_result_files_follow_the_caller_not_the_rows(spark, tmp_path):
+    def parts(path):
+        return len(list(path.glob("part-*.csv")))
+
+    rows = spark.range(1000, numPartitions=5).filter("id % 10 = 0")
+    writers.write_result_csv(rows, str(tmp_path / "as_is"))
+    writers.write_result_csv(rows, str(tmp_path / "two"), files=2)
+    assert parts(tmp_path / "as_is") == 5 and parts(tmp_path / "two") == 2
+
+
+def test_quoted_blanks_are_missing(spark, tmp_path):
+    (tmp_path / "q.csv").write_text('a,b\n"",1\nx,2\nNA,3\n')
+    got = readers.read_csv(spark, str(tmp_path / "q.csv"), "a string, b int").orderBy("b").collect()
+    assert [r.a for r in got] == [None, "x", None]

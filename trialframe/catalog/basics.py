@@ -98,7 +98,7 @@ def snk_result_csv(spark, folder):
     result = table(spark, folder, "orders").groupBy("o_orderpriority").agg(
         F.count(F.lit(1)).alias("n")
     )
-    path = writers.write_result_csv(result, scratch.fresh_path(spark, "result"))
+    path = writers.write_result_csv(result, scratch.fresh_path(spark, "result"), files=1)
     return readers.read_csv(spark, path, "o_orderpriority string, n bigint")
 
 
@@ -141,16 +141,14 @@ def proj_rename(spark, folder):
     FROM a""")
 def proj_sequential_mutate(spark, folder):
     # rate is used raw by ratio, then overwritten
-    out = columns.mutate(
+    return columns.mutate(
         table(spark, folder, "lineitem"),
-        rate=F.col("l_quantity") / 50,
-        ratio=F.round(F.col("rate") / (F.col("l_tax") + 1), 6),
-        rate_scaled=F.col("rate") * 100,
-        year=F.lit(2021),
-    )
-    return columns.mutate(out, rate=F.round("rate_scaled", 6)).select(
-        "l_orderkey", "l_linenumber", "rate", "ratio"
-    )
+        [
+            ("rate", F.col("l_quantity") / 50),
+            ("ratio", F.round(F.col("rate") / (F.col("l_tax") + 1), 6)),
+            ("rate", F.round(F.col("rate") * 100, 6)),
+        ],
+    ).select("l_orderkey", "l_linenumber", "rate", "ratio")
 
 
 @query("proj_across_round", """

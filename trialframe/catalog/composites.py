@@ -555,7 +555,7 @@ _TERM_LABELS = {"x1": "First", "x2": "Second", "Residual": "Residuals"}
 _TERM_LEVELS = ["Second", "First", "Residuals"]
 
 
-@query("variance_partition", models._EMBEDDED_SQL + f""",
+@query("variance_partition", models._suppliers_sql(models._TERM_DRAWS) + f""",
     terms AS ({models._terms_sql(12, ["x1", "x2"])}),
     named AS (SELECT CASE term WHEN 'x1' THEN 'First' WHEN 'x2' THEN 'Second' ELSE 'Residuals' END
                      AS term,
@@ -571,9 +571,7 @@ _TERM_LEVELS = ["Second", "First", "Residuals"]
                AS label
     FROM q""")
 def variance_partition(spark, folder):
-    fit, rows = models._embedded_fit(spark, folder)
-    sums = permute.permuted_sums(fit, rows, ["vec_id"], 999, models._SEED)
-    out = partition.variance_partition(permute.terms_test(fit, sums), _TERM_LABELS, _TERM_LEVELS)
+    out = partition.variance_partition(models._terms(spark, folder), _TERM_LABELS, _TERM_LEVELS)
     return rounded(out, 7, "prop", "cumsum", "pos")
 
 
@@ -613,7 +611,7 @@ def function_partition(spark, folder):
     """Functions on traits, climate change and interactions: 15 terms over the plot table."""
     derived = plots.analysis_groups(plots.derive(_plot_table(spark, folder)))
     fit, rows = partition.function_model(scratch.stored(derived, "derived"))
-    sums = permute.permuted_sums(fit, rows, ["combi_fac", "rep"], 999, models._SEED)
+    sums = permute.permuted_sums(fit, rows, ["combi_fac", "rep"], models._TERM_DRAWS, models._SEED)
     return partition.variance_partition(
         permute.terms_test(fit, sums), v.FUNCTION_TERM_LABELS, v.FUNCTION_TERM_LEVELS
     )

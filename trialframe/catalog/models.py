@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from ..functions import coding
 from ..operators import aggregates, crossproducts, linmodel, ordination, permute
 from ..plans import partition
+from ..sources import readers, writers
+from ..sources.scratch import fresh_path, stored
 from .registry import query, rounded, table
 
 # ---------------------------------------------------------------- linear models
@@ -350,16 +352,29 @@ def rda_contributions(spark, folder):
 _SEED = 7
 
 
-def _embedded(spark, folder):
-    """Two predictors and three responses per vector: components of the embedding."""
-    at = {"x1": 0, "x2": 1, "y1": 2, "y2": 3, "y3": 4}
-    return table(spark, folder, "embeddings").select(
-        "vec_id", *[F.col("embedding")[i].cast("double").alias(c) for c, i in at.items()]
+#: Permutations of the overall, the axis and the term tests.
+_OVERALL, _AXES, _TERM_DRAWS = 1000, 999, 10_000
+
+
+def _suppliers(spark, folder):
+    """Two predictors and three responses for each supplier: means over its lines; and its nation."""
+    c = F.col
+    means = table(spark, folder, "lineitem").groupBy("l_suppkey").agg(
+        F.avg("l_quantity").alias("x1"), (F.avg("l_tax") * 100).alias("x2"),
+        (F.avg("l_extendedprice") / 1000).alias("y1"), (F.avg("l_discount") * 100).alias("y2"),
+        F.avg(c("l_quantity") * c("l_discount")).alias("y3"),
     )
+    nations = table(spark, folder, "supplier").select("s_suppkey", "s_nationkey")
+    return stored(means.join(nations, means.l_suppkey == nations.s_suppkey), "suppliers")
+
 
+def _permuted_sql(source, permutations, responses, strata=False):
+    """Sums for every permutation of ``source(rid, x1, x2, y..)``, predictors orthonormalised.
 
-def _permuted_sql(source, permutations, responses):
-    """Sums for every permutation of ``source(rid, x1, x2, y..)``, predictors orthonormalised."""
+    With ``strata`` the source also has ``st``, and rows swap within its values.
+    """
+    st, within = ("st, ", ", st") if strata else ("", "")
+    match = "st, pos" if strata else "pos"
     ys = ", ".join(responses)
     centred = ", ".join(f"{c} - avg({c}) OVER () AS {c}" for c in ["x1", "x2", *responses])
     sums = ", ".join(f"sum(z{j} * {y}) AS s{j}_{y}" for j in (1, 2) for y in responses)
@@ -367,17 +382,22 @@ def _permuted_sql(source, permutations, responses):
     total = " + ".join(f"sum({y} * {y})" for y in responses)
     return f"""
     WITH base AS ({source}),
-    c AS (SELECT rid, {centred} FROM base),
+    c AS (SELECT rid, {st}{centred} FROM base),
     g AS (SELECT sum(x1 * x1) AS xx, sum(x1 * x2) AS xw FROM c),
-    o AS (SELECT rid, x1 / sqrt(xx) AS z1, x2 - xw / xx * x1 AS w, {ys} FROM c, g),
-    z AS (SELECT rid, z1, w / sqrt(sum(w * w) OVER ()) AS z2, {ys} FROM o),
-    stay AS (SELECT z1, z2, row_number() OVER (ORDER BY md5('{_SEED}-0-' || rid)) AS pos FROM z),
-    swap AS (SELECT b, {ys},
-                    row_number() OVER (PARTITION BY b ORDER BY md5('{_SEED}-' || b || '-' || rid))
+    o AS (SELECT rid, {st}x1 / sqrt(xx) AS z1, x2 - xw / xx * x1 AS w, {ys} FROM c, g),
+    z AS (SELECT rid, {st}z1, w / sqrt(sum(w * w) OVER ()) AS z2, {ys} FROM o),
+    stay AS (SELECT {st}z1, z2, row_number() OVER (PARTITION BY 0{within} ORDER BY md5('{_SEED}-0-' || rid)) AS pos FROM z),
+    swap AS (SELECT b, {st}{ys},
+                    row_number() OVER (PARTITION BY b{within} ORDER BY md5('{_SEED}-' || b || '-' || rid))
                         AS pos
              FROM z, range(1, {permutations + 1}) AS numbers(b)),
-    ps AS (SELECT b, {sums} FROM swap JOIN stay USING (pos) GROUP BY b),
-    p AS (SELECT {squares[1]} AS ss1, {squares[2]} AS ss2 FROM ps),
+    ps AS (SELECT b, {sums} FROM swap JOIN stay USING ({match}) GROUP BY b),
+{_tested_sql(sums, squares, total)}"""
+
+
+def _tested_sql(sums, squares, total):
+    """Observed sums next to those of each permutation ``ps``."""
+    return f"""    p AS (SELECT {squares[1]} AS ss1, {squares[2]} AS ss2 FROM ps),
     os AS (SELECT count(*) AS n, {total} AS sst, {sums} FROM z),
     obs AS (SELECT n, sst, n - 3 AS df, {squares[1]} AS o1, {squares[2]} AS o2 FROM os),
     t AS (SELECT obs.*, ss1, ss2, (sst - o1 - o2) / df AS oe, (sst - ss1 - ss2) / df AS pe
@@ -413,36 +433,49 @@ def _terms_sql(digits, names):
     return " UNION ALL ".join([*rows, rest])
 
 
-_EMBEDDED_SQL = _permuted_sql(
-    """SELECT CAST(vec_id AS VARCHAR) AS rid, embedding[1]::DOUBLE AS x1, embedding[2]::DOUBLE AS x2,
-              embedding[3]::DOUBLE AS y1, embedding[4]::DOUBLE AS y2, embedding[5]::DOUBLE AS y3
-       FROM embeddings""", 999, ["y1", "y2", "y3"])
-_ROW_KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity"]
-_LINES_SQL = _permuted_sql(
-    """SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey,
-                        CAST(l_quantity AS BIGINT)) AS rid,
-              l_quantity AS x1, l_tax * 100 AS x2, l_extendedprice / 1000 AS y1,
-              l_discount * 100 AS y2
-       FROM lineitem""", 9, ["y1", "y2"])
+def _suppliers_sql(permutations, strata=False):
+    return _permuted_sql(
+        f"""SELECT length(k) || ':' || k AS rid, {"st, " if strata else ""}x1, x2, y1, y2, y3 FROM (
+              SELECT CAST(l_suppkey AS VARCHAR) AS k, any_value(s_nationkey) AS st, avg(l_quantity) AS x1,
+                     avg(l_tax) * 100 AS x2, avg(l_extendedprice) / 1000 AS y1, avg(l_discount) * 100 AS y2,
+                     avg(l_quantity * l_discount) AS y3
+              FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1)""",
+        permutations, ["y1", "y2", "y3"], strata)
 
 
-def _embedded_fit(spark, folder):
-    rows = _embedded(spark, folder)
+def _supplier_fit(spark, folder):
+    rows = _suppliers(spark, folder)
     return ordination.redundancy(rows, ["y1", "y2", "y3"], ["x1", "x2"]), rows
 
 
-@query("rda_perm_overall", _EMBEDDED_SQL + _overall_sql(10))
+def _overall(spark, folder):
+    fit, rows = _supplier_fit(spark, folder)
+    return permute.overall_test(fit, permute.permuted_sums(fit, rows, ["l_suppkey"], _OVERALL, _SEED))
+
+
+def _axes(spark, folder):
+    fit, rows = _supplier_fit(spark, folder)
+    return permute.axes_test(fit, permute.permuted_sums(fit, rows, ["l_suppkey"], _AXES, _SEED, with_predictors=True))
+
+
+def _terms(spark, folder):
+    fit, rows = _supplier_fit(spark, folder)
+    return permute.terms_test(fit, permute.permuted_sums(fit, rows, ["l_suppkey"], _TERM_DRAWS, _SEED))
+
+
+def _rounded_test(out, digits):
+    out = rounded(rounded(out, digits, "variance"), 5, "statistic")
+    return rounded(out, 8, "prop") if "prop" in out.columns else out
+
+
+@query("rda_perm_overall", _suppliers_sql(_OVERALL) + _overall_sql(10))
 def rda_perm_overall(spark, folder):
-    fit, rows = _embedded_fit(spark, folder)
-    out = permute.overall_test(fit, permute.permuted_sums(fit, rows, ["vec_id"], 999, _SEED))
-    return rounded(rounded(out, 10, "variance"), 5, "statistic")
+    return _rounded_test(_overall(spark, folder), 10)
 
 
-@query("rda_perm_terms", _EMBEDDED_SQL + _terms_sql(10, ["x1", "x2"]))
+@query("rda_perm_terms", _suppliers_sql(_TERM_DRAWS) + _terms_sql(10, ["x1", "x2"]))
 def rda_perm_terms(spark, folder):
-    fit, rows = _embedded_fit(spark, folder)
-    out = permute.terms_test(fit, permute.permuted_sums(fit, rows, ["vec_id"], 999, _SEED))
-    return rounded(rounded(rounded(out, 10, "variance"), 5, "statistic"), 8, "prop")
+    return _rounded_test(_terms(spark, folder), 10)
 
 
 def _axis_sql(responses):
@@ -494,34 +527,76 @@ def _axis_sql(responses):
     UNION ALL SELECT 3, 'Residual', df, round((sst - o1 - o2) / (n - 1), 10), NULL, NULL FROM obs"""
 
 
-@query("rda_perm_axis", _EMBEDDED_SQL + _axis_sql(["y1", "y2", "y3"]))
+@query("rda_perm_axis", _suppliers_sql(_AXES) + _axis_sql(["y1", "y2", "y3"]))
 def rda_perm_axis(spark, folder):
-    fit, rows = _embedded_fit(spark, folder)
-    sums = permute.permuted_sums(fit, rows, ["vec_id"], 999, _SEED, with_predictors=True)
-    return rounded(rounded(permute.axes_test(fit, sums), 10, "variance"), 5, "statistic")
+    return _rounded_test(_axes(spark, folder), 10)
+
+
+def _export_sql():
+    """Overall and axis tests as one table, without residuals."""
+    overall = _suppliers_sql(_OVERALL) + _overall_sql(10)
+    axes = _suppliers_sql(_AXES) + _axis_sql(["y1", "y2", "y3"])
+    return f"""SELECT term, df, round_even(variance, 2) AS variance, round_even(statistic, 2) AS statistic,
+                      round_even(p_value, 2) AS p_value
+               FROM (SELECT * FROM ({overall}) UNION ALL SELECT * FROM ({axes})) WHERE term <> 'Residual'"""
+
+
+@query("rda_test_export", _export_sql())
+def rda_test_export(spark, folder):
+    out = permute.test_export(_overall(spark, folder), _axes(spark, folder))
+    path = writers.write_result_csv(out, fresh_path(spark, "tests"), files=1)
+    return readers.read_csv(spark, path, "term string, df bigint, variance double, statistic double, p_value double")
 
 
 def _lines(spark, folder):
     c = F.col
     return table(spark, folder, "lineitem").select(
-        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
-        c("l_quantity").cast("bigint").alias("l_quantity"), c("l_quantity").alias("x1"),
-        (c("l_tax") * 100).alias("x2"), (c("l_extendedprice") / 1000).alias("y1"),
+        c("l_quantity").alias("x1"), (c("l_tax") * 100).alias("x2"), (c("l_extendedprice") / 1000).alias("y1"),
         (c("l_discount") * 100).alias("y2"),
     )
 
 
+def _normal_sql(source, draws):
+    """Sums drawn from the normal limit, for two predictors and two responses."""
+    def uniform(text, first):
+        return f"((('0x' || substr({text}, {first}, 12))::BIGINT + 0.5) / 281474976710656.0)"
+
+    cells = ", ".join(
+        f"sqrt(-2 * ln({uniform(m, 1)})) * cos(2 * pi() * {uniform(m, 13)}) AS e{j}{i}"
+        for j in (0, 1) for i in (0, 1) for m in [f"md5('{_SEED}-n-' || b || '-{j}-{i}')"])
+    responses = ["y1", "y2"]
+    sums = ", ".join(f"sum(z{j} * {y}) AS s{j}_{y}" for j in (1, 2) for y in responses)
+    squares = {j: " + ".join(f"s{j}_{y} * s{j}_{y}" for y in responses) for j in (1, 2)}
+    drawn = ", ".join(
+        f"sqrt(a) * e{j}0 AS s{j + 1}_y1, w / sqrt(a) * e{j}0 + sqrt(d - w * w / a) * e{j}1 AS s{j + 1}_y2" for j in (0, 1))
+    return f"""
+    WITH base AS ({source}),
+    c AS (SELECT {", ".join(f"{v} - avg({v}) OVER () AS {v}" for v in ("x1", "x2", "y1", "y2"))} FROM base),
+    g AS (SELECT sum(x1 * x1) AS xx, sum(x1 * x2) AS xw FROM c),
+    o AS (SELECT x1 / sqrt(xx) AS z1, x2 - xw / xx * x1 AS w, y1, y2 FROM c, g),
+    z AS (SELECT z1, w / sqrt(sum(w * w) OVER ()) AS z2, y1, y2 FROM o),
+    sy AS (SELECT sum(y1 * y1) / (count(*) - 1) AS a, sum(y1 * y2) / (count(*) - 1) AS w,
+                  sum(y2 * y2) / (count(*) - 1) AS d FROM z),
+    e AS (SELECT b, {cells} FROM range(1, {draws + 1}) AS numbers(b)),
+    ps AS (SELECT b, {drawn} FROM e, sy),
+{_tested_sql(sums, squares, "sum(y1 * y1) + sum(y2 * y2)")}"""
+
+
+_LINES_SQL = _normal_sql(
+    """SELECT l_quantity AS x1, l_tax * 100 AS x2, l_extendedprice / 1000 AS y1, l_discount * 100 AS y2
+       FROM lineitem""", _TERM_DRAWS)
+
+
 @query("rda_perm_lines", _LINES_SQL + _terms_sql(6, ["x1", "x2"]))
 def rda_perm_lines(spark, folder):
-    rows = _lines(spark, folder)
-    fit = ordination.redundancy(rows, ["y1", "y2"], ["x1", "x2"])
-    out = permute.terms_test(fit, permute.permuted_sums(fit, rows, _ROW_KEY, 9, _SEED))
-    return rounded(rounded(rounded(out, 6, "variance"), 5, "statistic"), 8, "prop")
+    """Too many rows to permute ten thousand times: the caller asks for the normal limit."""
+    fit = ordination.redundancy(_lines(spark, folder), ["y1", "y2"], ["x1", "x2"])
+    return _rounded_test(permute.terms_test(fit, permute.normal_sums(fit, _TERM_DRAWS, _SEED)), 6)
 
 
-@query("rda_perm_blocks")
+@query("rda_perm_blocks", _suppliers_sql(_AXES, strata=True) + _terms_sql(10, ["x1", "x2"]))
 def rda_perm_blocks(spark, folder):
-    rows = _lines(spark, folder)
-    fit = ordination.redundancy(rows, ["y1", "y2"], ["x1", "x2"])
-    sums = permute.permuted_sums(fit, rows, _ROW_KEY, 199, _SEED, block_rows=50_000)
-    return permute.terms_test(fit, sums)
+    """Suppliers swap within their nation."""
+    fit, rows = _supplier_fit(spark, folder)
+    sums = permute.permuted_sums(fit, rows, ["l_suppkey"], _AXES, _SEED, strata="s_nationkey")
+    return _rounded_test(permute.terms_test(fit, sums), 10)

@@ -10,71 +10,62 @@ from statistics import NormalDist
 
 import numpy as np
 
-_LARGE = 2e5  # beyond this shape the incomplete beta goes over to a gamma tail
+# Steps of a continued fraction; its length grows with the root of the larger shape.
+_MOST_STEPS = 20_000_000
 
 
-def _gamma_upper(s: float, x: float) -> float:
-    """Regularised upper incomplete gamma Q(s, x)."""
-    if x <= 0:
-        return 1.0
-    front = math.exp(-x + s * math.log(x) - math.lgamma(s))
-    if x < s + 1:
-        term = total = 1.0 / s
-        k = s
-        while abs(term) > abs(total) * 1e-16:
-            k += 1
-            term *= x / k
-            total += term
-        return 1.0 - front * total
-    # Legendre continued fraction, evaluated by the modified Lentz method
-    b = x + 1 - s
-    c, d = 1e300, 1 / b
-    h = d
-    for i in range(1, 10_000):
-        an = -i * (i - s)
-        b += 2
-        d = 1 / (an * d + b)
-        c = b + an / c
-        step = c * d
-        h *= step
-        if abs(step - 1) < 1e-16:
-            break
-    return front * h
+def _stirling_rest(x: float) -> float:
+    """What Stirling's formula leaves of log gamma, for x of 10 or more."""
+    y = 1 / (x * x)
+    return (1 / 12 - y * (1 / 360 - y * (1 / 1260 - y * (1 / 1680 - y / 1188)))) / x
+
+
+def _log_gamma_ratio(a: float, b: float) -> float:
+    """log(gamma(a + b) / gamma(a)) without the difference of two large numbers."""
+    shift = 0.0
+    while a < 10:  # gamma(a + 1) = a gamma(a)
+        shift += math.log(a) - math.log(a + b)
+        a += 1
+    rest = _stirling_rest(a + b) - _stirling_rest(a)
+    return shift + (a - 0.5) * math.log1p(b / a) + b * (math.log(a + b) - 1) + rest
 
 
-def _beta_fraction(a: float, b: float, x: float) -> float:
+def _beta_fraction(a: float, b: float, x: float, y: float) -> float:
+    """Continued fraction of the incomplete beta, two steps in one, with y = 1 - x given.
+
+    Taken in pairs the steps need ``a y - b x``, which keeps its digits where x is
+    close to 1 and a is huge (DiDonato and Morris 1992).
+    """
     tiny = 1e-300
-    c, d = 1.0, 1 - (a + b) * x / (a + 1)
-    d = 1 / (d if abs(d) > tiny else tiny)
-    h = d
-    for m in range(1, 100_000):
-        for num in (
-            m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)),
-            -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1)),
-        ):
-            d = 1 + num * d
-            d = 1 / (d if abs(d) > tiny else tiny)
-            c = 1 + num / c
-            c = c if abs(c) > tiny else tiny
-            h *= d * c
-        if abs(d * c - 1) < 1e-15:
-            break
-    return h
+    excess = a * y - b * x
+    value, c, d = tiny, tiny, 0.0
+    for n in range(_MOST_STEPS):
+        step = a + 2 * n
+        up = 1.0 if n == 0 else (a + n - 1) * (a + b + n - 1) * n * (b - n) * (x / (step - 1)) ** 2
+        down = n + n * (b - n) * x / (step - 1 if n else 1) + (a + n) / (step + 1) * (excess + 1 + n * (1 + y))
+        d = down + up * d
+        d = 1 / (d if abs(d) > tiny else tiny)
+        c = down + up / c
+        c = c if abs(c) > tiny else tiny
+        value *= c * d
+        if abs(c * d - 1) < 1e-15:
+            return value
+    raise ArithmeticError(f"the incomplete beta did not converge for {a}, {b}, {x}")
 
 
 def _beta_lower(a: float, b: float, log_x: float) -> float:
     """Regularised incomplete beta I_x(a, b), x given by its logarithm."""
     if log_x >= 0:
         return 1.0
-    if a > _LARGE:
-        return _gamma_upper(b, -(a + (b - 1) / 2) * log_x)
     x, y = math.exp(log_x), -math.expm1(log_x)
+    # the smaller shape's gamma alone, the larger one's in the ratio
+    small, large = min(a, b), max(a, b)
     front = math.exp(
-        math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * log_x + b * math.log(y)
+        _log_gamma_ratio(large, small) - math.lgamma(small) + a * log_x + b * math.log(y)
     )
     if x < (a + 1) / (a + b + 2):
-        return front * _beta_fraction(a, b, x) / a
-    return 1 - front * _beta_fraction(b, a, y) / b
+        return front * _beta_fraction(a, b, x, y)
+    return 1 - front * _beta_fraction(b, a, y, x)
 
 
 def t_two_sided(t: float, df: float) -> float:

@@ -16,9 +16,9 @@ def prefixed(df: DataFrame, prefix: str) -> list[str]:
     return [c for c in df.columns if c.startswith(prefix)]
 
 
-def mutate(df: DataFrame, **steps: Column) -> DataFrame:
-    """Compute columns in order; a later one sees the earlier ones, overwritten or new."""
-    for name, value in steps.items():
+def mutate(df: DataFrame, steps: Iterable[tuple[str, Column]]) -> DataFrame:
+    """Compute columns in order; a later one sees the earlier ones, and may overwrite them."""
+    for name, value in steps:
         df = df.withColumn(name, value)
     return df
 

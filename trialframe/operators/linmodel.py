@@ -12,7 +12,7 @@ from collections.abc import Mapping, Sequence
 from typing import NamedTuple
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..functions.numeric import ratio
 from ..functions.tails import SimultaneousT, f_upper, t_critical, t_two_sided
@@ -63,15 +63,16 @@ def group_moments(df: DataFrame, group: str, responses: Sequence[str]) -> DataFr
 
 def _with_residuals(moments: DataFrame) -> DataFrame:
     """Add the model's sums of squares to each (response, group) row."""
-    model = Window.partitionBy("var")  # one row per group of the factor
     n, mean = F.col("n"), F.col("mean")
-    centre = F.sum(n * mean).over(model) / F.col("nobs")
+    # sums by response are aggregates that join back: a factor's levels never meet in one task
+    totals = moments.groupBy("var").agg(
+        F.sum("n").alias("nobs"), F.count(F.lit(1)).alias("k"),
+        F.sum((n - 1) * F.col("variance")).alias("sse"), (F.sum(n * mean) / F.sum("n")).alias("centre"),
+    )
+    centred = moments.join(totals, "var")
+    between = centred.groupBy("var").agg(F.sum(n * (mean - F.col("centre")) ** 2).alias("ssb"))
     return (
-        moments.withColumn("nobs", F.sum(n).over(model))
-        .withColumn("k", F.count(F.lit(1)).over(model))
-        .withColumn("sse", F.sum((n - 1) * F.col("variance")).over(model))
-        .withColumn("centre", centre)
-        .withColumn("ssb", F.sum(n * (mean - F.col("centre")) ** 2).over(model))
+        centred.join(between, "var")
         .withColumn("df_residual", F.col("nobs") - F.col("k"))
         # NULL for a perfect fit: means stay valid, tests and intervals do not exist
         .withColumn(

@@ -55,8 +55,8 @@ def varimax(loadings: np.ndarray, tolerance: float = 1e-5, rounds: int = 1000) -
         u, s, vt = np.linalg.svd(unit.T @ (z**3 - z * (z**2).sum(axis=0) / p))
         turn, before, gain = u @ vt, gain, s.sum()
         if gain < before * (1 + tolerance):
-            break
-    return (unit @ turn) * height[:, None]
+            return (unit @ turn) * height[:, None]
+    raise ArithmeticError(f"the rotation did not settle in {rounds} rounds")
 
 
 @dataclass(frozen=True)

@@ -6,17 +6,17 @@ z against permuted z for the axis tests. Those are group sums, so permuted rows
 are never collected; the tests then work on one row per permutation (Legendre,
 Oksanen and ter Braak 2011).
 
-Two ways to draw the permutations:
+Three designs, named by the caller and never chosen by the table's size:
 
 * free: every row may swap with every other. Costs (rows x permutations) rows
-  through a shuffle. All shuffles are on evenly spread hash keys, so no value of
-  the data can make a task hot.
-* in blocks: rows are spread at random over blocks of about ``block_rows`` and
-  swap within their block. The table is shuffled once and each task permutes
-  its blocks as arrays, so the cost no longer carries the number of permutations
-  through the network. Random blocks leave rows exchangeable, hence the test
-  keeps its level; a table of up to ``block_rows`` rows is one block, which is a
-  free permutation.
+  through a shuffle, all on evenly spread hash keys.
+* within strata: rows swap with rows of the same value of a column (blocks of an
+  experiment). A stratum is ordered in one task for each permutation.
+* normal: the sums are drawn from the normal distribution that free permutation tends
+  to, with its exact mean and covariance. Cost free of the number of rows.
+
+Every draw follows from md5 of seed, permutation and row, so any engine can repeat it.
+The sums, one row per permutation, are stored, and all tests read them.
 """
 
 from __future__ import annotations
@@ -31,14 +31,16 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..sources.scratch import stored
 from .ordination import Redundancy
 
-# Rows of one permutation that are ordered together at most, on average.
+# Rows of one slice of a permutation, on average; slices are ordered separately.
 _RANKED_ROWS = 10_000
 # Ties with the observed statistic count, whatever the last digits say.
 _TIE = 1 - 1e-9
 
 
-def _row_key(key: Sequence[str]) -> Column:
-    return F.concat_ws("-", *[F.col(k).cast("string") for k in key])
+def row_key(key: Sequence[str]) -> Column:
+    """Text that differs for different keys: each part with its length, NULL as ``N``."""
+    parts = [F.col(k).cast("string") for k in key]
+    return F.concat(*[F.coalesce(F.concat(F.length(c).cast("string"), F.lit(":"), c), F.lit("N")) for c in parts])
 
 
 def _with_draw(rows: DataFrame, seed: int) -> DataFrame:
@@ -69,95 +71,121 @@ def _spread(rows: DataFrame, key: str) -> DataFrame:
 def _placed(rows: DataFrame, n: int, seed: int) -> DataFrame:
     """Add ``pos``, the row's place 1..n in the order of permutation ``b``.
 
-    A permutation is never ordered in one task beyond ``_RANKED_ROWS`` rows: the
-    leading bytes of the draw split it into evenly filled slices, slices are
-    ranked separately, and counted slice sizes give the offsets.
+    A permutation is never ordered in one task: the leading bits of the draw split
+    it into evenly filled slices, slices are ranked separately, and counted slice
+    sizes give the offsets. There are two slices at least, so one path serves all sizes.
     """
-    width = math.ceil(math.log(n / _RANKED_ROWS, 256)) if n > _RANKED_ROWS else 0
-    drawn = _with_draw(rows, seed)
-    order = "draw", "draw2"
-    if width == 0:
-        place = F.row_number().over(Window.partitionBy("b").orderBy(*order)).cast("long")
-        return drawn.withColumn("pos", place).drop(*order)
-    drawn = drawn.withColumn("slice", F.shiftright("draw", 60 - 8 * width))
+    bits = max(1, math.ceil(math.log2(max(n, 2) / _RANKED_ROWS)))
+    drawn = _with_draw(rows, seed).withColumn("slice", F.shiftright("draw", 60 - bits))
     before = Window.partitionBy("b").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = stored(  # 256 to the power of width rows per permutation
+    offsets = stored(  # one row per slice of about _RANKED_ROWS rows
         drawn.groupBy("b", "slice")
         .agg(F.count(F.lit(1)).alias("rows"))
         .select("b", "slice", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("offset")),
         "offsets",
     )
-    inside = Window.partitionBy("b", "slice").orderBy(*order)
+    inside = Window.partitionBy("b", "slice").orderBy("draw", "draw2", "rid")
     return (
         drawn.withColumn("place", F.row_number().over(inside))
         .join(offsets, ["b", "slice"])
         .withColumn("pos", F.col("offset") + F.col("place"))
-        .drop(*order, "slice", "offset", "place")
+        .drop("draw", "draw2", "slice", "offset", "place")
     )
 
 
+def _placed_within(rows: DataFrame, seed: int) -> DataFrame:
+    """Add ``pos``, the row's place in the order of permutation ``b`` within its stratum."""
+    inside = Window.partitionBy("b", "stratum").orderBy("draw", "draw2", "rid")
+    place = F.row_number().over(inside).cast("long")
+    return _with_draw(rows, seed).withColumn("pos", place).drop("draw", "draw2")
+
+
+def _sum_names(q: int, m: int, with_predictors: bool) -> list[str]:
+    names = [f"s_{j}_{i}" for j in range(q) for i in range(m)]
+    return names + [f"t_{j}_{k}" for j in range(q) for k in range(q)] if with_predictors else names
+
+
 def permuted_sums(
     fit: Redundancy, df: DataFrame, key: Sequence[str], permutations: int, seed: int = 0,
-    block_rows: int | None = None, with_predictors: bool = False,
+    strata: str | None = None, with_predictors: bool = False,
 ) -> DataFrame:
     """One row per permutation ``b`` with its cross products ``s_j_m`` (and ``t_j_l``).
 
-    ``key`` must identify a row. With ``block_rows`` rows are permuted in blocks.
+    ``key`` must identify a row, else it is an error. With ``strata`` rows swap within
+    equal values of that column (NULL is one of them).
     """
     q, m = len(fit.terms), len(fit.responses)
     z, y = [f"z{j}" for j in range(q)], [f"y{i}" for i in range(m)]
-    rows = fit.whitened(df.withColumn("rid", _row_key(key)), ["rid"])
-    if block_rows:
-        return _block_sums(rows, fit.n, z, y, permutations, seed, block_rows, with_predictors)
+    keyed = df.withColumn("rid", row_key(key))
+    own = ["rid"]
+    if strata is not None:
+        keyed = keyed.withColumn("stratum", row_key([strata]))
+        own.append("stratum")
+    rows = fit.whitened(keyed, own)
+    if rows.select("rid").distinct().count() != fit.n:
+        raise ValueError(f"{list(key)} does not identify a row")
+
+    def placed(some: DataFrame) -> DataFrame:
+        return _placed(some, fit.n, seed) if strata is None else _placed_within(some, seed)
 
     moved = y + (z if with_predictors else [])
-    stay = _placed(rows.select(F.lit(0).alias("b"), "rid", *z), fit.n, seed)
-    stay = stored(stay.select("pos", *z), "stay")
+    at = ["pos", *own[1:]]
+    stay = stored(placed(rows.select(F.lit(0).alias("b"), *own, *z)).select(*at, *z), "stay")
     numbers = F.explode(F.sequence(F.lit(1), F.lit(permutations)))
     renamed = [F.col(c).alias(f"p_{c}") for c in moved]
-    spread = _spread(rows.select("rid", *renamed), "rid")
-    swap = _placed(spread.select(numbers.alias("b"), *spread.columns), fit.n, seed)
-    sums = [
-        F.sum(F.col(z[j]) * F.col(f"p_{y[i]}")).alias(f"s_{j}_{i}")
-        for j in range(q) for i in range(m)
-    ]
+    spread = _spread(rows.select(*own, *renamed), "rid")
+    swap = placed(spread.select(numbers.alias("b"), *spread.columns))
+    products = [F.col(a) * F.col(f"p_{c}") for a in z for c in y]
     if with_predictors:
-        sums += [
-            F.sum(F.col(z[j]) * F.col(f"p_{z[k]}")).alias(f"t_{j}_{k}")
-            for j in range(q) for k in range(q)
-        ]
-    return swap.drop("rid").join(stay, "pos").groupBy("b").agg(*sums)
+        products += [F.col(a) * F.col(f"p_{c}") for a in z for c in z]
+    sums = [F.sum(p).alias(name) for p, name in zip(products, _sum_names(q, m, with_predictors))]
+    return stored(swap.drop("rid").join(stay, at).groupBy("b").agg(*sums), "sums")
 
 
-def _block_sums(rows, n, z, y, permutations, seed, block_rows, with_predictors) -> DataFrame:
-    blocks = max(1, math.ceil(n / block_rows))
-    q, m = len(z), len(y)
-    names = [f"s_{j}_{i}" for j in range(q) for i in range(m)]
+def _normal(seed: int, j: int, i: int) -> Column:
+    """A standard normal number for permutation ``b`` and cell (j, i), from md5 by Box and Muller."""
+    text = F.md5(F.concat_ws("-", F.lit(f"{seed}-n"), F.col("b").cast("string"), F.lit(f"{j}-{i}")))
+
+    def uniform(first):
+        return (F.conv(F.substring(text, first, 12), 16, 10).cast("double") + 0.5) / float(16**12)
+
+    return F.sqrt(-2 * F.ln(uniform(1))) * F.cos(2 * math.pi * uniform(13))
+
+
+def _root(matrix: np.ndarray) -> np.ndarray:
+    """Lower Cholesky factor; a column of zeros where nothing is left of the pivot."""
+    left, out = matrix.astype(float).copy(), np.zeros_like(matrix, float)
+    for k in range(len(left)):
+        if left[k, k] > 1e-12 * max(matrix[k, k], 1e-300):
+            out[k:, k] = left[k:, k] / math.sqrt(left[k, k])
+            left[k:, k:] -= np.outer(out[k:, k], out[k:, k])
+    return out
+
+
+def normal_sums(fit: Redundancy, permutations: int, seed: int = 0, with_predictors: bool = False) -> DataFrame:
+    """As ``permuted_sums``, drawn from the normal limit of free permutation.
+
+    Under it the sums of a predictor have mean 0 and the covariance of the responses'
+    cross products over n - 1, and predictors are independent of each other.
+    """
+    q, m = len(fit.terms), len(fit.responses)
+    kept = len(fit.moments.columns) - m
+    cross = fit.moments.cross[kept:, kept:]
     if with_predictors:
-        names += [f"t_{j}_{k}" for j in range(q) for k in range(q)]
-    spread = F.xxhash64(F.lit(seed), F.col("rid"))
-    placed = rows.select(
-        F.pmod(spread, F.lit(blocks)).alias("block"), spread.alias("place"), *z, *y
+        cross = np.block([[cross, fit.z_y.T], [fit.z_y, np.eye(q)]])
+    root = _root(cross / (fit.n - 1))
+    drawn = fit.spark.range(1, permutations + 1).select(F.col("id").cast("int").alias("b")).select(
+        "b", *[_normal(seed, j, i).alias(f"e_{j}_{i}") for j in range(q) for i in range(len(root))]
     )
 
-    def one_block(key, block):
-        order = np.argsort(block["place"].to_numpy(), kind="stable")  # same on every attempt
-        zs, ys = block[z].to_numpy()[order], block[y].to_numpy()[order]
-        moved = np.hstack([ys, zs]) if with_predictors else ys
-        out = np.empty((permutations, len(names)))
-        for b in range(permutations):
-            rng = np.random.default_rng([seed, int(key[0]), b + 1])
-            cross = zs.T @ moved[rng.permutation(len(moved))]
-            out[b, : q * m] = cross[:, :m].ravel()
-            if with_predictors:
-                out[b, q * m :] = cross[:, m:].ravel()
-        result = pd.DataFrame(out, columns=names)
-        result.insert(0, "b", np.arange(1, permutations + 1, dtype=np.int32))
-        return result
-
-    schema = "b int, " + ", ".join(f"{c} double" for c in names)
-    partial = _spread(placed, "block").groupBy("block").applyInPandas(one_block, schema)
-    return partial.groupBy("b").agg(*[F.sum(c).alias(c) for c in names])
+    def cell(j, i):
+        return sum((F.lit(float(root[i, k])) * F.col(f"e_{j}_{k}") for k in range(i + 1)), F.lit(0.0))
+
+    cells = [cell(j, i) for j in range(q) for i in range(m)]
+    if with_predictors:
+        cells += [cell(j, m + k) for j in range(q) for k in range(q)]
+    names = _sum_names(q, m, with_predictors)
+    return stored(drawn.select("b", *[c.alias(n) for c, n in zip(cells, names)]), "sums")
 
 
 def _p_value(hits: Column) -> Column:
@@ -270,3 +298,14 @@ def axes_test(fit: Redundancy, sums: DataFrame) -> DataFrame:
         p, fit,
         [(f"rda{i + 1}", 1, axis_ss[i], observed[i], F.col(f"p{i}")) for i in range(count)],
     )
+
+
+def test_export(overall: DataFrame, axes: DataFrame, digits: int = 2) -> DataFrame:
+    """The overall test and the axis tests as one table without residuals, rounded."""
+    both = overall.select("term", "df", "variance", "statistic", "p_value").unionByName(
+        axes.select("term", "df", "variance", "statistic", "p_value")
+    ).where("term <> 'Residual'")
+    return both.withColumns({c: F.bround(c, digits) for c in ("variance", "statistic", "p_value")})
+
+
+test_export.__test__ = False  # a table of tests, not a test

@@ -29,8 +29,14 @@ def normalise_missing(df: DataFrame) -> DataFrame:
     return df.withColumns({c: nan_to_null(F.col(f"`{c}`")) for c in floats})
 
 
+def _blank_to_null(df: DataFrame) -> DataFrame:
+    """Empty texts, quoted or not, become NULL."""
+    texts = [f.name for f in df.schema if isinstance(f.dataType, T.StringType)]
+    return df.withColumns({c: F.nullif(F.col(f"`{c}`"), F.lit("")) for c in texts})
+
+
 def _csv(spark, path, schema, sep, encoding) -> DataFrame:
-    return (
+    return _blank_to_null(
         spark.read.schema(schema)
         .option("header", True)
         .option("sep", sep)

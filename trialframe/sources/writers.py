@@ -6,9 +6,6 @@ from pyspark.sql import DataFrame
 
 from .readers import normalise_missing
 
-# A result with at most this many rows goes out as one file.
-ONE_FILE_ROWS = 1_000_000
-
 
 def write_snapshot(df: DataFrame, base: str, run_date: str) -> str:
     """Write the table under its run date; an earlier run of that date is replaced."""
@@ -17,13 +14,12 @@ def write_snapshot(df: DataFrame, base: str, run_date: str) -> str:
     return path
 
 
-def write_result_csv(df: DataFrame, path: str, sep: str = ",") -> str:
+def write_result_csv(df: DataFrame, path: str, sep: str = ",", files: int | None = None) -> str:
     """Write a result table with a header line.
 
-    Summary tables (one row per variable, level or axis) come out as one file.
-    A larger table keeps its partitions, so it never squeezes through one task.
+    It keeps its partitions. For a known small table ``files`` names how many files
+    come out; its rows are shuffled into them, so earlier steps stay as they are.
     """
-    beyond = df.limit(ONE_FILE_ROWS + 1).count() > ONE_FILE_ROWS
-    out = df if beyond else df.coalesce(1)
+    out = df if files is None else df.repartition(files)
     out.write.mode("overwrite").option("header", True).option("sep", sep).csv(path)
     return path
