@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterator, Sequence
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-PIECE_BYTES = 4 << 20
+PIECE_BYTES = 1 << 20
 
 #: Makes the worker's function from the text columns to the new columns.
 Maker = Callable[[], Callable[..., Sequence]]

@@ -32,7 +32,7 @@ MIN_SHARED = 6
 MIN_CHARS = 24
 SLICE_CHARS = 4_000_000
 #: Characters that are hashed at once.
-_BLOCK = 1 << 19
+_BLOCK = 1 << 17
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 

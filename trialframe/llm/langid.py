@@ -37,7 +37,7 @@ DOMINANCE = 0.2
 #: Slots of the table as a power of two, and slots looked up for an n-gram.
 LG_SLOTS = 20
 HASHES = 3
-_BLOCK = 1 << 19
+_BLOCK = 1 << 17
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9), np.uint64(0xD6E8FEB86659FD93))
 _LETTERS: list[np.ndarray] = []
 

@@ -47,7 +47,9 @@ LANDMARKS = 160
 CLEAN_WORDS = 6000
 #: Toxic texts let pass that weigh as much as one clean text rejected, by shares of either.
 CLEAN_COST = 3.0
-_CACHE_WORDS = 200_000
+_CACHE_WORDS = 100_000
+#: Subsequences of words that are looked up at once.
+_CELLS = 250_000
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 _INNER = re.compile(r"[\W\d_]+")
 _SENTENCE = re.compile(r"[.!?\n]+")
@@ -144,8 +146,9 @@ class Scorer:
         for p in {p for ps in used.values() for p in ps}:
             by_length[len(p)].append(p)
         for n, words in by_length.items():
-            for at in range(0, len(words), 4096):
-                block = words[at : at + 4096]
+            size = max(1, _CELLS // max(1, n * (n - 1) * (n - 2) // 6))
+            for at in range(0, len(words), size):
+                block = words[at : at + size]
                 if n < 3:
                     parts.update((w, self.bias) for w in block)
                     continue
@@ -201,7 +204,7 @@ def _kernels(space: Subsequences, words: list[str], place: np.ndarray, vectors:
 def _vectors(space: Subsequences, words: list[str], place: np.ndarray, width: int) -> np.ndarray:
     """Normalised subsequence vectors of a few words, as columns, with a last row of 0."""
     out = np.zeros((width + 1, len(words)), np.float32)
-    for rows in _by_length(words, 1_000_000):
+    for rows in _by_length(words, _CELLS):
         block = [words[i] for i in rows]
         code, weight = space.codes(space.letters(block))
         at = place[code]
