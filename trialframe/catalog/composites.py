@@ -601,7 +601,9 @@ def response_contributions(spark, folder):
     return _line_tables(spark, folder).response_contributions
 
 
-@query("term_contributions")
+@query("term_contributions", f"""{models._BIPLOT}
+    SELECT var, round_even(rda1 * rda1 / sum(rda1 * rda1) OVER () * 100, 2) AS rda1,
+           round_even(rda2 * rda2 / sum(rda2 * rda2) OVER () * 100, 2) AS rda2 FROM bi""")
 def term_contributions(spark, folder):
     return _line_tables(spark, folder).term_contributions
 

@@ -111,8 +111,7 @@ _JOINT_TAIL = """
      FROM (SELECT (i + 0.5) * pi() / 8000 AS a FROM range(8000) AS points(i)))"""
 
 
-@query("lm_contrasts", f"""
-    WITH {_FIT},
+_PAIRS = """
     p AS (SELECT var, any_value(df) AS df, any_value(s2) AS s2,
                  any_value(mean) FILTER (grp = 'A') AS ma, any_value(mean) FILTER (grp = 'N') AS mn,
                  any_value(mean) FILTER (grp = 'R') AS mr,
@@ -125,7 +124,12 @@ _JOINT_TAIL = """
           UNION ALL
           SELECT var, 'N to R', mr - mn, sqrt(s2 * (in_ + ir)), df,
                  -in_ / sqrt((ia + in_) * (in_ + ir)) FROM p),
-    q AS (SELECT *, est / se AS t FROM e)
+    q AS (SELECT *, est / se AS t FROM e)"""
+
+
+@query("lm_contrasts", f"""
+    WITH {_FIT},
+    {_PAIRS}
     SELECT var, contrast, round(est, 8) AS estimate, round(se, 8) AS std_error, df,
            round(t, 5) AS statistic, round({_JOINT_TAIL}, 6) AS adj_p_value
     FROM q""")
@@ -136,9 +140,32 @@ def lm_contrasts(spark, folder):
     return rounded(out, 6, "adj_p_value")
 
 
-@query("lm_contrast_intervals")
+# Critical value of the larger |t| of two by halving an interval, fifty times.
+_JOINT_CRITICAL = """
+    points AS (SELECT (i + 0.5) * pi() / 8000 AS a FROM range(8000) AS p(i)),
+    halves AS (SELECT DISTINCT var, df, rho, 0.0::DOUBLE AS lo, 50.0::DOUBLE AS hi, 0 AS i FROM q
+               UNION ALL
+               SELECT var, df, rho, CASE WHEN tail > 0.05 THEN (lo + hi) / 2 ELSE lo END,
+                      CASE WHEN tail > 0.05 THEN hi ELSE (lo + hi) / 2 END, i + 1
+               FROM (SELECT var, df, rho, lo, hi, i,
+                            avg(exp(-df / 2.0 * ln(1 + ((lo + hi) / 2) ** 2 / df
+                                / greatest(abs(cos(a)), abs(rho * cos(a) + sqrt(1 - rho * rho) * sin(a))) ** 2)))
+                                AS tail
+                     FROM halves, points WHERE i < 50 GROUP BY ALL)),
+    crit AS (SELECT var, (lo + hi) / 2 AS c FROM halves WHERE i = 50)"""
+
+
+@query("lm_contrast_intervals", f"""
+    WITH RECURSIVE {_FIT},
+    {_PAIRS},
+    {_JOINT_CRITICAL}
+    SELECT var, contrast, round(est, 8) AS estimate, round(est - c * se, 6) AS lower_cl,
+           round(est + c * se, 6) AS upper_cl
+    FROM q JOIN crit USING (var)""")
 def lm_contrast_intervals(spark, folder):
-    return linmodel.planned_contrasts(_moments(spark, folder), _CONTRASTS)
+    out = linmodel.planned_contrasts(_moments(spark, folder), _CONTRASTS)
+    out = out.select("var", "contrast", "estimate", "lower_cl", "upper_cl")
+    return rounded(rounded(out, 8, "estimate"), 6, "lower_cl", "upper_cl")
 
 
 # ---------------------------------------------------------------- ordination
@@ -312,26 +339,72 @@ def rda_scores(spark, folder):
     return rounded(out, 3, "rda1", "rda2")
 
 
-@query("rda_biplot", f"""{_SPECIES},
+_BIPLOT = f"""{_SPECIES},
     u AS (SELECT *, (s11 * p1 + s12 * d1) / sqrt(e1) AS u11, (s21 * p1 + s22 * d1) / sqrt(e1) AS u21,
                  (s11 * p2 + s12 * d2) / sqrt(e2) AS u12, (s21 * p2 + s22 * d2) / sqrt(e2) AS u22,
                  xw / sqrt(xx * ww) AS low, sqrt(1 - xw * xw / xx / ww) AS high
-          FROM v)
-    SELECT 'quantity' AS var, round(u11, 5) AS rda1, round(u12, 5) AS rda2 FROM u
-    UNION ALL SELECT 'tax', round(low * u11 + high * u21, 5), round(low * u12 + high * u22, 5)
-    FROM u""")
+          FROM v),
+    bi AS (SELECT 'quantity' AS var, u11 AS rda1, u12 AS rda2 FROM u
+           UNION ALL SELECT 'tax', low * u11 + high * u21, low * u12 + high * u22 FROM u)"""
+
+
+@query("rda_biplot", f"""{_BIPLOT}
+    SELECT var, round(rda1, 5) AS rda1, round(rda2, 5) AS rda2 FROM bi""")
 def rda_biplot(spark, folder):
     fit = ordination.redundancy(_measures(spark, folder), _OUTCOMES, _TERMS)
     return rounded(fit.biplot_scores(), 5, "rda1", "rda2")
 
 
-@query("rda_biplot_interactions")
+def _interaction_sql():
+    """Five terms made orthonormal one after the other, then two axes of two responses."""
+    terms = ["quantity", "tax", "ecc", "quantity_ecc", "tax_ecc"]
+    ys = ["turnover", "reduction"]
+    sql = f"""
+    WITH raw AS (SELECT quantity, tax, turnover, reduction,
+                        CASE WHEN l_returnflag IN ('A', 'R') THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS ecc
+                 FROM ({_MEASURES_SQL}) WHERE quantity IS NOT NULL),
+    full_rows AS (SELECT *, quantity * ecc AS quantity_ecc, tax * ecc AS tax_ecc FROM raw),
+    c0 AS (SELECT {", ".join(f"{v} - avg({v}) OVER () AS {v}" for v in [*terms, *ys])} FROM full_rows)"""
+    for k, t in enumerate(terms):
+        dots = ", ".join(f"sum({t} * z{j}) AS r{j}" for j in range(k)) or "0 AS r"
+        rest = "".join(f" - r{j} * z{j}" for j in range(k))
+        known = ", ".join([*terms, *ys, *[f"z{j}" for j in range(k)]])
+        sql += f""",
+    r{k} AS (SELECT {dots} FROM c{k}),
+    w{k} AS (SELECT {known}, {t}{rest} AS w FROM c{k}, r{k}),
+    c{k + 1} AS (SELECT {known}, w / sqrt(sum(w * w) OVER ()) AS z{k} FROM w{k})"""
+    n = len(terms)
+    sums = ", ".join(f"sum(z{j} * {y}) AS s{j}{i}" for j in range(n) for i, y in enumerate(ys))
+    inner = ", ".join(f"sum(z{j} * {t}) / sqrt(sum({t} * {t})) AS k{j}{m}" for j in range(n) for m, t in enumerate(terms))
+
+    def gram(i, j):
+        return " + ".join(f"s{k}{i} * s{k}{j}" for k in range(n))
+
+    def score(m, axis):
+        return " + ".join(f"k{j}{m} * (s{j}0 * p{axis} + s{j}1 * d{axis}) / sqrt(e{axis})" for j in range(n))
+
+    sql += f""",
+    s AS (SELECT {sums}, {inner} FROM c{n}),
+    g AS (SELECT *, {gram(0, 0)} AS a, {gram(0, 1)} AS b, {gram(1, 1)} AS d FROM s),
+    e AS (SELECT *, (a + d) / 2 + sqrt((a - d) ** 2 / 4 + b * b) AS e1,
+                 (a + d) / 2 - sqrt((a - d) ** 2 / 4 + b * b) AS e2 FROM g),
+    h AS (SELECT *, sqrt(b * b + (e1 - a) ** 2) AS h1, sqrt(b * b + (e2 - a) ** 2) AS h2,
+                 sign(b + e1 - a) AS g1, sign(b + e2 - a) AS g2 FROM e),
+    v AS (SELECT *, g1 * b / h1 AS p1, g1 * (e1 - a) / h1 AS d1, g2 * b / h2 AS p2, g2 * (e2 - a) / h2 AS d2 FROM h)"""
+    rows = [
+        f"SELECT '{t.replace('_', ':')}' AS var, round({score(m, 1)}, 5) AS rda1, round({score(m, 2)}, 5) AS rda2 FROM v"
+        for m, t in enumerate(terms)
+    ]
+    return sql + " " + " UNION ALL ".join(rows)
+
+
+@query("rda_biplot_interactions", _interaction_sql())
 def rda_biplot_interactions(spark, folder):
     flag = F.col("l_returnflag")
     rows = _measures(spark, folder).withColumn("ecc", coding.indicator(flag, ["A", "R"]))
     terms = ["quantity", "tax", "ecc", "quantity:ecc", "tax:ecc"]
     rows = ordination.with_interactions(rows, terms)
-    return ordination.redundancy(rows, _OUTCOMES, terms).biplot_scores()
+    return rounded(ordination.redundancy(rows, _OUTCOMES, terms).biplot_scores(), 5, "rda1", "rda2")
 
 
 @query("rda_contributions", """
