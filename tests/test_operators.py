@@ -178,3 +178,22 @@ def test_quoted_blanks_are_missing(spark, tmp_path):
     (tmp_path / "q.csv").write_text('a,b\n"",1\nx,2\nNA,3\n')
     got = readers.read_csv(spark, str(tmp_path / "q.csv"), "a string, b int").orderBy("b").collect()
     assert [r.a for r in got] == [None, "x", None]
+
+
+def test_few_rows_reach_the_last_step_of_a_median(spark, monkeypatch):
+    """One group holds all rows, all distinct: ranges leave a small part of the bracket."""
+    from trialframe.operators import medians
+
+    seen = {}
+    real = medians._ranked
+
+    def watched(kept, by):
+        out = real(kept, by)
+        seen["bracket"], seen["last"] = kept.count(), out.count()
+        return out
+
+    monkeypatch.setattr(medians, "_ranked", watched)
+    n = 400_001
+    df = spark.range(n).select(F.lit("g").alias("g"), ((F.col("id") * 7919) % n).cast("double").alias("x"))
+    assert medians.group_median(df, ["g"], ["x"]).first()["x"] == (n - 1) / 2
+    assert seen["bracket"] <= n * 0.01 and seen["last"] <= seen["bracket"] / 50 + 4

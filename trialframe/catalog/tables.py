@@ -245,7 +245,7 @@ def agg_two_level(spark, folder):
     sums = table(spark, folder, "events").groupBy("event_type", "user_id").agg(
         F.round(missing.strict_sum(F.col("value")), 2).alias("total")
     )
-    return rounded(medians.group_median(sums, ["event_type"], ["total"], strict=True), 5, "total")
+    return rounded(medians.group_median(sums, ["event_type"], ["total"], strict=True, store_input=True), 5, "total")
 
 
 # ---------------------------------------------------------------- windows and scaling

@@ -12,11 +12,13 @@ from .joins import left_join
 
 # The sketch brackets the middle 0.2% of each group.
 _LOW, _HIGH, _ACCURACY = 0.499, 0.501, 5_000
+# Ranges of distinct values into which a bracket is cut before values are ranked.
+_RANGES = 256
 
 
 def group_median(
     df: DataFrame, by: Sequence[str], columns: Sequence[str],
-    strict: bool = False, small_groups: bool = False,
+    strict: bool = False, small_groups: bool = False, store_input: bool = False,
 ) -> DataFrame:
     """Median per group, the mean of the two middle values for an even count.
 
@@ -28,13 +30,15 @@ def group_median(
     1. a mergeable quantile sketch per group gives two cut values near the middle;
     2. counting values below, between and above the cuts tells which part holds
        the middle ranks;
-    3. only that part is grouped by value, and a running count over its distinct
-       values picks the middle.
-
-    The cuts only decide how little data reaches step 3: the ranks are counted,
-    so the result is exact however good the sketch was. The per-group tables of
-    steps 1 and 2 are stored, so the rows are joined to tables of known size:
-    broadcast when small, which leaves the rows where they are.
+    3. only that part is grouped by value and stored; its distinct values are cut into
+       ranges of about equal number, and counts tell which ranges hold the middle;
+    4. a running count over the values of those ranges picks it.
+
+    The cuts only decide how little data reaches step 4: the ranks are counted,
+    so the result is exact however good the sketches were. The per-group tables are
+    stored, so the rows are joined to tables of known size: broadcast when small,
+    which leaves the rows where they are. The input is read three times; set
+    ``store_input`` where it takes work to compute.
     """
     by, columns = list(by), list(columns)
     if small_groups:
@@ -46,6 +50,8 @@ def group_median(
 
     xs = [f"__x{i}" for i in range(len(columns))]
     values = df.select(*by, *[F.col(c).cast("double").alias(x) for c, x in zip(columns, xs)])
+    if store_input:
+        values = stored(values, "values")
     cuts = stored(
         values.groupBy(*by).agg(
             *[F.percentile_approx(x, [_LOW, _HIGH], _ACCURACY).alias(f"{x}_cuts") for x in xs]
@@ -106,10 +112,7 @@ def group_median(
         .groupBy(*by, "__at.__var", "__at.__x")
         .agg(F.count(F.lit(1)).alias("__same"), F.first("__at.__target").alias("__target"))
     )
-    in_order = Window.partitionBy(*by, "__var").orderBy("__x").rowsBetween(
-        Window.unboundedPreceding, 0
-    )
-    ranked = kept.withColumn("__last", F.col("__target.before") + F.sum("__same").over(in_order))
+    ranked = _ranked(stored(kept, "middle"), [*by, "__var"])
 
     def at(i, rank):
         rank = F.col(f"__target.{rank}")
@@ -121,3 +124,27 @@ def group_median(
     )
     # start from all groups, so one without any value still has its row
     return left_join(counts.select(*by), medians, by)
+
+
+def _ranked(kept: DataFrame, by: list[str]) -> DataFrame:
+    """Add ``__last``, the rank of a value's last row, to the values near the wanted ranks.
+
+    ``kept`` has a row per group and distinct value, with its number of rows ``__same``.
+    """
+    grid = [i / _RANGES for i in range(1, _RANGES)]
+    edges = kept.groupBy(*by).agg(F.percentile_approx("__x", grid, 20 * _RANGES).alias("__edges"))
+    placed = left_join(kept, stored(edges, "edges"), by).withColumn(
+        "__range", F.size(F.filter("__edges", lambda e: e < F.col("__x")))
+    ).drop("__edges")
+    up_to = Window.partitionBy(*by).orderBy("__range").rowsBetween(Window.unboundedPreceding, 0)
+    ranges = (
+        placed.groupBy(*by, "__range")
+        .agg(F.sum("__same").alias("__rows"), F.first("__target").alias("__target"))
+        .withColumn("__upto", F.col("__target.before") + F.sum("__rows").over(up_to))
+        .withColumn("__base", F.col("__upto") - F.col("__rows"))
+        .filter((F.col("__base") < F.col("__target.second")) & (F.col("__target.first") <= F.col("__upto")))
+    )
+    ranges = stored(ranges.select(*by, "__range", "__base"), "ranges")
+    near = left_join(placed, ranges, [*by, "__range"]).filter(F.col("__base").isNotNull())
+    in_order = Window.partitionBy(*by, "__range").orderBy("__x").rowsBetween(Window.unboundedPreceding, 0)
+    return near.withColumn("__last", F.col("__base") + F.sum("__same").over(in_order))

@@ -47,7 +47,8 @@ def root_colonisation(counts: DataFrame, fields: int = v.MICROSCOPE_FIELDS) -> D
         "arbuscule_occ", "hypha_occ",
     ).filter(F.col("combi_fac") != v.EXCLUDED_SAMPLE_CODE)
     return group_median(
-        samples, ["combi_fac", "rep"], ["arbuscule_occ", "hypha_occ"], strict=True
+        samples, ["combi_fac", "rep"], ["arbuscule_occ", "hypha_occ"], strict=True,
+        store_input=True,
     )
 
 
