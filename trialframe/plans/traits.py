@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -26,9 +27,9 @@ def nutrient_table(raw: DataFrame) -> DataFrame:
     """
     plot = F.col("plot")
     return raw.select(
-        translate(extract(plot, "^[A-Z]{2}"), v.TREATMENT_CODES).alias("combi_fac"),
-        extract(plot, r"(?<=^[A-Z]{2})\d+").alias("rep"),
-        to_number(extract(plot, "(?<=-).*$")).alias("num_point"),
+        translate(extract(plot, v.NUTRIENT_PLOT["group"]), v.TREATMENT_CODES).alias("combi_fac"),
+        extract(plot, v.NUTRIENT_PLOT["rep"]).alias("rep"),
+        to_number(extract(plot, v.NUTRIENT_PLOT["individual"])).alias("num_point"),
         F.lit(v.YEAR).alias("year"),
         (F.col("n") / 10).alias("lnc"),
     )
@@ -109,13 +110,13 @@ def trait_table(measured: DataFrame, names: DataFrame, nutrients: DataFrame,
         wide, "comments", stored(names, "names"), "comments", "species"
     )
     plot, species = F.col("subplotmaincode"), F.col("species")
-    site = paste(extract(plot, "^[LG]"), extract(plot, "(?<=[0-9]_)[CT]"))
+    site = paste(extract(plot, v.TRAIT_PLOT["site"]), extract(plot, v.TRAIT_PLOT["treatment"]))
     sla = specific_leaf_area(F.col("L_Area"), F.col("D_Mass"))
     individuals = named.select(
         "num_point", "year",
         recode(F.coalesce(species, F.col("lb_nom")), v.SYNONYMS).alias("species"),
         translate(site, v.TREATMENT_CODES).alias("combi_fac"),
-        extract(plot, r"(?<=^[LGCT]_)\d+").alias("rep"),
+        extract(plot, v.TRAIT_PLOT["rep"]).alias("rep"),
         F.col("H_Veg").alias("height"),
         sla.alias("sla"),
         ratio(F.lit(1.0), sla).alias("lma"),
@@ -123,9 +124,11 @@ def trait_table(measured: DataFrame, names: DataFrame, nutrients: DataFrame,
     )
     joined = left_join(individuals, nutrients, ["combi_fac", "rep", "num_point", "year"])
     return joined.filter(
-        not_both(matches(species, "Patzkea"), F.col("combi_fac") == "AlpineControl")
-        & not_both(species == "Anthyllis vulneraria", F.col("height") > 80)
-        & not_both(species == "Hypericum richeri", F.col("ldmc") > 1000)
+        not_both(matches(species, v.MISPLACED["species"]), F.col("combi_fac") == v.MISPLACED["group"])
+        & reduce(
+            lambda a, b: a & b,
+            [not_both(species == name, F.col(trait) > most) for name, trait, most in v.OUTLIERS],
+        )
     )
 
 

@@ -58,6 +58,14 @@ UNUSED_TRAIT = "H_Repr"
 # Which subplots count at which sites.
 SUBPLOTS_BY_SITE = [(["GC", "LC", "LT"], ["D", "X"]), (["GT"], ["C"])]
 
+# Parts of plot keys, for nutrients (LT03-17) and for traits (L_03_T).
+NUTRIENT_PLOT = {"group": "^[A-Z]{2}", "rep": r"(?<=^[A-Z]{2})\d+", "individual": "(?<=-).*$"}
+TRAIT_PLOT = {"site": "^[LG]", "treatment": "(?<=[0-9]_)[CT]", "rep": r"(?<=^[LGCT]_)\d+"}
+
+# A species that is no part of a group, and the greatest plausible trait values.
+MISPLACED = {"species": "Patzkea", "group": "AlpineControl"}
+OUTLIERS = [("Anthyllis vulneraria", "height", 80), ("Hypericum richeri", "ldmc", 1000)]
+
 # Microscope fields viewed per sample and a sample code to leave out.
 MICROSCOPE_FIELDS = 30
 EXCLUDED_SAMPLE_CODE = "LA"
@@ -82,7 +90,6 @@ RESPONSE_VARIABLES = [
     "moisture", "soil_nitrate", "soil_p", "soil_om",
 ]
 TRAITS = ["lma", "lnc", "rnc", "rtd", "srl", "rd", "vh"]
-ABOVE_GROUND_TRAITS = ["lma", "lnc", "vh"]
 SITE_CONDITIONS = ["moisture", "soil_nitrate", "soil_p", "soil_temperature"]
 FUNCTIONS = [
     "above_productivity", "below_productivity", "rate_green_teabag", "qpcr_root", "arbuscule",
