@@ -13,8 +13,8 @@ task: at most ``slice_chars`` characters of them at a time; a larger benchmark i
 taken in slices, each over all documents.
 
 NULL and empty texts hold nothing. Items under ``min_chars`` characters are no
-evidence and are left out. Items that repeat are reported each. Rows with the same
-``doc_id`` are reported each.
+evidence and are left out. A NULL item id reads -1. Items that repeat are reported each.
+Rows with the same ``doc_id`` are reported each.
 """
 
 from __future__ import annotations
