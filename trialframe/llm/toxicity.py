@@ -53,7 +53,7 @@ _CELLS = 250_000
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 _INNER = re.compile(r"[\W\d_]+")
 _SENTENCE = re.compile(r"[.!?\n]+")
-_SPACED = re.compile(r"(?<!\S)(?:\w[\W_]{0,2}\s+){2,}\w(?!\S)")
+_SPACED = re.compile(r"(?<!\S)(?:\w[^\w\s]{0,2}\s+){2,}\w(?!\S)")
 #: Digits and signs commonly written for letters.
 _LOOKALIKES = str.maketrans("013457@$!", "oieastasi")
 
