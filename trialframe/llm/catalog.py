@@ -22,7 +22,13 @@ def _query(name: str, sql: str | None = None):
     return add
 
 
+#: Rows of a batch that goes to a Python worker; rows here are whole texts.
+BATCH_ROWS = 1000
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """One of the tables. Reading it also bounds the session's Arrow batches."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
