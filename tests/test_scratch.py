@@ -10,8 +10,6 @@ _WITHOUT = """
 from trialframe.session import local_session
 from trialframe.sources import scratch
 spark = local_session(2, "unset")
-if spark.conf.get("spark.checkpoint.dir", None):
-    spark.conf.unset("spark.checkpoint.dir")
 real = spark.conf.get
 class Unset:
     def get(self, key, default=None):
