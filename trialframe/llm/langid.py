@@ -12,7 +12,7 @@ filter holds the n-grams that are frequent enough in it and not rarer than
 strays in from quotations.
 
 The filters are filled from a bounded sample: at most ``per_language`` documents of
-each language, least hash first; their n-gram counts are gathered in Spark, and at
+each language (rounded up to a multiple of 16), by least hash; their n-gram counts are gathered in Spark, and at
 most ``GRAMS`` n-grams of each language are kept. Predictions cover whole texts of
 all rows. NULL texts and texts without a letter are ``und`` with score 0; a text none
 of whose n-grams is known gets the language with most training rows, score 0. Ties go
@@ -37,6 +37,8 @@ DOMINANCE = 0.2
 #: Slots of the table as a power of two, and slots looked up for an n-gram.
 LG_SLOTS = 20
 HASHES = 3
+#: Parts of a language's rows that are sampled apart.
+_SHARES = 16
 _BLOCK = 1 << 17
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9), np.uint64(0xD6E8FEB86659FD93))
 _LETTERS: list[np.ndarray] = []
@@ -146,11 +148,14 @@ def learn(documents: DataFrame, training: str = "true", per_language: int = PER_
     known = labelled.groupBy("lang").count().collect()
     languages = sorted(r.lang for r in known)
     fallback = min(known, key=lambda r: (-r["count"], r.lang)).lang if known else None
-    first = Window.partitionBy("lang").orderBy("h", "doc_id")
+    # the least hashes within each of some shares of a language: every task passes on a few
+    # rows of each, and texts that repeat count once
+    first = Window.partitionBy("lang", "share").orderBy("h")
     chosen = (
-        labelled.select("lang", "doc_id", F.xxhash64("text").alias("h"))
-        .withColumn("n", F.row_number().over(first)).where(F.col("n") <= per_language)
-        .select("lang", "doc_id", "h").distinct()
+        labelled.groupBy("lang", F.xxhash64("text").alias("h")).agg(F.min("doc_id").alias("doc_id"))
+        .withColumn("share", F.pmod("h", F.lit(_SHARES)))
+        .withColumn("n", F.row_number().over(first)).where(F.col("n") <= -(-per_language // _SHARES))
+        .select("lang", "doc_id", "h")
     )
     texts = labelled.withColumn("h", F.xxhash64("text")).join(chosen, ["lang", "doc_id", "h"], "left_semi").select("lang", "text")
 
