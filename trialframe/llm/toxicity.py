@@ -10,7 +10,7 @@ toxic, the rest is unknown. A sentence is represented by its most telling word (
 witness, chosen anew in each round), and a linear machine separates the sentences.
 
 Since the kernel is a scalar product of subsequence vectors, the machine over
-landmarks equals one weight for each subsequence; that table is what tasks use. A
+landmarks equals one weight for each subsequence of a witness; that table is what tasks use. A
 text's score is the calibrated margin of its most insulting word. Spaced-out
 letters are joined, and words with digits or signs inside are also tried with these
 read as letters or left out.
@@ -42,7 +42,16 @@ DECAY = 0.7
 SPAN = 12
 PER_CLASS = 1500
 MAX_WORDS = 4000
-LANDMARKS = 160
+#: Landmarks besides the witnesses, and witnesses that are landmarks, those with most evidence.
+LANDMARKS = 400
+WITNESSES = 1000
+#: Stray letters tried at each inner place of a witness, and the weight of altered witnesses, in labels.
+STRAYS = 4
+ALTERED = 0.3
+#: Strength of the ridge of the machine over words.
+RIDGE = 1e-6
+#: Subsequence numbers up to which tables are dense.
+_DENSE = 1 << 21
 #: Distinct clean words that train the machine, besides those nearest to witnesses.
 CLEAN_WORDS = 6000
 #: Toxic texts let pass that weigh as much as one clean text rejected, by shares of either.
@@ -92,7 +101,8 @@ class Subsequences:
         self.alphabet = alphabet
         self.number = {c: i + 1 for i, c in enumerate(alphabet)}
         self.size = len(alphabet) + 1
-        self.lookup = np.zeros(0x110000 if any(ord(c) > 0xFFFF for c in alphabet) else 0x10000, np.int32)
+        kind = np.int32 if self.size**3 < 1 << 31 else np.int64
+        self.lookup = np.zeros(0x110000 if any(ord(c) > 0xFFFF for c in alphabet) else 0x10000, kind)
         for c, i in self.number.items():
             self.lookup[ord(c)] = i
         self.plans: dict[int, tuple] = {}
@@ -132,11 +142,29 @@ class Subsequences:
         return np.sqrt(level.sum(axis=(1, 2)))
 
 
+class Places:
+    """Row numbers of the subsequences that occur; of any other, the number of rows."""
+
+    def __init__(self, kept: np.ndarray, size: int) -> None:
+        self.kept, self.dense = kept, None
+        if size**3 <= _DENSE or not len(kept):
+            self.dense = np.full(size**3 if len(kept) else 1, len(kept), np.int64)
+            self.dense[kept] = np.arange(len(kept))
+
+    def __getitem__(self, code: np.ndarray) -> np.ndarray:
+        if self.dense is not None:
+            return self.dense[code if len(self.kept) else np.zeros_like(code)]
+        at = np.minimum(np.searchsorted(self.kept, code), len(self.kept) - 1)
+        return np.where(self.kept[at] == code, at, len(self.kept))
+
+
 class Scorer:
     """Margins of words from one weight per subsequence; keeps the words seen last."""
 
-    def __init__(self, alphabet: str, weights: np.ndarray, bias: float) -> None:
+    def __init__(self, alphabet: str, kept: np.ndarray, weights: np.ndarray, bias: float) -> None:
         self.space, self.weights, self.bias = Subsequences(alphabet), weights, bias
+        self.place = Places(kept, self.space.size)
+        self.table = weights[self.place.dense] if self.place.dense is not None and len(kept) else None
         self.cache: dict[str, float] = {}
 
     def learn(self, raw: set[str]) -> None:
@@ -153,7 +181,8 @@ class Scorer:
                     parts.update((w, self.bias) for w in block)
                     continue
                 code, weight = self.space.codes(self.space.letters(block))
-                raw_margin = (self.weights[code] * weight).sum(axis=1)
+                found = self.weights[self.place[code]] if self.table is None else self.table[code]
+                raw_margin = (found * weight).sum(axis=1)
                 # only words near an insult are worth their norm; it is 0.2 at least
                 margin = np.full(len(block), self.bias)
                 some = np.flatnonzero(raw_margin > 0)
@@ -240,18 +269,29 @@ def _clusters(bags: list[np.ndarray], df: np.ndarray, hashes: np.ndarray) -> np.
             i = parent[i]
         return i
 
-    seen: dict[tuple[int, int], int] = {}
+    seen: dict[tuple[int, int], list[int]] = {}
     common = max(20, len(bags) // 100)
+    kept = []
     for i, bag in enumerate(bags):
-        rare = hashes[bag[(df[bag] > 1) & (df[bag] <= common)]]
+        rare = bag[(df[bag] > 1) & (df[bag] <= common)]
+        kept.append(rare)
+        codes = hashes[rare]
         for k in range(4 if len(rare) >= 8 else 0):
-            least = int(((rare * np.uint64(2 * k + 0x9E3779B1) + np.uint64(k * 0x85EBCA6B)) & np.uint64(0xFFFFFFFF)).min())
-            parent[root(i)] = root(seen.setdefault((k, least), i))
+            least = int(((codes * np.uint64(2 * k + 0x9E3779B1) + np.uint64(k * 0x85EBCA6B)) & np.uint64(0xFFFFFFFF)).min())
+            others = seen.setdefault((k, least), [])
+            # one rare word in common is no copy yet, and chains of such would join unlike texts
+            for j in others:
+                if root(i) != root(j):
+                    both = len(np.intersect1d(rare, kept[j], assume_unique=True))
+                    if 2 * both >= len(rare) + len(kept[j]) - both:
+                        parent[root(i)] = root(j)
+            if all(root(j) != root(i) for j in others):
+                others.append(i)
     return np.array([root(i) for i in range(len(bags))])
 
 
-def _witnesses(bags: list[np.ndarray], toxic: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Words that clean bags hardly hold, and the share of toxic ones among the bags that hold them."""
+def _witnesses(bags: list[np.ndarray], toxic: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words that clean bags hardly hold, the share of toxic ones among the groups that hold them, and these toxic groups."""
     words = np.concatenate(bags)
     df = np.bincount(words, minlength=len(hashes))
     groups = _clusters(bags, df, hashes)
@@ -265,27 +305,39 @@ def _witnesses(bags: list[np.ndarray], toxic: np.ndarray, hashes: np.ndarray) ->
     expected = np.maximum((a + b) * prior, 1e-9)
     sure = (a - expected) / np.sqrt(expected * (1 - prior)) > 3.5 - (b == 0)
     found = np.flatnonzero((a >= 3) & sure & (a / nt > 8 * b / nc))
-    return found, a[found] / (a + b)[found]
+    # a toxic group counts for its strongest words only: what stands beside a word twice as
+    # strong is explained by it, and chance words of such texts are no witnesses
+    strength = np.zeros(len(hashes))
+    strength[found] = a[found] ** 2 / (a + b)[found]
+    own = held[(held[:, 1] == 1) & (strength[held[:, 0]] > 0)]
+    best = np.zeros(len(bags))
+    np.maximum.at(best, own[:, 2], strength[own[:, 0]])
+    left = np.bincount(own[2 * strength[own[:, 0]] >= best[own[:, 2]], 0], minlength=len(hashes))
+    found = found[left[found] >= 3]
+    return found, a[found] / (a + b)[found], a[found]
 
 
 def _misspelt(word: str, alphabet: str) -> list[str]:
-    """The word with one character more: a doubled one, and a stray one, at each inner place."""
+    """The word with one character more: a doubled one, and stray ones, at each inner place."""
     out = []
-    for i in range(1, len(word) if 4 <= len(word) < SPAN else 0):
-        stray = alphabet[zlib.crc32(f"{word} {i}".encode("utf-8", "surrogatepass")) % len(alphabet)]
-        out += [word[:i] + word[i - 1 :], word[:i] + stray + word[i:]]
+    for i in range(1, len(word) if 3 <= len(word) < SPAN else 0):
+        at = zlib.crc32(f"{word} {i}".encode("utf-8", "surrogatepass"))
+        stray = [alphabet[(at + k * (len(alphabet) // STRAYS + 1)) % len(alphabet)] for k in range(STRAYS)]
+        out += [word[:i] + word[i - 1 :], *(word[:i] + c + word[i:] for c in stray)]
     return out
 
 
 class Model:
     """A fitted machine: what tasks need to score texts."""
 
-    def __init__(self, alphabet: str = "a", weights=None, bias: float = -1.0, slope: float = 0.0, offset: float = 0.0):
+    def __init__(self, alphabet: str = "a", kept=None, weights=None, bias: float = -1.0, slope: float = 0.0, offset: float = 0.0):
         self.alphabet, self.bias, self.slope, self.offset = alphabet, bias, slope, offset
-        self.weights = np.zeros((len(alphabet) + 1) ** 3, np.float32) if weights is None else weights
+        # sorted numbers of the subsequences with a weight; the last weight is that of all others
+        self.kept = np.empty(0, np.int64) if kept is None else kept
+        self.weights = np.zeros(1, np.float32) if weights is None else weights
 
     def scorer(self) -> Scorer:
-        return Scorer(self.alphabet, self.weights, self.bias)
+        return Scorer(self.alphabet, self.kept, self.weights, self.bias)
 
     def probability(self, margin: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * np.asarray(margin, float) + self.offset, -500, 500)))
@@ -315,31 +367,36 @@ def fit(texts: list[str], labels: list[int]) -> Model:
     number.clear()
     hashes = np.array([zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in names], np.uint64)
     bags = [b if len(b) <= MAX_WORDS else b[np.argsort(hashes[b], kind="stable")[:MAX_WORDS]] for b in bags]
-    found, share = _witnesses(bags, toxic, hashes)
+    found, share, groups = _witnesses(bags, toxic, hashes)
     if not len(found):
         return _prior_only(int(toxic.sum()), int((~toxic).sum()))
 
     witnesses = names[found].tolist()
-    positive = [witnesses[i] for i in np.lexsort((names[found].astype(str), -share))[: LANDMARKS // 2]]
+    # landmarks by evidence: toxic groups, then their share
+    order = np.lexsort((names[found].astype(str), -share, -groups))
+    positive = [witnesses[i] for i in order[:WITNESSES]]
     alphabet = "".join(sorted({c for w in witnesses for c in w if ord(c) <= 0xFFFF})[:80])
     space = Subsequences(alphabet)
-    used = {0}
-    for w in positive:
+    used: set[int] = set()
+    for w in witnesses:
         if len(w) >= 3:
             used.update(np.unique(space.codes(space.letters([w]))[0]).tolist())
-    kept = sorted(used - {0})
-    place = np.full(space.size**3, len(kept), np.int64)
-    place[kept] = np.arange(len(kept))
+    kept = np.array(sorted(used - {0}), np.int64)
+    place = Places(kept, space.size)
 
     # distinct clean words: a hash sample, and those that come nearest to a witness
     clean = np.unique(np.concatenate([b for b, y in zip(bags, toxic) if not y]))
     clean = clean[np.argsort(hashes[clean], kind="stable")]
     words = [w for w in names[clean].tolist() if len(w) >= 3]
-    seeds = _vectors(space, positive, place, len(kept))
-    nearness = np.concatenate([_kernels(space, words[i : i + 10_000], place, seeds).max(axis=1) for i in range(0, len(words), 10_000)] or [np.empty(0)])
+    nearness = np.zeros(len(words))
+    for at in range(0, len(witnesses), 160):
+        seeds = _vectors(space, witnesses[at : at + 160], place, len(kept))
+        for i in range(0, len(words), 10_000):
+            near = _kernels(space, words[i : i + 10_000], place, seeds).max(axis=1)
+            nearness[i : i + 10_000] = np.maximum(nearness[i : i + 10_000], near)
     hard = [words[i] for i in np.argsort(-nearness, kind="stable")[:CLEAN_WORDS]]
     negative = list(dict.fromkeys([*hard, *words[:CLEAN_WORDS]]))
-    landmarks = [*positive, *hard[: LANDMARKS - len(positive)]]
+    landmarks = [*positive, *hard[:LANDMARKS]]
     marks = _vectors(space, landmarks, place, len(kept))
     values, vectors = np.linalg.eigh(marks.T.astype(float) @ marks)
     good = values > 1e-6 * values.max()
@@ -352,7 +409,11 @@ def fit(texts: list[str], labels: list[int]) -> Model:
     is_witness = np.zeros(len(chosen), bool)
     is_witness[: len(witnesses)] = True
     clean_words = set(words)
-    altered = [v for w in positive for v in dict.fromkeys(_misspelt(w, alphabet)) if v not in clean_words]
+    altered, by = [], []
+    for i in order[:WITNESSES]:
+        new = [v for v in dict.fromkeys(_misspelt(witnesses[i], alphabet)) if v not in clean_words]
+        altered += new
+        by += [groups[i] / max(1, len(new))] * len(new)
     x = _kernels(space, chosen, place, marks) @ whiten
     bent = _kernels(space, altered, place, marks) @ whiten
     toxic_rows, clean_rows = [], []
@@ -375,13 +436,13 @@ def fit(texts: list[str], labels: list[int]) -> Model:
         c = np.sqrt(np.array([*pos.values(), *neg.values()], float))
         c[: len(pos)] /= max(c[: len(pos)].sum(), 1e-9)
         c[len(pos) :] /= max(c[len(pos) :].sum(), 1e-9)
-        # witnesses with a character too many count as a sixth of a label more
-        extra = np.full(len(bent), 0.16 / max(1, len(bent)))
-        beta = _machine(np.vstack([x[rows], bent]), np.append(y, np.ones(len(bent))), np.append(c, extra), 1e-4)
+        # altered witnesses count more by their toxic groups
+        extra = ALTERED * np.array(by) / max(1e-9, sum(by))
+        beta = _machine(np.vstack([x[rows], bent]), np.append(y, np.ones(len(bent))), np.append(c, extra), RIDGE)
         margin = x @ beta[:-1] + beta[-1]
 
-    weights = np.append(marks[:-1] @ (whiten @ beta[:-1]), 0.0).astype(np.float32)[place]
-    model = Model(alphabet, weights, float(beta[-1]))
+    weights = np.append(marks[:-1] @ (whiten @ beta[:-1]), 0.0).astype(np.float32)
+    model = Model(alphabet, kept, weights, float(beta[-1]))
     scorer = model.scorer()
     margins = np.concatenate([scorer.margins(texts[i : i + 250]) for i in range(0, len(texts), 250)])
     model.slope, model.offset = _calibrate(margins, np.array(labels, float))
