@@ -375,7 +375,7 @@ def fit(texts: list[str], labels: list[int]) -> Model:
     # landmarks by evidence: toxic groups, then their share
     order = np.lexsort((names[found].astype(str), -share, -groups))
     positive = [witnesses[i] for i in order[:WITNESSES]]
-    alphabet = "".join(sorted({c for w in witnesses for c in w if ord(c) <= 0xFFFF})[:80])
+    alphabet = "".join(sorted({c for w in witnesses for c in w}))
     space = Subsequences(alphabet)
     used: set[int] = set()
     for w in witnesses:
