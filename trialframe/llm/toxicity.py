@@ -222,7 +222,7 @@ def _by_length(words: list[str], most: int):
 
 def _kernels(space: Subsequences, words: list[str], place: np.ndarray, vectors: np.ndarray) -> np.ndarray:
     """Kernels of words with vectors over the placed subsequences (its last row is 0)."""
-    out = np.zeros((len(words), vectors.shape[1]))
+    out = np.zeros((len(words), vectors.shape[1]), np.float32)
     for rows in _by_length(words, 4_000_000 // vectors.shape[1]):
         block = [words[i] for i in rows]
         code, weight = space.codes(space.letters(block))
@@ -245,14 +245,21 @@ def _vectors(space: Subsequences, words: list[str], place: np.ndarray, width: in
 
 def _machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray, strength: float = 0.01) -> np.ndarray:
     """Linear machine with squared hinge loss, by Newton steps; the last entry is the bias."""
-    x = np.hstack([x, np.ones((len(x), 1))])
-    w = np.zeros(x.shape[1])
-    ridge = np.full(x.shape[1], strength * weight.sum())
+    n = x.shape[1] + 1
+    w = np.zeros(n)
+    ridge = np.full(n, strength * weight.sum())
     ridge[-1] = 1e-6 * weight.sum()
     for _ in range(60):
-        inside = y * (x @ w) < 1
-        a, c = x[inside], weight[inside]
-        new = np.linalg.solve((a * c[:, None]).T @ a + np.diag(ridge), (a * c[:, None]).T @ y[inside])
+        left, right = np.diag(ridge), np.zeros(n)
+        for at in range(0, len(x), 1024):  # a few rows at once: no copy of all of them
+            block = np.hstack([x[at : at + 1024], np.ones((len(x[at : at + 1024]), 1))])
+            own = y[at : at + 1024]
+            inside = own * (block @ w) < 1
+            a = block[inside]
+            scaled = a * weight[at : at + 1024][inside][:, None]
+            left += scaled.T @ a
+            right += scaled.T @ own[inside]
+        new = np.linalg.solve(left, right)
         if np.abs(new - w).max() < 1e-9:
             return new
         w = new
@@ -414,8 +421,8 @@ def fit(texts: list[str], labels: list[int]) -> Model:
         new = [v for v in dict.fromkeys(_misspelt(witnesses[i], alphabet)) if v not in clean_words]
         altered += new
         by += [groups[i] / max(1, len(new))] * len(new)
-    x = _kernels(space, chosen, place, marks) @ whiten
-    bent = _kernels(space, altered, place, marks) @ whiten
+    x = (_kernels(space, chosen, place, marks) @ whiten).astype(np.float32)
+    bent = (_kernels(space, altered, place, marks) @ whiten).astype(np.float32)
     toxic_rows, clean_rows = [], []
     for own, y in zip(sentences, toxic):
         for s in own:
