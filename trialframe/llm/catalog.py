@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import ann, bpe, decontaminate, html_region, langid, line_spread, pii, simhash, toxicity, url_trust
+from . import (
+    angular_negatives, ann, automaton_search, bpe, decontaminate, html_region, langid, line_spread, pii, quality_rules, simhash,
+    toxicity, url_trust,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -87,3 +90,20 @@ def _op9(spark, folder):
 @_query("op10_url_trust")
 def _op10(spark, folder):
     return url_trust.verdicts(table(spark, folder, "pages")).drop("trust", "distrust")
+
+
+@_query("op11_quality_rules")
+def _op11(spark, folder):
+    return quality_rules.quality(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@_query("op12_angular_negatives", angular_negatives.SQL)
+def _op12(spark, folder):
+    label = F.col("label").cast("long")
+    moved = F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label)
+    return angular_negatives.mine(table(spark, folder, "embeddings").withColumn("label", moved), "id % 50 = 0")
+
+
+@_query("op13_automaton_search", automaton_search.SQL)
+def _op13(spark, folder):
+    return automaton_search.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
