@@ -210,7 +210,7 @@ def test_axis_test_agrees_with_full_refits(spark, rda):
         assert got.p_value.iloc[i] == pytest.approx((1 + hits) / 1000, abs=0.08)
 
 
-def test_slicing_and_partitioning_change_no_permutation(spark, rda, monkeypatch):
+def test_partitioning_changes_no_permutation(spark, rda):
     fit, df, _, _ = rda
 
     def result(df, **design):
@@ -219,9 +219,43 @@ def test_slicing_and_partitioning_change_no_permutation(spark, rda, monkeypatch)
 
     whole = result(df)
     np.testing.assert_allclose(result(df.repartition(1)), whole)
+    np.testing.assert_allclose(result(df.repartition(23)), whole)
     np.testing.assert_allclose(result(df.withColumn("all", F.lit("x")), strata="all"), whole)
-    monkeypatch.setattr(permute, "_RANKED_ROWS", 10)
-    np.testing.assert_allclose(result(df), whole)
+
+
+@pytest.mark.parametrize("sizes", [[1, 2, 3, 5, 40], [7, 1031], [4, 4, 4, 4]])
+def test_places_are_a_permutation_of_each_stratum(spark, sizes):
+    groups = spark.createDataFrame(
+        [(sum(sizes[:k]), n) for k, n in enumerate(sizes)], "start long, size long")
+    rows = permute._with_radices(groups).withColumn("number", F.explode(F.expr("sequence(start, start + size - 1)")))
+    got = permute.placed(rows.withColumn("b", F.explode(F.expr("sequence(1, 40)"))), 40, 11).toPandas()
+    for (_, start), part in got.groupby(["b", "start"]):
+        assert sorted(part.pos) == list(range(start, start + len(part)))
+
+
+def test_places_are_spread_evenly(spark):
+    """Every number comes to every place about equally often, and pairs of numbers do too."""
+    n, draws = 10, 20_000
+    rows = permute._with_radices(spark.createDataFrame([(0, n)], "start long, size long"))
+    rows = rows.withColumn("number", F.explode(F.expr("sequence(0, size - 1)")))
+    rows = rows.withColumn("b", F.explode(F.expr(f"sequence(1, {draws})")))
+    pos = permute.placed(rows, draws, 5).toPandas().pivot(index="b", columns="number", values="pos").to_numpy()
+    for a in range(n):
+        counts = np.bincount(pos[:, a], minlength=n)
+        assert ((counts - draws / n) ** 2 / (draws / n)).sum() < 40  # chi-square of 9 degrees
+    pairs = np.bincount(pos[:, 3] * n + pos[:, 8], minlength=n * n).reshape(n, n)[~np.eye(n, dtype=bool)]
+    expected = draws / (n * (n - 1))
+    assert ((pairs - expected) ** 2 / expected).sum() < 160  # 89 degrees
+
+
+def test_numbers_are_dense_and_nothing_is_ordered_in_a_permutation(spark, rda):
+    fit, df, _, _ = rda
+    rows = permute.numbered(df.select("id"), ["id"])
+    assert [r.number for r in rows.orderBy("id").collect()] == list(range(40))
+    assert permute.numbered(df.select("id").limit(0), ["id"]).count() == 0
+    sized = rows.withColumns({c: F.lit(v).cast("bigint") for c, v in {"start": 0, "size": 40, "wide": 8, "tall": 5}.items()})
+    plan = permute.placed(sized.withColumn("b", F.lit(1)), 1, 1)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Exchange" not in plan
 
 
 def test_strata_keep_rows_inside(spark, rda):

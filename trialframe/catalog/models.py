@@ -9,6 +9,7 @@ from ..operators import aggregates, crossproducts, linmodel, ordination, permute
 from ..plans import partition
 from ..sources import readers, writers
 from ..sources.scratch import fresh_path, stored
+from .matrix_sql import eigen, eliminated, fitted, moments, places
 from .registry import query, rounded, table
 
 # ---------------------------------------------------------------- linear models
@@ -355,50 +356,34 @@ def rda_biplot(spark, folder):
     return rounded(fit.biplot_scores(), 5, "rda1", "rda2")
 
 
-def _interaction_sql():
-    """Five terms made orthonormal one after the other, then two axes of two responses."""
-    terms = ["quantity", "tax", "ecc", "quantity_ecc", "tax_ecc"]
-    ys = ["turnover", "reduction"]
-    sql = f"""
-    WITH raw AS (SELECT quantity, tax, turnover, reduction,
-                        CASE WHEN l_returnflag IN ('A', 'R') THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS ecc
-                 FROM ({_MEASURES_SQL}) WHERE quantity IS NOT NULL),
-    full_rows AS (SELECT *, quantity * ecc AS quantity_ecc, tax * ecc AS tax_ecc FROM raw),
-    c0 AS (SELECT {", ".join(f"{v} - avg({v}) OVER () AS {v}" for v in [*terms, *ys])} FROM full_rows)"""
-    for k, t in enumerate(terms):
-        dots = ", ".join(f"sum({t} * z{j}) AS r{j}" for j in range(k)) or "0 AS r"
-        rest = "".join(f" - r{j} * z{j}" for j in range(k))
-        known = ", ".join([*terms, *ys, *[f"z{j}" for j in range(k)]])
-        sql += f""",
-    r{k} AS (SELECT {dots} FROM c{k}),
-    w{k} AS (SELECT {known}, {t}{rest} AS w FROM c{k}, r{k}),
-    c{k + 1} AS (SELECT {known}, w / sqrt(sum(w * w) OVER ()) AS z{k} FROM w{k})"""
-    n = len(terms)
-    sums = ", ".join(f"sum(z{j} * {y}) AS s{j}{i}" for j in range(n) for i, y in enumerate(ys))
-    inner = ", ".join(f"sum(z{j} * {t}) / sqrt(sum({t} * {t})) AS k{j}{m}" for j in range(n) for m, t in enumerate(terms))
-
-    def gram(i, j):
-        return " + ".join(f"s{k}{i} * s{k}{j}" for k in range(n))
-
-    def score(m, axis):
-        return " + ".join(f"k{j}{m} * (s{j}0 * p{axis} + s{j}1 * d{axis}) / sqrt(e{axis})" for j in range(n))
-
-    sql += f""",
-    s AS (SELECT {sums}, {inner} FROM c{n}),
-    g AS (SELECT *, {gram(0, 0)} AS a, {gram(0, 1)} AS b, {gram(1, 1)} AS d FROM s),
-    e AS (SELECT *, (a + d) / 2 + sqrt((a - d) ** 2 / 4 + b * b) AS e1,
-                 (a + d) / 2 - sqrt((a - d) ** 2 / 4 + b * b) AS e2 FROM g),
-    h AS (SELECT *, sqrt(b * b + (e1 - a) ** 2) AS h1, sqrt(b * b + (e2 - a) ** 2) AS h2,
-                 sign(b + e1 - a) AS g1, sign(b + e2 - a) AS g2 FROM e),
-    v AS (SELECT *, g1 * b / h1 AS p1, g1 * (e1 - a) / h1 AS d1, g2 * b / h2 AS p2, g2 * (e2 - a) / h2 AS d2 FROM h)"""
-    rows = [
-        f"SELECT '{t.replace('_', ':')}' AS var, round({score(m, 1)}, 5) AS rda1, round({score(m, 2)}, 5) AS rda2 FROM v"
-        for m, t in enumerate(terms)
-    ]
-    return sql + " " + " UNION ALL ".join(rows)
-
-
-@query("rda_biplot_interactions", _interaction_sql())
+def _biplot_sql(terms, outcomes, source, names):
+    """Correlations of the terms with the first two axes, from one row of moments."""
+    q, p = len(terms), len(terms) + len(outcomes)
+    along = f"list_sum(list_transform(range(1, {len(outcomes) + 1}), lambda y: m[j][{q} + y] * v[y])) / sqrt(m[j][j] * value)"
+    labels = "[" + ", ".join(f"'{names.get(t, t)}'" for t in terms) + "]"
+    return f"""
+    WITH RECURSIVE {source},
+    {moments("full_rows", [*terms, *outcomes])},
+    {eliminated(q, p)},
+    {fitted(q, p)},
+    {eigen(len(outcomes), "fi_matrix")},
+    u AS (SELECT j, axis, {along} AS u FROM el, ei, range(1, {q + 1}) AS predictors(j)
+          WHERE axis <= 2 AND m[j][j] > 1e-9 * c[j][j]),
+    score AS (SELECT {labels}[x] AS var, axis, sum(m[j][x] / sqrt(m[j][j] * c[x][x]) * u) AS score
+              FROM u, el, range(1, {q + 1}) AS predictors(x) WHERE j <= x AND m[x][x] > 1e-9 * c[x][x] GROUP BY x, axis)"""
+
+
+_TWO_AXES = """ SELECT var, round(any_value(score) FILTER (axis = 1), 5) AS rda1,
+       round(any_value(score) FILTER (axis = 2), 5) AS rda2 FROM score GROUP BY var"""
+
+
+@query("rda_biplot_interactions", _biplot_sql(
+    ["quantity", "tax", "ecc", "quantity_ecc", "tax_ecc"], _OUTCOMES, f"""
+    raw AS (SELECT quantity, tax, turnover, reduction,
+                   CASE WHEN l_returnflag IN ('A', 'R') THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS ecc
+            FROM ({_MEASURES_SQL}) WHERE quantity IS NOT NULL),
+    full_rows AS (SELECT *, quantity * ecc AS quantity_ecc, tax * ecc AS tax_ecc FROM raw)""",
+    {"quantity_ecc": "quantity:ecc", "tax_ecc": "tax:ecc"}) + _TWO_AXES)
 def rda_biplot_interactions(spark, folder):
     flag = F.col("l_returnflag")
     rows = _measures(spark, folder).withColumn("ecc", coding.indicator(flag, ["A", "R"]))
@@ -441,30 +426,29 @@ def _suppliers(spark, folder):
     return stored(means.join(nations, means.l_suppkey == nations.s_suppkey), "suppliers")
 
 
-def _permuted_sql(source, permutations, responses, strata=False):
+def _permuted_sql(source, permutations, responses, strata=False, crossed=False):
     """Sums for every permutation of ``source(rid, x1, x2, y..)``, predictors orthonormalised.
 
-    With ``strata`` the source also has ``st``, and rows swap within its values.
+    With ``strata`` the source also has ``st``, and rows swap within its values; with ``crossed``
+    the predictors are permuted too.
     """
-    st, within = ("st, ", ", st") if strata else ("", "")
-    match = "st, pos" if strata else "pos"
+    st = "st" if strata else "'' AS st"
     ys = ", ".join(responses)
     centred = ", ".join(f"{c} - avg({c}) OVER () AS {c}" for c in ["x1", "x2", *responses])
     sums = ", ".join(f"sum(z{j} * {y}) AS s{j}_{y}" for j in (1, 2) for y in responses)
+    paired = ", ".join(f"sum(stay.z{j} * swap.{y}) AS s{j}_{y}" for j in (1, 2) for y in responses)
+    if crossed:
+        paired += "".join(f", sum(stay.z{j} * swap.z{k}) AS t{j}{k}" for j in (1, 2) for k in (1, 2))
     squares = {j: " + ".join(f"s{j}_{y} * s{j}_{y}" for y in responses) for j in (1, 2)}
     total = " + ".join(f"sum({y} * {y})" for y in responses)
     return f"""
     WITH base AS ({source}),
-    c AS (SELECT rid, {st}{centred} FROM base),
+    c AS (SELECT rid, {st}, {centred} FROM base),
     g AS (SELECT sum(x1 * x1) AS xx, sum(x1 * x2) AS xw FROM c),
-    o AS (SELECT rid, {st}x1 / sqrt(xx) AS z1, x2 - xw / xx * x1 AS w, {ys} FROM c, g),
-    z AS (SELECT rid, {st}z1, w / sqrt(sum(w * w) OVER ()) AS z2, {ys} FROM o),
-    stay AS (SELECT {st}z1, z2, row_number() OVER (PARTITION BY 0{within} ORDER BY md5('{_SEED}-0-' || rid)) AS pos FROM z),
-    swap AS (SELECT b, {st}{ys},
-                    row_number() OVER (PARTITION BY b{within} ORDER BY md5('{_SEED}-' || b || '-' || rid))
-                        AS pos
-             FROM z, range(1, {permutations + 1}) AS numbers(b)),
-    ps AS (SELECT b, {sums} FROM swap JOIN stay USING ({match}) GROUP BY b),
+    o AS (SELECT rid, st, x1 / sqrt(xx) AS z1, x2 - xw / xx * x1 AS w, {ys} FROM c, g),
+    z AS (SELECT rid, st, z1, w / sqrt(sum(w * w) OVER ()) AS z2, {ys} FROM o),
+    {places("z", permutations, _SEED, [*responses, "z1", "z2"] if crossed else responses)},
+    ps AS (SELECT b, {paired} FROM swap JOIN stay USING (pos) GROUP BY b),
 {_tested_sql(sums, squares, total)}"""
 
 
@@ -506,14 +490,14 @@ def _terms_sql(digits, names):
     return " UNION ALL ".join([*rows, rest])
 
 
-def _suppliers_sql(permutations, strata=False):
+def _suppliers_sql(permutations, strata=False, crossed=False):
     return _permuted_sql(
-        f"""SELECT length(k) || ':' || k AS rid, {"st, " if strata else ""}x1, x2, y1, y2, y3 FROM (
-              SELECT CAST(l_suppkey AS VARCHAR) AS k, any_value(s_nationkey) AS st, avg(l_quantity) AS x1,
+        f"""SELECT length(k) || ':' || k AS rid, {"length(st) || ':' || st AS st, " if strata else ""}x1, x2, y1, y2, y3 FROM (
+              SELECT CAST(l_suppkey AS VARCHAR) AS k, CAST(any_value(s_nationkey) AS VARCHAR) AS st, avg(l_quantity) AS x1,
                      avg(l_tax) * 100 AS x2, avg(l_extendedprice) / 1000 AS y1, avg(l_discount) * 100 AS y2,
                      avg(l_quantity * l_discount) AS y3
               FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1)""",
-        permutations, ["y1", "y2", "y3"], strata)
+        permutations, ["y1", "y2", "y3"], strata, crossed)
 
 
 def _supplier_fit(spark, folder):
@@ -553,9 +537,6 @@ def rda_perm_terms(spark, folder):
 
 def _axis_sql(responses):
     """Axis tests of two predictors: 2 x 2 eigenvalues, the second axis given the first."""
-    pairs = [(j, k) for j in (1, 2) for k in (1, 2)]
-    crossed = ", ".join(f"sum(z{j} * h{k}) AS t{j}{k}" for j, k in pairs)
-    sums = ", ".join(f"sum(stay.z{j} * swap.{y}) AS s{j}_{y}" for j in (1, 2) for y in responses)
     seen = ", ".join(f"o.s{j}_{y} AS o{j}_{y}" for j in (1, 2) for y in responses)
     ys = ", ".join(responses)
 
@@ -576,14 +557,9 @@ def _axis_sql(responses):
     first = _P.format("l1 / ((sst - a - d) / df)", "e1 / oe")
     second = _P.format("now / ((sst - kept - gone - now) / df)", "e2 / oe")
     return f""",
-    swap2 AS (SELECT b, z1 AS h1, z2 AS h2, {ys},
-                     row_number() OVER (PARTITION BY b
-                                        ORDER BY md5('{_SEED}-' || b || '-' || rid)) AS pos
-              FROM z, range(1, 1000) AS numbers(b)),
-    qs AS (SELECT b, {sums}, {crossed} FROM swap2 AS swap JOIN stay USING (pos) GROUP BY b),
-    j AS (SELECT qs.*, {seen}, obs.n, obs.sst, obs.df,
+    j AS (SELECT ps.*, {seen}, obs.n, obs.sst, obs.df,
                  {gram("o.s", 1, 1)} AS oa, {gram("o.s", 1, 2)} AS ob, {gram("o.s", 2, 2)} AS od
-          FROM qs, os AS o, obs),
+          FROM ps, os AS o, obs),
     k AS (SELECT *, {gram("s", 1, 1)} AS a, {gram("s", 1, 2)} AS bb, {gram("s", 2, 2)} AS d,
                  {top("oa", "ob", "od")} AS e1, (sst - oa - od) / df AS oe FROM j),
     k2 AS (SELECT *, oa + od - e1 AS e2, {top("a", "bb", "d")} AS l1,
@@ -600,7 +576,7 @@ def _axis_sql(responses):
     UNION ALL SELECT 3, 'Residual', df, round((sst - o1 - o2) / (n - 1), 10), NULL, NULL FROM obs"""
 
 
-@query("rda_perm_axis", _suppliers_sql(_AXES) + _axis_sql(["y1", "y2", "y3"]))
+@query("rda_perm_axis", _suppliers_sql(_AXES, crossed=True) + _axis_sql(["y1", "y2", "y3"]))
 def rda_perm_axis(spark, folder):
     return _rounded_test(_axes(spark, folder), 10)
 
@@ -608,7 +584,7 @@ def rda_perm_axis(spark, folder):
 def _export_sql():
     """Overall and axis tests as one table, without residuals."""
     overall = _suppliers_sql(_OVERALL) + _overall_sql(10)
-    axes = _suppliers_sql(_AXES) + _axis_sql(["y1", "y2", "y3"])
+    axes = _suppliers_sql(_AXES, crossed=True) + _axis_sql(["y1", "y2", "y3"])
     return f"""SELECT term, df, round_even(variance, 2) AS variance, round_even(statistic, 2) AS statistic,
                       round_even(p_value, 2) AS p_value
                FROM (SELECT * FROM ({overall}) UNION ALL SELECT * FROM ({axes})) WHERE term <> 'Residual'"""

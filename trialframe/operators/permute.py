@@ -8,31 +8,39 @@ Oksanen and ter Braak 2011).
 
 Three designs, named by the caller and never chosen by the table's size:
 
-* free: every row may swap with every other. Costs (rows x permutations) rows
-  through a shuffle, all on evenly spread hash keys.
+* free: every row may swap with every other.
 * within strata: rows swap with rows of the same value of a column (blocks of an
-  experiment). A stratum is ordered in one task for each permutation.
+  experiment).
 * normal: the sums are drawn from the normal distribution that free permutation tends
   to, with its exact mean and covariance. Cost free of the number of rows.
 
-Every draw follows from md5 of seed, permutation and row, so any engine can repeat it.
+The first two cost (rows x permutations) rows, but nothing is ordered in a permutation:
+rows are numbered once, and the place of a row in permutation b is a keyed bijection of its
+number, computed in the row (``placed``). So a stratum with most of the rows is
+spread like any other, and the exploded rows meet the standing ones by one equi-join.
+
+Every draw follows from md5 of seed, permutation and round, so any engine can repeat it.
 The sums, one row per permutation, are stored, and all tests read them.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Sequence
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..sources.scratch import stored
+from .joins import left_join
 from .ordination import Redundancy
 
-# Rows of one slice of a permutation, on average; slices are ordered separately.
-_RANKED_ROWS = 10_000
+# Rounds of the bijection, and the prime its round functions compute in.
+_ROUNDS = 6
+_PRIME = 2**31 - 1
 # Ties with the observed statistic count, whatever the last digits say.
 _TIE = 1 - 1e-9
 
@@ -43,21 +51,6 @@ def row_key(key: Sequence[str]) -> Column:
     return F.concat(*[F.coalesce(F.concat(F.length(c).cast("string"), F.lit(":"), c), F.lit("N")) for c in parts])
 
 
-def _with_draw(rows: DataFrame, seed: int) -> DataFrame:
-    """Add the sort key of a row in permutation ``b``: 120 bits of md5 as two numbers.
-
-    Ordering by them is ordering by the md5 text, which any engine can repeat;
-    numbers sort about twice as fast.
-    """
-    text = F.md5(F.concat_ws("-", F.lit(str(seed)), F.col("b").cast("string"), F.col("rid")))
-
-    def digits(first):
-        return F.conv(F.substring("hash", first, 15), 16, 10).cast("bigint")
-
-    drawn = rows.withColumn("hash", text)
-    return drawn.withColumns({"draw": digits(1), "draw2": digits(16)}).drop("hash")
-
-
 def _spread(rows: DataFrame, key: str) -> DataFrame:
     """Even partitions by ``key`` for work that is heavy per row.
 
@@ -68,36 +61,83 @@ def _spread(rows: DataFrame, key: str) -> DataFrame:
     return rows.repartition(parts, key)
 
 
-def _placed(rows: DataFrame, n: int, seed: int) -> DataFrame:
-    """Add ``pos``, the row's place 1..n in the order of permutation ``b``.
+def numbered(rows: DataFrame, order: Sequence[str]) -> DataFrame:
+    """Add ``number``, 0 up to n - 1 in the order of the columns, which must identify a row.
 
-    A permutation is never ordered in one task: the leading bits of the draw split
-    it into evenly filled slices, slices are ranked separately, and counted slice
-    sizes give the offsets. There are two slices at least, so one path serves all sizes.
+    Rows are sorted once, over all tasks, and stored; what reaches the driver is the number of
+    rows of each sorted part.
     """
-    bits = max(1, math.ceil(math.log2(max(n, 2) / _RANKED_ROWS)))
-    drawn = _with_draw(rows, seed).withColumn("slice", F.shiftright("draw", 60 - bits))
-    before = Window.partitionBy("b").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = stored(  # one row per slice of about _RANKED_ROWS rows
-        drawn.groupBy("b", "slice")
-        .agg(F.count(F.lit(1)).alias("rows"))
-        .select("b", "slice", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("offset")),
-        "offsets",
-    )
-    inside = Window.partitionBy("b", "slice").orderBy("draw", "draw2", "rid")
-    return (
-        drawn.withColumn("place", F.row_number().over(inside))
-        .join(offsets, ["b", "slice"])
-        .withColumn("pos", F.col("offset") + F.col("place"))
-        .drop("draw", "draw2", "slice", "offset", "place")
-    )
+    ordered = stored(rows.orderBy(*order).withColumn("place", F.monotonically_increasing_id()), "ordered")
+    part = F.shiftright("place", 33)
+    sizes = {r.part: r.n for r in ordered.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    before, offsets = 0, []
+    for k in range(max(sizes, default=-1) + 1):
+        offsets.append(before)
+        before += sizes.get(k, 0)
+    first = F.get(F.lit(offsets or [0]), part.cast("int"))
+    return ordered.withColumn("number", first + F.col("place").bitwiseAND(2**33 - 1)).drop("place")
 
 
-def _placed_within(rows: DataFrame, seed: int) -> DataFrame:
-    """Add ``pos``, the row's place in the order of permutation ``b`` within its stratum."""
-    inside = Window.partitionBy("b", "stratum").orderBy("draw", "draw2", "rid")
-    place = F.row_number().over(inside).cast("long")
-    return _with_draw(rows, seed).withColumn("pos", place).drop("draw", "draw2")
+def _with_radices(sized: DataFrame) -> DataFrame:
+    """Add ``wide`` and ``tall`` to rows with ``size``: the two radices that numbers are written in.
+
+    Their product covers the size with the least excess among near-square choices.
+    """
+    low = F.ceil(F.sqrt("size")).cast("bigint")
+    high = F.greatest(low, F.least(4 * low, F.expr("size div 2")))
+    each = F.transform(F.sequence(low, high), lambda a: F.struct(
+        (a * F.ceil(F.col("size") / a) - F.col("size")).alias("excess"), a.alias("wide")))
+    best = sized.withColumn("best", F.array_min(each))
+    return best.select(
+        *sized.columns, F.col("best.wide").alias("wide"),
+        F.ceil(F.col("size") / F.col("best.wide")).cast("bigint").alias("tall"))
+
+
+@lru_cache(maxsize=4)
+def _keys(permutations: int, seed: int) -> np.ndarray:
+    """Coefficients of the round functions: permutation (from 1), round, power."""
+    out = np.zeros((permutations + 1, _ROUNDS, 4), np.int64)
+    for b in range(1, permutations + 1):
+        for r in range(_ROUNDS):
+            text = hashlib.md5(f"{seed}-{b}-{r}".encode()).hexdigest()
+            out[b, r] = [int(text[i : i + 8], 16) % _PRIME for i in range(0, 32, 8)]
+    return out
+
+
+def _once(x, k, start, wide, tall):
+    """Each number x under the permutation of two digits with keys k."""
+    digits = [x // tall, x % tall]
+    for r in range(_ROUNDS):
+        own, other, radix = (0, 1, wide) if r % 2 == 0 else (1, 0, tall)
+        at, value = (digits[other] + start) % _PRIME, k[:, r, 3]
+        for i in (2, 1, 0):
+            value = (value * at + k[:, r, i]) % _PRIME
+        digits[own] = (digits[own] + value) % radix
+    return digits[0] * tall + digits[1]
+
+
+def placed(rows: DataFrame, permutations: int, seed: int) -> DataFrame:
+    """Add ``pos``, the place of a row's ``number`` in permutation ``b``.
+
+    The row's number within its stratum is written as two digits, and each round adds to one
+    digit a random polynomial of the other (a Feistel network over unequal radices, Black and
+    Rogaway 2002), which permutes all numbers of two digits. A result outside the stratum is
+    mapped again until it is inside. Arithmetic on whole columns in Arrow batches: as Spark
+    expressions the rounds make a method too long for the JVM to compile.
+    """
+
+    @F.pandas_udf("bigint")
+    def place(b: pd.Series, number: pd.Series, start: pd.Series, size: pd.Series, wide: pd.Series, tall: pd.Series) -> pd.Series:
+        b, number, start, size, wide, tall = (c.to_numpy() for c in (b, number, start, size, wide, tall))
+        keys = _keys(permutations, seed)
+        x = _once(number - start, keys[b], start, wide, tall)
+        while len(out := np.flatnonzero(x >= size)):
+            x[out] = _once(x[out], keys[b[out]], start[out], wide[out], tall[out])
+        return pd.Series(x + start)
+
+    # never NULL, so that a join by it filters nothing and the function runs once
+    at = F.coalesce(place("b", "number", "start", "size", "wide", "tall"), F.lit(-1).cast("bigint"))
+    return rows.withColumn("pos", at)
 
 
 def _sum_names(q: int, m: int, with_predictors: bool) -> list[str]:
@@ -112,34 +152,35 @@ def permuted_sums(
     """One row per permutation ``b`` with its cross products ``s_j_m`` (and ``t_j_l``).
 
     ``key`` must identify a row, else it is an error. With ``strata`` rows swap within
-    equal values of that column (NULL is one of them).
+    equal values of that column (NULL is one of them). Each Python worker holds
+    24 numbers for each permutation.
     """
     q, m = len(fit.terms), len(fit.responses)
     z, y = [f"z{j}" for j in range(q)], [f"y{i}" for i in range(m)]
     keyed = df.withColumn("rid", row_key(key))
-    own = ["rid"]
-    if strata is not None:
-        keyed = keyed.withColumn("stratum", row_key([strata]))
-        own.append("stratum")
-    rows = fit.whitened(keyed, own)
+    keyed = keyed.withColumn("stratum", F.lit("") if strata is None else row_key([strata]))
+    rows = numbered(fit.whitened(keyed, ["stratum", "rid"]), ["stratum", "rid"])
     if rows.select("rid").distinct().count() != fit.n:
         raise ValueError(f"{list(key)} does not identify a row")
-
-    def placed(some: DataFrame) -> DataFrame:
-        return _placed(some, fit.n, seed) if strata is None else _placed_within(some, seed)
+    if strata is None:
+        sized = df.sparkSession.range(1).select(F.lit(0).cast("bigint").alias("start"), F.lit(fit.n).cast("bigint").alias("size"))
+        one = _with_radices(sized).first().asDict()
+        rows = rows.withColumns({c: F.lit(v).cast("bigint") for c, v in one.items()})
+    else:
+        sized = rows.groupBy("stratum").agg(F.min("number").alias("start"), F.count(F.lit(1)).alias("size"))
+        rows = left_join(rows, stored(_with_radices(sized), "strata"), ["stratum"])
 
     moved = y + (z if with_predictors else [])
-    at = ["pos", *own[1:]]
-    stay = stored(placed(rows.select(F.lit(0).alias("b"), *own, *z)).select(*at, *z), "stay")
-    numbers = F.explode(F.sequence(F.lit(1), F.lit(permutations)))
+    stay = rows.select(F.col("number").alias("pos"), *z)
     renamed = [F.col(c).alias(f"p_{c}") for c in moved]
-    spread = _spread(rows.select(*own, *renamed), "rid")
-    swap = placed(spread.select(numbers.alias("b"), *spread.columns))
+    spread = _spread(rows.select("number", "start", "size", "wide", "tall", *renamed), "number")
+    numbers = F.explode(F.sequence(F.lit(1), F.lit(permutations)))
+    swap = placed(spread.select(numbers.alias("b"), *spread.columns), permutations, seed)
     products = [F.col(a) * F.col(f"p_{c}") for a in z for c in y]
     if with_predictors:
         products += [F.col(a) * F.col(f"p_{c}") for a in z for c in z]
     sums = [F.sum(p).alias(name) for p, name in zip(products, _sum_names(q, m, with_predictors))]
-    return stored(swap.drop("rid").join(stay, at).groupBy("b").agg(*sums), "sums")
+    return stored(swap.select("b", "pos", *[f"p_{c}" for c in moved]).join(stay, "pos").groupBy("b").agg(*sums), "sums")
 
 
 def _normal(seed: int, j: int, i: int) -> Column:
