@@ -434,7 +434,8 @@ _FILLED_SUBALPINE = ("srl", "rd", "rnc", "rtd", "below_productivity", "qpcr_root
 _FILLED_ALPINE = ("rate_green_teabag", "tot_decomp", "tot_qpcr", "qpcr_root")
 
 
-def _derived_sql(scaled):
+def derived_ctes(scaled):
+    """``dv``: the derived variables of the plots ``pt``, not rounded."""
     names = list(_DERIVED)
     raw, z, filled = [], [], []
     for i, name in enumerate(names):
@@ -449,13 +450,17 @@ def _derived_sql(scaled):
             f"WHEN combi_fac = '{g}' THEN coalesce({name}, avg({name}) OVER (PARTITION BY combi_fac))"
             for g in groups
         )
-        value = f"CASE {cases} ELSE {name} END" if cases else name
-        filled.append(f"round({value}, 6) AS {name}")
+        filled.append(f"CASE {cases} ELSE {name} END AS {name}" if cases else name)
+    return f"""raw AS (SELECT combi_fac, rep, {', '.join(raw)} FROM pt),
+    z_raw AS (SELECT combi_fac, rep, {', '.join(z)} FROM raw),
+    dv AS (SELECT combi_fac, rep, {', '.join(filled)} FROM z_raw)"""
+
+
+def _derived_sql(scaled):
     return f"""
     WITH {_PLOTS},
-    raw AS (SELECT combi_fac, rep, {', '.join(raw)} FROM pt),
-    z AS (SELECT combi_fac, rep, {', '.join(z)} FROM raw)
-    SELECT combi_fac, rep, {', '.join(filled)} FROM z"""
+    {derived_ctes(scaled)}
+    SELECT combi_fac, rep, {', '.join(f'round({name}, 6) AS {name}' for name in _DERIVED)} FROM dv"""
 
 
 @query("derived_scaled", _derived_sql(True))
@@ -606,14 +611,3 @@ def response_contributions(spark, folder):
            round_even(rda2 * rda2 / sum(rda2 * rda2) OVER () * 100, 2) AS rda2 FROM bi""")
 def term_contributions(spark, folder):
     return _line_tables(spark, folder).term_contributions
-
-
-@query("function_partition")
-def function_partition(spark, folder):
-    """Functions on traits, climate change and interactions: 15 terms over the plot table."""
-    derived = plots.analysis_groups(plots.derive(_plot_table(spark, folder)))
-    fit, rows = partition.function_model(scratch.stored(derived, "derived"))
-    sums = permute.permuted_sums(fit, rows, ["combi_fac", "rep"], models._TERM_DRAWS, models._SEED)
-    return partition.variance_partition(
-        permute.terms_test(fit, sums), v.FUNCTION_TERM_LABELS, v.FUNCTION_TERM_LEVELS
-    )

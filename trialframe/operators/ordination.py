@@ -186,8 +186,9 @@ class Redundancy:
     """A fitted redundancy analysis: responses explained by predictors."""
 
     moments: Moments  # kept predictors first, then responses
-    terms: tuple[str, ...]
-    aliased: tuple[str, ...]
+    terms: tuple[str, ...]  # columns of the kept predictors
+    aliased: tuple[str, ...]  # columns left out
+    blocks: tuple[tuple[str, tuple[int, ...]], ...]  # each term, with the places of its kept columns
     responses: tuple[str, ...]
     whiten: np.ndarray  # z = (x - mean) . whiten has identity cross products
     z_y: np.ndarray  # cross products of z with the responses
@@ -220,6 +221,14 @@ class Redundancy:
         signs = _positive_columns(v)
         return s[:rank] ** 2, v * signs, u[:, :rank] * signs
 
+    def terms_table(self) -> DataFrame:
+        """Rows ``ord, term, df, aliased, n``: rank of each term given the earlier ones, complete rows.
+
+        A term is aliased where no column of it is left, that is where earlier terms determine it.
+        """
+        rows = [(i, name, len(own), not own, self.n) for i, (name, own) in enumerate(self.blocks, 1)]
+        return _table(self.spark, rows, "ord int, term string, df long, aliased boolean, n long")
+
     def axes_table(self) -> DataFrame:
         """Rows ``axis, eigenvalue, share_total, share_constrained``."""
         ss = self.axes[0]
@@ -287,21 +296,27 @@ class Redundancy:
 
 
 def _cholesky_with_aliasing(gram: np.ndarray, tolerance: float = 1e-9):
-    """Positions of independent columns, in order, and R with R'R their Gram matrix."""
+    """Positions of independent columns, in order, and R with R'R their Gram matrix.
+
+    Columns are scaled to length one before, so the tolerance is a share of a column's own
+    variance that earlier ones leave over. A column that fails is passed over, and the later
+    ones are reduced by the kept ones only.
+    """
+    size = np.sqrt(np.clip(np.diag(gram), 0, None))
+    varies = size > 0
+    unit = np.where(varies, size, 1.0)
+    left = gram / np.outer(unit, unit)
     kept: list[int] = []
-    r = np.zeros((0, 0))
+    rows: list[np.ndarray] = []
     for j in range(len(gram)):
-        part = np.linalg.solve(r.T, gram[kept, j]) if kept else np.zeros(0)
-        pivot = gram[j, j] - part @ part
-        if gram[j, j] <= 0 or pivot <= tolerance * gram[j, j]:
+        if not varies[j] or left[j, j] <= tolerance:
             continue
-        size = len(kept)
-        grown = np.zeros((size + 1, size + 1))
-        grown[:size, :size] = r
-        grown[:size, size] = part
-        grown[size, size] = np.sqrt(pivot)
-        kept, r = [*kept, j], grown
-    return kept, r
+        row = left[j] / np.sqrt(left[j, j])
+        row[:j] = 0.0
+        left = left - np.outer(row, row)
+        kept.append(j)
+        rows.append(row * unit)
+    return kept, np.array([row[kept] for row in rows]).reshape(len(kept), len(kept))
 
 
 def with_interactions(df: DataFrame, terms: Sequence[str]) -> DataFrame:
@@ -314,14 +329,31 @@ def with_interactions(df: DataFrame, terms: Sequence[str]) -> DataFrame:
     return df.withColumns(products)
 
 
-def redundancy(df: DataFrame, responses: Sequence[str], terms: Sequence[str]) -> Redundancy:
+def with_levels(df: DataFrame, factor: str, levels: Sequence[str]) -> tuple[DataFrame, tuple[str, list[str]]]:
+    """Indicator columns of all levels but the first, and the term made of them.
+
+    NULL stays NULL in each; a value that is no level is like the first.
+    """
+    names = {f"{factor}[{level}]": level for level in levels[1:]}
+    marks = {name: (F.col(factor) == F.lit(level)).cast("double") for name, level in names.items()}
+    return df.withColumns(marks), (factor, list(names))
+
+
+def redundancy(
+    df: DataFrame, responses: Sequence[str], terms: Sequence[str | tuple[str, Sequence[str]]]
+) -> Redundancy:
     """Redundancy analysis of the responses on the terms, in the order given.
 
-    ``df`` holds a column per term (see ``with_interactions``). A term that is a
+    A term is a column (see ``with_interactions``), or a name with its columns (see
+    ``with_levels``), which enter and are tested together. A column that is a
     combination of earlier ones is left out and listed in ``aliased``.
     """
-    m = moments(df, [*terms, *responses])
-    q = len(terms)
+    named = [(t, [t]) if isinstance(t, str) else (t[0], list(t[1])) for t in terms]
+    columns = [c for _, own in named for c in own]
+    if len(set(columns)) < len(columns):
+        raise ValueError("a column stands in two terms")
+    m = moments(df, [*columns, *responses])
+    q = len(columns)
     kept, r = _cholesky_with_aliasing(m.cross[:q, :q])
     if not kept:
         raise ValueError("no predictor varies")
@@ -330,10 +362,12 @@ def redundancy(df: DataFrame, responses: Sequence[str], terms: Sequence[str]) ->
                   m.cross[np.ix_(order, order)])
     whiten = np.linalg.inv(r)
     k = len(kept)
+    place = {columns[i]: at for at, i in enumerate(kept)}
     return Redundancy(
         moments=sub,
         terms=sub.columns[:k],
-        aliased=tuple(t for i, t in enumerate(terms) if i not in kept),
+        aliased=tuple(c for c in columns if c not in place),
+        blocks=tuple((name, tuple(place[c] for c in own if c in place)) for name, own in named),
         responses=tuple(responses),
         whiten=whiten,
         z_y=whiten.T @ sub.cross[:k, k:],

@@ -234,30 +234,30 @@ def _p_value(hits: Column) -> Column:
 
 
 def _result(df: DataFrame, fit: Redundancy, tested: list[tuple]) -> DataFrame:
-    """Turn one row of p-values into a row per term, the residual last."""
+    """Turn one row of p-values into a row per term, the residual last.
+
+    A term of no rank has NULL in all but its df, which is 0.
+    """
     inertia = fit.n - 1
-    cells = [
-        F.struct(
-            F.lit(i + 1).alias("ord"), F.lit(term).alias("term"),
-            F.lit(df_term).cast("long").alias("df"),
-            F.lit(float(ss / inertia)).alias("variance"),
-            F.lit(float(f)).alias("statistic"), p.alias("p_value"),
-        )
-        for i, (term, df_term, ss, f, p) in enumerate(tested)
-    ]
     none = F.lit(None).cast("double")
-    cells.append(
-        F.struct(
-            F.lit(len(tested) + 1).alias("ord"), F.lit("Residual").alias("term"),
-            F.lit(fit.df_residual).cast("long").alias("df"),
-            F.lit(fit.residual_ss / inertia).alias("variance"),
-            none.alias("statistic"), none.alias("p_value"),
+
+    def cell(place, term, df_term, ss, f, p):
+        def number(v):
+            return none if v is None else F.lit(float(v))
+
+        return F.struct(
+            F.lit(place).alias("ord"), F.lit(term).alias("term"), F.lit(df_term).cast("long").alias("df"),
+            number(None if ss is None else ss / inertia).alias("variance"), number(f).alias("statistic"),
+            (none if p is None else p).alias("p_value"),
         )
-    )
+
+    cells = [cell(i, *t) for i, t in enumerate(tested, 1)]
+    cells.append(cell(len(tested) + 1, "Residual", fit.df_residual, fit.residual_ss, None, None))
     return df.select(F.inline(F.array(*cells)))
 
 
 def _term_ss(fit: Redundancy) -> list[Column]:
+    """Sum of squares of each kept predictor column."""
     return [
         sum((F.col(f"s_{j}_{i}") ** 2 for i in range(len(fit.responses))), F.lit(0.0))
         for j in range(len(fit.terms))
@@ -276,22 +276,27 @@ def overall_test(fit: Redundancy, sums: DataFrame) -> DataFrame:
 
 
 def terms_test(fit: Redundancy, sums: DataFrame) -> DataFrame:
-    """Sequential test of each term, with its share ``prop`` of the total variance."""
+    """Sequential test of each term, with its share ``prop`` of the total variance.
+
+    A term of several columns is tested as one, with its rank as df. A term that earlier ones
+    determine has df 0 and NULL for the rest.
+    """
     left = fit.df_residual
     each = _term_ss(fit)
     error = (F.lit(fit.total_ss) - sum(each, F.lit(0.0))) / left
-    observed = fit.term_ss / (fit.residual_ss / left)
-    p = sums.agg(
-        *[
-            _p_value(F.count_if(ss / error >= float(f) * _TIE)).alias(f"p{j}")
-            for j, (ss, f) in enumerate(zip(each, observed))
-        ]
-    )
-    rows = [
-        (term, 1, fit.term_ss[j], observed[j], F.col(f"p{j}")) for j, term in enumerate(fit.terms)
-    ]
+    mean_square = fit.residual_ss / left
+    hits, rows = [], []
+    for j, (term, own) in enumerate(fit.blocks):
+        if not own:
+            rows.append((term, 0, None, None, None))
+            continue
+        ss = float(fit.term_ss[list(own)].sum())
+        f = ss / len(own) / mean_square
+        permuted = sum((each[k] for k in own), F.lit(0.0)) / len(own) / error
+        hits.append(_p_value(F.count_if(permuted >= f * _TIE)).alias(f"p{j}"))
+        rows.append((term, len(own), ss, f, F.col(f"p{j}")))
     total = fit.total_ss / (fit.n - 1)
-    return _result(p, fit, rows).withColumn("prop", F.col("variance") / F.lit(total))
+    return _result(sums.agg(*hits), fit, rows).withColumn("prop", F.col("variance") / F.lit(total))
 
 
 def axes_test(fit: Redundancy, sums: DataFrame) -> DataFrame:
