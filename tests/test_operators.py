@@ -180,20 +180,38 @@ def test_quoted_blanks_are_missing(spark, tmp_path):
     assert [r.a for r in got] == [None, "x", None]
 
 
-def test_few_rows_reach_the_last_step_of_a_median(spark, monkeypatch):
-    """One group holds all rows, all distinct: ranges leave a small part of the bracket."""
-    from trialframe.operators import medians
-
-    seen = {}
-    real = medians._ranked
-
-    def watched(kept, by):
-        out = real(kept, by)
-        seen["bracket"], seen["last"] = kept.count(), out.count()
+def test_few_counters_are_gathered_for_a_median(spark, monkeypatch):
+    """One group holds all rows, all distinct: a round gathers few counters, and no window ranks rows."""
+    seen = []
+    real = medians._counters
+
+    def watched(*given):
+        out = real(*given)
+        seen.append(out.select(F.max(F.size("__counters"))).first()[0])
+        assert "Window" not in out._jdf.queryExecution().executedPlan().toString()
         return out
 
-    monkeypatch.setattr(medians, "_ranked", watched)
+    monkeypatch.setattr(medians, "_counters", watched)
     n = 400_001
     df = spark.range(n).select(F.lit("g").alias("g"), ((F.col("id") * 7919) % n).cast("double").alias("x"))
     assert medians.group_median(df, ["g"], ["x"]).first()["x"] == (n - 1) / 2
-    assert seen["bracket"] <= n * 0.01 and seen["last"] <= seen["bracket"] / 50 + 4
+    assert len(seen) == 2 and max(seen) < n / 8
+    # values that agree in all but their last bits take every round
+    close = spark.range(9).select(F.lit(1).alias("g"), (F.lit(1.0) + F.col("id") * 2.0**-52).alias("x"))
+    assert medians.group_median(close, ["g"], ["x"]).first()["x"] == 1 + 4 * 2.0**-52
+    assert len(seen) == 6
+
+
+def test_ordered_bits_are_the_doubles_own(spark):
+    rng = np.random.default_rng(0)
+    x = rng.integers(0, 2**64, 20_000, dtype=np.uint64).view(np.float64)
+    edge = [0.0, -0.0, 1.0, -1.0, np.inf, -np.inf, 5e-324, -5e-324, 2.0**-1022, np.nextafter(2.0**-1022, 0), 2.0**1023,
+            np.finfo(float).max, np.nextafter(1, 2), np.nextafter(1, 0), np.nextafter(8, 0), 0.1, 3.0]
+    x = np.concatenate([x[~np.isnan(x)], edge])
+    df = spark.createDataFrame([(float(v),) for v in x], "x double").select("x", medians.ordered_bits(F.col("x")).alias("k"))
+    got = df.select("x", "k", medians.from_ordered_bits(F.col("k")).alias("back")).toPandas()
+    bits = x.view(np.int64)
+    want = np.where(bits < 0, -(bits & (2**63 - 1)), bits)
+    assert (got.k.to_numpy() == want).all() and (got.back == got.x).all()
+    odd = spark.createDataFrame([(None,), (float("nan"),)], "x double").select(medians.ordered_bits(F.col("x")).alias("k"))
+    assert [r.k for r in odd.collect()] == [None, 2**63 - 1]

@@ -3,17 +3,48 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..sources.scratch import stored
 from .joins import left_join
 
-# The sketch brackets the middle 0.2% of each group.
-_LOW, _HIGH, _ACCURACY = 0.499, 0.501, 5_000
-# Ranges of distinct values into which a bracket is cut before values are ranked.
-_RANGES = 256
+# Bits of a number that one round settles; a group has at most two times 2 ** _BITS counters.
+_BITS = 16
+_FRACTION = 2.0**52
+_INFINITE, _NAN = 2047 << 52, 2**63 - 1
+
+
+def ordered_bits(x: Column) -> Column:
+    """A whole number of 64 bits for a double, in the same order, one for each value.
+
+    It is the double's own binary form, negative for negative values, put together from
+    exponent and fraction by exact arithmetic. Zeros are equal; NaN comes last.
+    """
+    size = F.abs(x)
+    guess = F.floor(F.log2(size))  # may be one off
+    exponent = (
+        F.when(F.pow(F.lit(2.0), guess) > size, guess - 1)
+        .when(F.pow(F.lit(2.0), guess + 1) <= size, guess + 1).otherwise(guess)
+    )
+    fraction = ((size / F.pow(F.lit(2.0), exponent) - 1) * _FRACTION).cast("bigint")
+    tiny = (size * 2.0**537 * 2.0**537).cast("bigint")
+    bits = (
+        F.when(size == 0, F.lit(0).cast("bigint")).when(size < 2.0**-1022, tiny)
+        .when(size == float("inf"), F.lit(_INFINITE)).otherwise((exponent + 1023) * F.lit(1 << 52) + fraction)
+    )
+    return F.when(F.isnan(x), F.lit(_NAN)).when(x < 0, -bits).when(x.isNotNull(), bits)
+
+
+def from_ordered_bits(bits: Column) -> Column:
+    """The double of ``ordered_bits``."""
+    size = F.abs(bits)
+    exponent, fraction = F.shiftright(size, 52), size.bitwiseAND((1 << 52) - 1).cast("double")
+    value = (
+        F.when(exponent == 0, fraction * 2.0**-537 * 2.0**-537).when(size == _INFINITE, float("inf"))
+        .otherwise((1 + fraction / _FRACTION) * F.pow(F.lit(2.0), exponent - 1023))
+    )
+    return F.when(bits == _NAN, float("nan")).when(bits < 0, -value).otherwise(value)
 
 
 def group_median(
@@ -25,20 +56,14 @@ def group_median(
     Missing values are skipped, or with ``strict`` make the result NULL.
 
     Spark's own ``median`` holds a whole group in one task. With
-    ``small_groups`` it is used, for groups bounded by design. Otherwise:
-
-    1. a mergeable quantile sketch per group gives two cut values near the middle;
-    2. counting values below, between and above the cuts tells which part holds
-       the middle ranks;
-    3. only that part is grouped by value and stored; its distinct values are cut into
-       ranges of about equal number, and counts tell which ranges hold the middle;
-    4. a running count over the values of those ranges picks it.
-
-    The cuts only decide how little data reaches step 4: the ranks are counted,
-    so the result is exact however good the sketches were. The per-group tables are
-    stored, so the rows are joined to tables of known size: broadcast when small,
-    which leaves the rows where they are. The input is read three times; set
-    ``store_input`` where it takes work to compute.
+    ``small_groups`` it is used, for groups bounded by design. Otherwise the middle values
+    are found by their bits, a few at a time (``ordered_bits``): a round counts the rows of each group
+    by the next bits, with counters combined on the map side, and keeps the counters that
+    the middle ranks fall into; the next round counts only rows that agree with these so
+    far. It ends when each such counter holds one value only, after four rounds at
+    most, for most data after two. Counters, not rows, are gathered for a group.
+
+    Each round reads the input; set ``store_input`` where it takes work to compute.
     """
     by, columns = list(by), list(columns)
     if small_groups:
@@ -52,99 +77,61 @@ def group_median(
     values = df.select(*by, *[F.col(c).cast("double").alias(x) for c, x in zip(columns, xs)])
     if store_input:
         values = stored(values, "values")
-    cuts = stored(
-        values.groupBy(*by).agg(
-            *[F.percentile_approx(x, [_LOW, _HIGH], _ACCURACY).alias(f"{x}_cuts") for x in xs]
-        ),
-        "cuts",
-    )
-
-    def part(x):
-        low, high = F.col(f"{x}_cuts")[0], F.col(f"{x}_cuts")[1]
-        return F.when(F.col(x) < low, 0).when(F.col(x) <= high, 1).when(F.col(x) > high, 2)
-
-    placed = left_join(values, cuts, by).select(
-        *by, *xs, *[part(x).alias(f"{x}_part") for x in xs]
-    )
-    counts = stored(
-        placed.groupBy(*by).agg(
-            F.count(F.lit(1)).alias("__rows"),
-            *[F.count(x).alias(f"{x}_n") for x in xs],
-            *[F.count_if(F.col(f"{x}_part") == 0).alias(f"{x}_below") for x in xs],
-            *[F.count_if(F.col(f"{x}_part") <= 1).alias(f"{x}_upto") for x in xs],
-        ),
-        "counts",
-    )
-
-    def target(x):
-        n, below, upto = (F.col(f"{x}_{name}") for name in ("n", "below", "upto"))
-        first, second = F.floor((n + 1) / 2), F.floor((n + 2) / 2)
-
-        def part_of(rank):
-            return F.when(rank <= below, 0).when(rank <= upto, 1).otherwise(2)
-
-        before = F.when(first <= below, F.lit(0)).when(first <= upto, below).otherwise(upto)
-        wanted = F.lit(not strict) | (n == F.col("__rows"))
-        return F.when(
-            wanted,
-            F.struct(
-                first.alias("first"), second.alias("second"), part_of(first).alias("low"),
-                part_of(second).alias("high"), before.alias("before"),
-            ),
-        ).alias(f"{x}_target")
-
-    # one struct per column; NULL where the row is outside the part that holds the middle
-    found = left_join(placed, counts.select(*by, *[target(x) for x in xs]), by).select(
-        *by,
-        *[
-            F.when(
-                F.col(f"{x}_part").between(F.col(f"{x}_target.low"), F.col(f"{x}_target.high")),
-                F.struct(F.lit(i).alias("__var"), F.col(x).alias("__x"),
-                         F.col(f"{x}_target").alias("__target")),
-            ).alias(x)
-            for i, x in enumerate(xs)
-        ],
-    )
-    kept = (
-        found.filter(reduce(lambda a, b: a | b, [F.col(x).isNotNull() for x in xs]))
-        .select(*by, F.explode(F.array(*xs)).alias("__at"))
-        .filter(F.col("__at").isNotNull())
-        .groupBy(*by, "__at.__var", "__at.__x")
-        .agg(F.count(F.lit(1)).alias("__same"), F.first("__at.__target").alias("__target"))
-    )
-    ranked = _ranked(stored(kept, "middle"), [*by, "__var"])
-
-    def at(i, rank):
-        rank = F.col(f"__target.{rank}")
-        here = (F.col("__last") - F.col("__same") < rank) & (rank <= F.col("__last"))
-        return F.max(F.when((F.col("__var") == i) & here, F.col("__x")))
-
-    medians = ranked.groupBy(*by).agg(
-        *[((at(i, "first") + at(i, "second")) / 2).alias(c) for i, c in enumerate(columns)]
-    )
-    # start from all groups, so one without any value still has its row
-    return left_join(counts.select(*by), medians, by)
-
-
-def _ranked(kept: DataFrame, by: list[str]) -> DataFrame:
-    """Add ``__last``, the rank of a value's last row, to the values near the wanted ranks.
-
-    ``kept`` has a row per group and distinct value, with its number of rows ``__same``.
-    """
-    grid = [i / _RANGES for i in range(1, _RANGES)]
-    edges = kept.groupBy(*by).agg(F.percentile_approx("__x", grid, 20 * _RANGES).alias("__edges"))
-    placed = left_join(kept, stored(edges, "edges"), by).withColumn(
-        "__range", F.size(F.filter("__edges", lambda e: e < F.col("__x")))
-    ).drop("__edges")
-    up_to = Window.partitionBy(*by).orderBy("__range").rowsBetween(Window.unboundedPreceding, 0)
-    ranges = (
-        placed.groupBy(*by, "__range")
-        .agg(F.sum("__same").alias("__rows"), F.first("__target").alias("__target"))
-        .withColumn("__upto", F.col("__target.before") + F.sum("__rows").over(up_to))
-        .withColumn("__base", F.col("__upto") - F.col("__rows"))
-        .filter((F.col("__base") < F.col("__target.second")) & (F.col("__target.first") <= F.col("__upto")))
-    )
-    ranges = stored(ranges.select(*by, "__range", "__base"), "ranges")
-    near = left_join(placed, ranges, [*by, "__range"]).filter(F.col("__base").isNotNull())
-    in_order = Window.partitionBy(*by, "__range").orderBy("__x").rowsBetween(Window.unboundedPreceding, 0)
-    return near.withColumn("__last", F.col("__base") + F.sum("__same").over(in_order))
+    cells = [F.struct(F.lit(i).alias("var"), ordered_bits(F.col(x)).alias("key")) for i, x in enumerate(xs)]
+    rows = values.select(*by, F.explode(F.array(*cells)).alias("__at")).select(
+        *by, F.col("__at.var").alias("__var"), F.col("__at.key").alias("__key"))
+    own = [*by, "__var"]
+    shift = 64 - _BITS
+    lists = _counters(rows, own, shift)
+    n = F.aggregate(F.filter("__counters", lambda c: c["bucket"].isNotNull()), F.lit(0).cast("bigint"), lambda a, c: a + c["n"])
+    gaps = F.exists("__counters", lambda c: c["bucket"].isNull())
+    ranked = lists.withColumns({"__n": n, "__gaps": gaps}).withColumns(
+        {"__first": F.expr("(__n + 1) div 2"), "__second": F.expr("(__n + 2) div 2")})
+    found = stored(
+        ranked.select(*own, "__gaps", *[_holder(f"__{r}", F.col("__counters"), f"__{r}") for r in ("first", "second")]), "middle")
+    while shift > 0 and not found.where(_open("__first") | _open("__second")).isEmpty():
+        wanted = found.where(_open("__first") | _open("__second")).select(
+            *own, F.array("__first.bucket", "__second.bucket").alias("__buckets"))
+        near = left_join(rows, wanted, own).where(F.array_contains("__buckets", F.shiftright("__key", shift)))
+        shift -= _BITS
+        lists = _counters(near.select(*own, "__key"), own, shift)
+        held = left_join(found, lists, own)
+        found = stored(held.select(*own, "__gaps", *[_narrowed(r) for r in ("__first", "__second")]), "middle")
+    middle = (from_ordered_bits(F.col("__first.low")) + from_ordered_bits(F.col("__second.low"))) / 2
+    result = F.when(~F.col("__gaps"), middle) if strict else middle
+    return found.groupBy(*by).agg(*[F.max(F.when(F.col("__var") == i, result)).alias(c) for i, c in enumerate(columns)])
+
+
+def _counters(rows: DataFrame, own: list[str], shift: int) -> DataFrame:
+    """For each group and variable the sorted counters by the key's leading bits; NULLs count apart."""
+    counted = rows.groupBy(*own, F.shiftright("__key", shift).alias("__bucket")).agg(
+        F.count(F.lit(1)).alias("__n"), F.min("__key").alias("__low"), F.max("__key").alias("__high"))
+    one = F.struct(F.col("__bucket").alias("bucket"), F.col("__n").alias("n"), F.col("__low").alias("low"), F.col("__high").alias("high"))
+    return counted.groupBy(*own).agg(F.sort_array(F.collect_list(one)).alias("__counters"))
+
+
+def _holder(name: str, counters: Column, rank: str) -> Column:
+    """The counter that holds a rank, and the rank within it; NULL where there is no such rank."""
+    start = F.struct(F.col(rank).alias("left"), F.lit(None).cast("bigint").alias("bucket"),
+                     F.lit(None).cast("bigint").alias("low"), F.lit(None).cast("bigint").alias("high"))
+
+    def step(a, c):
+        here = a["bucket"].isNull() & (a["left"] <= c["n"])
+        passed = a["bucket"].isNull() & (a["left"] > c["n"])
+        return F.struct(
+            F.when(passed, a["left"] - c["n"]).otherwise(a["left"]).alias("left"),
+            *[F.when(here, c[f]).otherwise(a[f]).alias(f) for f in ("bucket", "low", "high")])
+
+    known = F.filter(counters, lambda c: c["bucket"].isNotNull())
+    return F.aggregate(known, start, step).alias(name)
+
+
+def _open(name: str) -> Column:
+    return F.coalesce(F.col(f"{name}.low") != F.col(f"{name}.high"), F.lit(False))
+
+
+def _narrowed(name: str) -> Column:
+    """The holder among the finer counters within the old one; a settled one stays."""
+    old = F.col(f"{name}.bucket")
+    inner = F.filter("__counters", lambda c: F.shiftright(c["bucket"], _BITS) == old)
+    return F.when(F.col("__counters").isNull(), F.col(name)).otherwise(_holder(name, inner, f"{name}.left")).alias(name)
