@@ -1,6 +1,8 @@
 """Edge rows of the column functions."""
 
 import math
+import random
+import statistics
 from datetime import date
 
 import numpy as np
@@ -102,9 +104,23 @@ def test_outlier_rule_three_valued(spark):
     assert {tuple(r) for r in kept} == {("s", 10.0), ("t", None), (None, 10.0)}
 
 
-def test_deletion_variants(spark):
-    got = one(spark, "s string", [("abc",), ("",)], edits.deletion_variants(F.col("s"), 1))
-    assert set(got[0][0]) == {"abc", "bc", "ac", "ab"} and got[1][0] == [""]
+@pytest.mark.parametrize("most", [1, 2])
+def test_texts_within_the_edits_share_a_key(spark, most):
+    rng = random.Random(most)
+    pairs = []
+    for _ in range(300):
+        name = "".join(rng.choices("abc", k=rng.randint(1, 12)))
+        text = list(name)
+        for _ in range(rng.randint(0, most)):
+            kind, at = rng.choice("ids"), rng.randint(0, len(text))
+            text[at : at + (kind != "i")] = [] if kind == "d" else [rng.choice("abcd")]
+        pairs.append(("".join(text), name))
+    df = spark.createDataFrame(pairs, "text string, name string")
+    shared = F.arrays_overlap(edits.probe_keys(F.col("text"), most), edits.segment_keys(F.col("name"), most))
+    got = df.select(shared.alias("shared"), F.levenshtein("text", "name").alias("d")).collect()
+    assert all(r.shared for r in got if r.d <= most) and any(r.d for r in got)
+    size = df.select(F.max(F.size(edits.probe_keys(F.repeat("text", 1000), most)))).first()[0]
+    assert size <= (2 * most + 1) ** 2 * (most + 1)
 
 
 def test_clean_names():
@@ -135,6 +151,36 @@ def test_joint_t_of_three_against_monte_carlo():
     assert tails.SimultaneousT(corr, 12).upper(2.2) == pytest.approx((t > 2.2).mean(), abs=3e-3)
 
 
+# Known values: for equal correlations, a double integral over the common part and the scale.
+@pytest.mark.parametrize("k, rho, df, c", [(3, 0.5, 12, 2.2), (4, 0.5, 20, 2.5), (5, 0.3, 8, 3.0), (6, 0.5, 60, 2.4), (3, 0.0, 200, 2.4)])
+def test_joint_t_against_quadrature(k, rho, df, c):
+    z, w = np.polynomial.hermite_e.hermegauss(70)
+    w = w / w.sum()
+    # scale s with df s^2 chi-square, over a fine grid
+    s = np.linspace(1e-4, 3, 1201)
+    density = np.exp(np.log(2) + df / 2 * np.log(df / 2) - math.lgamma(df / 2) + (df - 1) * np.log(s) - df * s * s / 2)
+    phi = np.vectorize(statistics.NormalDist().cdf)
+    inside = np.zeros_like(s)
+    for x, weight in zip(z, w):
+        if weight > 1e-14:
+            at = math.sqrt(rho) * x
+            both = phi((c * s - at) / math.sqrt(1 - rho)) - phi((-c * s - at) / math.sqrt(1 - rho))
+            inside += weight * both**k
+    want = 1 - np.trapezoid(inside * density, s)
+    corr = np.full((k, k), rho) + (1 - rho) * np.eye(k)
+    found = tails.SimultaneousT(corr, df, precision=2e-5)
+    assert found.upper(c) == pytest.approx(want, abs=2e-5) and found.error <= 2e-5
+    assert tails.SimultaneousT(corr, df).critical(1 - want) == pytest.approx(c, abs=3e-3)
+
+
+def test_joint_t_of_dependent_contrasts_and_unmet_precision():
+    corr = np.array([[1, -0.5, 0.5], [-0.5, 1, 0.5], [0.5, 0.5, 1.0]])  # the third is the sum of two
+    assert tails.SimultaneousT(corr, 27).rank == 2
+    four = np.full((4, 4), 0.2) + 0.8 * np.eye(4)
+    with pytest.raises(ArithmeticError, match="known to"):
+        tails.SimultaneousT(four, 9, precision=1e-9, most=4096).upper(2.0)
+
+
 def test_single_tails():
     assert tails.t_two_sided(2.228138852, 10) == pytest.approx(0.05, abs=1e-9)
     assert tails.f_upper(4.0, 2, 10) == pytest.approx((1 + 8 / 10) ** -5, rel=1e-12)

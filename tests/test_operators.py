@@ -160,6 +160,32 @@ def test_snapshot_is_partitioned_by_run_date(spark, tmp_path):
         (1, None, date(2021, 7, 1)), (2, 3.0, date(2021, 7, 1))}
 
 
+def test_a_failed_write_leaves_the_last_snapshot(spark, tmp_path):
+    base = str(tmp_path)
+
+    def current():
+        return rows(readers.read_snapshot(spark, base).select("id", F.col("run_date").cast("string")))
+
+    first = spark.createDataFrame([(1,), (2,)], "id int")
+    writers.write_snapshot(first, base, "2021-07-01")
+    broken = spark.range(0, 100, 1, 4).select(
+        F.when(F.col("id") < 90, F.col("id").cast("int")).otherwise(F.raise_error(F.lit("lost"))).alias("id"))
+    with pytest.raises(Exception, match="lost"):
+        writers.write_snapshot(broken, base, "2021-07-01")
+    assert current() == {(1, "2021-07-01"), (2, "2021-07-01")}
+    with pytest.raises(Exception, match="lost"):
+        writers.write_snapshot(broken, base, "2021-07-02")  # no whole version: the date does not exist
+    assert current() == {(1, "2021-07-01"), (2, "2021-07-01")}
+    reading = readers.read_snapshot(spark, base)
+    writers.write_snapshot(spark.createDataFrame([(3,)], "id int"), base, "2021-07-01")
+    assert rows(reading.select("id")) == {(1,), (2,)}  # a reader that started earlier
+    writers.write_snapshot(spark.createDataFrame([(4,)], "id int"), base, "2021-07-02")
+    assert current() == {(3, "2021-07-01"), (4, "2021-07-02")}
+    writers.write_snapshot(spark.createDataFrame([(5,)], "id int"), base, "2021-07-01")
+    versions = [n for n in readers.children(spark, f"{base}/run_date=2021-07-01") if n.startswith("version=")]
+    assert len(versions) == 2 and current() == {(5, "2021-07-01"), (4, "2021-07-02")}
+
+
 def test_scratch_paths_never_repeat(spark):
     assert scratch.fresh_path(spark, "a") != scratch.fresh_path(spark, "a")
 

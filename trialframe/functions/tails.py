@@ -84,12 +84,12 @@ def _solve_decreasing(tail, target: float, start: float) -> float:
     low, high = 0.0, start
     while tail(high) > target:
         low, high = high, high * 2
-    for _ in range(200):
+    for _ in range(2000):  # more than the halvings from any number to the next one
         mid = (low + high) / 2
         if mid in (low, high):
-            break
+            return mid
         low, high = (mid, high) if tail(mid) > target else (low, mid)
-    return (low + high) / 2
+    raise ArithmeticError(f"no number has the tail {target}")
 
 
 def t_critical(df: float, level: float = 0.95) -> float:
@@ -98,46 +98,122 @@ def t_critical(df: float, level: float = 0.95) -> float:
     return _solve_decreasing(lambda c: t_two_sided(c, df), 1 - level, start)
 
 
-def _directions(rank: int, seed: int, points: int = 40_000) -> np.ndarray:
-    """Directions on the unit sphere: an even ring in the plane, else a seeded sample."""
-    if rank == 1:
-        return np.ones((1, 1))
-    if rank == 2:
-        # |T| is symmetric, so half a turn covers every case
-        angle = (np.arange(points) + 0.5) * math.pi / points
-        return np.column_stack([np.cos(angle), np.sin(angle)])
-    half = np.random.default_rng(seed).standard_normal((points, rank))
-    return half / np.linalg.norm(half, axis=1, keepdims=True)
+_PRIMES = [2, 3, 5, 7, 11, 13, 17, 19, 23, 29, 31, 37, 41, 43, 47, 53, 59, 61, 67, 71]
+# The normal distribution function on a grid; between its points a straight line is off by 3e-8 at most.
+_GRID = np.linspace(-9, 9, 18 * 1024 + 1)
+_NORMAL = np.array([0.5 * math.erfc(-x / math.sqrt(2)) for x in _GRID])
+
+
+def _pivoted_root(corr: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    """Rows of L with L L' = corr, each with the place of its last entry, in the order of these.
+
+    Statistics that earlier ones determine share a place with one of them.
+    """
+    left, rows, done = corr.copy(), np.zeros((len(corr), 0)), []
+    while (free := np.clip(np.diag(left), 0, None)).max() > 1e-10:
+        k = int(np.argmax(free))
+        column = left[:, k] / math.sqrt(left[k, k])
+        rows, left = np.column_stack([rows, column]), left - np.outer(column, column)
+        done.append(k)
+    last = [int(np.flatnonzero(np.abs(r) > 1e-7).max()) for r in rows]
+    return sorted(((m, r) for m, r in zip(last, rows)), key=lambda x: x[0])
 
 
 class SimultaneousT:
     """Largest of several correlated |t| statistics.
 
-    Write T = r * L u with u uniform on the sphere; along a direction u the cube
-    |T_i| < c is left at r = c / max|L u|, and r^2 / rank follows F(rank, df).
-    Averaging that tail over u gives the tail of the maximum. In the plane the
-    average is a smooth one-dimensional sum; above, a seeded sample is used.
+    With one or two independent statistics, T = r * L u with u uniform on the circle; along
+    a direction u the square |T_i| < c is left at r = c / max|L u|, and r^2 / rank follows
+    F(rank, df), so a smooth sum over directions is left. With more, variables are
+    separated (Genz and Bretz 2002): given the scale and the earlier ones, each variable is
+    drawn from its normal distribution within the cube, and the share of it there multiplies
+    up. The mean is taken over randomly shifted low-discrepancy sequences, which grow until the
+    spread of their means puts the error under ``precision``; where ``most`` points each do not
+    reach it, it is an error. ``error`` is the bound of the last tail.
     """
 
-    def __init__(self, corr, df: float, seed: int = 0):
-        values, vectors = np.linalg.eigh(np.asarray(corr, dtype=float))
+    _SHIFTS, _ERRORS = 12, 3.5
+
+    def __init__(self, corr, df: float, seed: int = 0, precision: float = 1e-4, most: int = 1 << 18):
+        corr = np.asarray(corr, dtype=float)
+        values, vectors = np.linalg.eigh(corr)
         keep = values > 1e-10 * values.max()
-        root = vectors[:, keep] * np.sqrt(values[keep])
         self.rank, self.df = int(keep.sum()), float(df)
-        reach = np.abs(_directions(self.rank, seed) @ root.T).max(axis=1)
-        self.inverse_square = 1.0 / np.maximum(reach, 1e-300) ** 2
+        self.seed, self.precision, self.most, self.points, self.error = seed, precision, most, 1 << 11, 0.0
+        if self.rank <= 2:
+            # |T| is symmetric, so half a turn of the plane covers every case
+            angle = (np.arange(40_000) + 0.5) * math.pi / 40_000
+            around = np.ones((1, 1)) if self.rank == 1 else np.column_stack([np.cos(angle), np.sin(angle)])
+            reach = np.abs(around @ (vectors[:, keep] * np.sqrt(values[keep])).T).max(axis=1)
+            self.inverse_square = 1.0 / np.maximum(reach, 1e-300) ** 2
+            return
+        if self.rank >= len(_PRIMES):
+            raise ValueError(f"more than {len(_PRIMES) - 1} independent statistics")
+        self.rows = _pivoted_root(corr)
+        # inverse of the distribution of the scale, s^2 being chi-square over its degrees
+        s = np.linspace(0, 1 + 12 / math.sqrt(self.df), 40_001)[1:]
+        density = (self.df - 1) * np.log(s) - self.df * s * s / 2
+        mass = np.cumsum(np.exp(density - density.max()))
+        self.scale = s + (s[1] - s[0]) / 2, mass / mass[-1]  # a cell reaches half a step beyond its point
+
+    def _outside(self, c: float, points: int) -> np.ndarray:
+        """The tail by each shifted sequence."""
+        steps = np.sqrt(np.array(_PRIMES[: self.rank + 1]))
+        shifts = np.random.default_rng(self.seed).uniform(size=(self._SHIFTS, self.rank + 1))
+        out = []
+        for shift in shifts:
+            x = np.abs(2 * ((np.arange(1, points + 1)[:, None] * steps + shift) % 1) - 1)
+            bound = c * np.interp(x[:, self.rank], self.scale[1], self.scale[0])
+            y, inside = np.zeros((points, self.rank)), np.ones(points)
+            for k in range(self.rank):
+                low, high = np.full(points, -np.inf), np.full(points, np.inf)
+                for last, row in self.rows:
+                    if last == k:
+                        middle = y[:, :k] @ row[:k]
+                        ends = (-bound - middle) / row[k], (bound - middle) / row[k]
+                        low, high = np.maximum(low, np.minimum(*ends)), np.minimum(high, np.maximum(*ends))
+                a, b = np.interp(low, _GRID, _NORMAL), np.interp(high, _GRID, _NORMAL)
+                share = np.maximum(b - a, 0)
+                inside *= share
+                y[:, k] = np.interp(a + x[:, k] * share, _NORMAL, _GRID)
+            out.append(1 - inside.mean())
+        return np.array(out)
 
     def upper(self, c: float) -> float:
         """P(max |T_i| > |c|)."""
-        square = c * c * self.inverse_square
+        if c == 0:
+            return 1.0
         if self.rank == 1:
-            return t_two_sided(math.sqrt(square[0]), self.df)
+            return t_two_sided(math.sqrt(c * c * self.inverse_square[0]), self.df)
         if self.rank == 2:
-            return float(np.exp(-self.df / 2 * np.log1p(square / self.df)).mean())
-        # the F tail is smooth in log r^2, so tabulate it once and interpolate
-        grid = np.linspace(math.log(square.min()) - 1e-9, math.log(square.max()) + 1e-9, 400)
-        tail = [f_upper(math.exp(g) / self.rank, self.rank, self.df) for g in grid]
-        return float(np.interp(np.log(square), grid, tail).mean())
+            return float(np.exp(-self.df / 2 * np.log1p(c * c * self.inverse_square / self.df)).mean())
+        while True:
+            means = self._outside(abs(c), self.points)
+            self.error = self._ERRORS * float(means.std(ddof=1)) / math.sqrt(self._SHIFTS)
+            if self.error <= self.precision:
+                return float(means.mean())
+            if self.points * 2 > self.most:
+                raise ArithmeticError(f"the joint tail at {c} is known to {self.error:.1e} only, not {self.precision:.1e}")
+            self.points *= 2
 
     def critical(self, level: float = 0.95) -> float:
-        return _solve_decreasing(self.upper, 1 - level, t_critical(self.df, level))
+        """c with P(max |T_i| > c) = 1 - level."""
+        low, high = 0.0, t_critical(self.df, level)
+        if self.rank <= 2:
+            return _solve_decreasing(self.upper, 1 - level, high)
+        self.upper(high)  # settles the number of points, so that the tail falls steadily in c
+        over, under = level, self.upper(high) - (1 - level)
+        while under > 0:
+            low, high, over = high, high * 2, under
+            under = self.upper(high) - (1 - level)
+        # false position; the end that stays counts half (Illinois)
+        while high - low > 1e-9 * high:
+            mid = low + (high - low) * over / (over - under)
+            now = self.upper(mid) - (1 - level)
+            if abs(now) < self.precision / 1000:
+                return mid
+            if now > 0:
+                low, over, under = mid, now, under / 2
+            else:
+                high, under, over = mid, now, over / 2
+        return (low + high) / 2

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.coding import recode, translate
-from ..functions.edits import deletion_variants
+from ..functions.edits import probe_keys, segment_keys
 from ..functions.missing import in_set, matches, present
 from ..functions.numeric import dry_matter_content, ratio, specific_leaf_area
 from ..functions.rules import not_both
@@ -44,9 +44,9 @@ def closest_names(
     name of the same name, else of the closest one within ``edits`` edits (ties
     to the first in text order), else NULL. Case and outer blanks are ignored.
 
-    Names are compared only where they share a deletion variant, so candidates
-    are near-duplicates and no block of names is ever paired with itself. The
-    distinct texts are stored first: the measurements are scanned once.
+    Texts meet names by a segment they have in common, at nearly the same place and length, and
+    are then compared within the band of ``edits``. Keys and comparison take time in proportion
+    to a text's length. The distinct texts are stored first: the measurements are scanned once.
     """
     def plain(c):
         return F.lower(F.trim(F.col(c)))
@@ -64,13 +64,10 @@ def closest_names(
     open_texts = exact.filter(F.col("__name").isNull()).select("comments", "__text")
 
     near = (
-        open_texts.withColumn("__variant", F.explode(deletion_variants(F.col("__text"), edits)))
-        .join(
-            names.withColumn("__variant", F.explode(deletion_variants(F.col("__name"), edits))),
-            "__variant",
-        )
-        .withColumn("__edits", F.levenshtein("__text", "__name"))
-        .filter(F.col("__edits") <= edits)
+        open_texts.withColumn("__key", F.explode(probe_keys(F.col("__text"), edits)))
+        .join(names.withColumn("__key", F.explode(segment_keys(F.col("__name"), edits))), "__key")
+        .withColumn("__edits", F.levenshtein("__text", "__name", edits))
+        .filter(F.col("__edits") >= 0)
         .groupBy("comments")
         .agg(F.min(F.struct("__edits", "__name", "accepted")).alias("__best"))
         .select("comments", F.col("__best.accepted").alias("accepted"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
@@ -90,11 +91,55 @@ def read_typed(df: DataFrame, schema: T.StructType | str) -> DataFrame:
     return normalise_missing(typed)
 
 
+#: File in the folder of a run date that names its current version.
+POINTER = "_current"
+
+
+def _place(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def children(spark: SparkSession, path: str) -> list[str]:
+    """Names of what lies in a folder, in order; none where there is no such folder."""
+    where, files = _place(spark, path)
+    if not files.exists(where):
+        return []
+    return sorted(s.getPath().getName() for s in files.listStatus(where))
+
+
+def pointer(spark: SparkSession, day: str) -> str | None:
+    """The version that a run date's pointer names; None before the first."""
+    where, files = _place(spark, f"{day}/{POINTER}")
+    if not files.exists(where):
+        return None
+    stream = files.open(where)
+    try:
+        return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def _current_versions(spark: SparkSession, base: str, days: list[str]) -> DataFrame:
+    parts = []
+    for name in days:
+        version = pointer(spark, f"{base}/{name}")
+        if version is not None:
+            day = F.lit(name.removeprefix("run_date=")).cast("date").alias("run_date")
+            parts.append(spark.read.parquet(f"{base}/{name}/{version}").select("*", day))
+    if not parts:
+        raise FileNotFoundError(f"no whole snapshot under {base}")
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
 def read_snapshot(spark: SparkSession, path: str, foreign: bool = False) -> DataFrame:
     """Columnar table that carries its own schema.
 
-    A table from elsewhere may hold NaN; with ``foreign`` it becomes NULL. Our own
-    snapshots never do, and reading them as they are keeps filters pushed down.
+    A folder of run dates (``writers.write_snapshot``) is read as the current version of each,
+    with the date as ``run_date``. A table from elsewhere may hold NaN; with ``foreign`` it
+    becomes NULL. Our own snapshots never do, and reading them as they are keeps filters
+    pushed down.
     """
-    df = spark.read.parquet(path)
+    days = [name for name in children(spark, path) if name.startswith("run_date=")]
+    df = _current_versions(spark, path.rstrip("/"), days) if days else spark.read.parquet(path)
     return normalise_missing(df) if foreign else df
