@@ -47,9 +47,17 @@ def test_every_oracle_has_a_query():
     assert set(ORACLES) <= set(QUERIES)
 
 
-@pytest.mark.parametrize("name", ["pca_loadings", "pca_scores", "pca_parallel_analysis", "stress_effects", "response_effects"])
-def test_rows_only(spark, name):
-    assert QUERIES[name](spark, FOLDER).count() > 0
+def test_parallel_analysis_runs(spark):
+    """Its simulated side is no SQL; the observed side is ``pca_observed_eigenvalues``."""
+    rows = QUERIES["pca_parallel_analysis"](spark, FOLDER).orderBy("component").collect()
+    assert [r.component for r in rows] == [1, 2, 3, 4]
+    assert all(r.random > 0 for r in rows[:1]) and [r.retained for r in rows] == sorted((r.retained for r in rows), reverse=True)
+
+
+def test_all_but_simulation_has_sql():
+    from trialframe.catalog import ORACLES as own, QUERIES as queries
+
+    assert set(queries) - set(own) == {"pca_parallel_analysis"}
 
 
 def test_entry(spark):

@@ -84,6 +84,76 @@ def test_moments_use_complete_rows_and_keep_digits(spark):
     np.testing.assert_allclose(m.covariance, np.cov(pdf.to_numpy().T), rtol=1e-5)
 
 
+def test_moments_of_many_columns(spark):
+    """Five hundred columns, with gaps: as matrices within tasks, equal to numpy."""
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(700, 500)) @ np.diag(rng.uniform(0.5, 2, 500)) + 1e6
+    names = [f"c{i}" for i in range(500)]
+    rows = [(i, [None if (i % 97 == 0 and j == i % 500) else float(v) for j, v in enumerate(r)]) for i, r in enumerate(x)]
+    df = spark.createDataFrame(rows, "id int, v array<double>").repartition(6)
+    df = df.select("id", *[F.col("v")[i].alias(c) for i, c in enumerate(names)])
+    whole = x[np.arange(700) % 97 != 0]
+    m = crossproducts.moments(df, names)
+    assert m.n == len(whole)
+    np.testing.assert_allclose(m.mean, whole.mean(axis=0), rtol=1e-12)
+    np.testing.assert_allclose(m.covariance, np.cov(whole.T), atol=1e-8)
+    fit = ordination.principal_components(df, names, 2)
+    np.testing.assert_allclose(fit.eigenvalues, np.linalg.eigvalsh(np.cov(whole.T))[::-1], atol=1e-7)
+    few = names[:3]  # the aggregate of pairs and the matrices agree
+    narrow = crossproducts.moments(df, few)
+    n, total, cross = crossproducts._summed(crossproducts.complete_rows(df, few).select(*few), narrow.mean)
+    assert n == narrow.n
+    np.testing.assert_allclose(cross, narrow.cross, rtol=1e-9, atol=1e-6)
+
+
+def test_terms_of_several_columns_and_aliased_terms(spark):
+    rng = np.random.default_rng(14)
+    n = 60
+    pdf = pd.DataFrame({"id": np.arange(n), "a": rng.normal(size=n), "zone": rng.choice(["x", "y", "z"], n)})
+    pdf["p"], pdf["q"] = pdf.a + (pdf.zone == "y") * 0.8 + rng.normal(size=n), rng.normal(size=n)
+    df, zone = ordination.with_levels(spark.createDataFrame(pdf), "zone", ["x", "y", "z"])
+    df = df.withColumns({"twice": F.col("a") * 2 + 1, "mix": F.col("zone[y]") - F.col("a"), "flat": F.lit(3.0)})
+    fit = ordination.redundancy(df, ["p", "q"], ["a", "twice", zone, "mix", "flat"])
+    terms = {r.term: r for r in fit.terms_table().collect()}
+    assert {t: (r.df, r.aliased) for t, r in terms.items()} == {
+        "a": (1, False), "twice": (0, True), "zone": (2, False), "mix": (0, True), "flat": (0, True)}
+    assert {r.n for r in terms.values()} == {n}
+    half = ordination.redundancy(df, ["p"], ["zone[y]", ("pair", ["mix", "a"])])
+    assert [(r.term, r.df, r.aliased) for r in half.terms_table().collect()] == [("zone[y]", 1, False), ("pair", 1, False)]
+    got = permute.terms_test(fit, permute.permuted_sums(fit, df, ["id"], 999, 3)).toPandas().set_index("term")
+    assert list(got.index) == ["a", "twice", "zone", "mix", "flat", "Residual"] and list(got.df) == [1, 0, 2, 0, 0, n - 4]
+    assert got.loc[["twice", "mix", "flat"], ["variance", "statistic", "p_value", "prop"]].isna().all().all()
+    y = pdf[["p", "q"]].to_numpy() - pdf[["p", "q"]].to_numpy().mean(axis=0)
+    design = np.column_stack([np.ones(n), pdf.a, pdf.zone == "y", pdf.zone == "z"]).astype(float)
+
+    def f_zone(y):
+        def left(x):
+            return ((y - x @ np.linalg.lstsq(x, y, rcond=None)[0]) ** 2).sum()
+
+        return (left(design[:, :2]) - left(design)) / 2 / (left(design) / (n - 4))
+
+    assert got.statistic["zone"] == pytest.approx(f_zone(y))
+    draws = np.array([f_zone(y[rng.permutation(n)]) for _ in range(999)])
+    assert got.p_value["zone"] == pytest.approx((1 + (draws >= f_zone(y)).sum()) / 1000, abs=0.05)
+    assert got.prop.sum() == pytest.approx(1)
+
+
+def test_varimax_of_three_columns():
+    rng = np.random.default_rng(15)
+    raw = rng.normal(size=(9, 3))
+    found = ordination.varimax(raw)
+    np.testing.assert_allclose(found @ found.T, raw @ raw.T, atol=1e-10)
+    height = np.linalg.norm(raw, axis=1, keepdims=True)
+
+    def simplicity(m):
+        return ((m / height) ** 4).mean() - (((m / height) ** 2).mean(axis=0) ** 2).sum() / 3
+
+    best = simplicity(found)
+    for _ in range(200):
+        turn = np.linalg.qr(np.eye(3) + 0.05 * rng.normal(size=(3, 3)))[0]
+        assert simplicity(found @ turn) <= best + 1e-9
+
+
 def test_principal_components(spark):
     rng = np.random.default_rng(4)
     x = rng.normal(size=(60, 4)) @ rng.normal(size=(4, 4))
@@ -178,6 +248,8 @@ def test_term_test_agrees_with_full_refits(spark, rda, design):
         strata = None if design == "free" else "all"
         sums = permute.permuted_sums(fit, df.withColumn("all", F.lit(1)), ["id"], 499, 3, strata)
     got = permute.terms_test(fit, sums).toPandas().set_index("term")
+    assert got.df["copy"] == 0 and np.isnan(got.statistic["copy"])
+    got = got.drop("copy")
     rng = np.random.default_rng(0)
     observed = _f_terms(x, y)
     draws = np.array([_f_terms(x, y[rng.permutation(40)]) for _ in range(1999)])

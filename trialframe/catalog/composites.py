@@ -202,21 +202,27 @@ def growth_form_shares(spark, folder):
 # ---------------------------------------------------------------- plot-level sources
 
 
-def _moisture_readings(spark, folder):
-    """Logger file with decimal commas and a mangled header, one line per line item."""
+def _logger_rows(spark, folder):
+    """A reading of the logger for each line item, in the logger's own columns."""
     c = F.col
     flag, line = c("l_returnflag"), c("l_linenumber")
-    reading = F.replace((c("l_quantity") / 4).cast("string"), F.lit("."), F.lit(","))
-    rows = table(spark, folder, "lineitem").select(
-        F.concat(F.date_format("l_shipdate", "dd/MM/yyyy"), F.lit(" 10:00:00")).alias("TimeStamp"),
-        F.concat(F.lit("plot "), (line * 2).cast("string")).alias("Plot"),
+    return table(spark, folder, "lineitem").select(
+        F.concat(F.date_format("l_shipdate", "dd/MM/yyyy"), F.lit(" 10:00:00")).alias("timestamp"),
+        F.concat(F.lit("plot "), (line * 2).cast("string")).alias("plot"),
         F.when(flag == "A", "GC").when(flag == "R", "LT")
-        .when(c("l_linestatus") == "F", "LC").otherwise("GT").alias("Site"),
-        F.when(line <= 3, "D").when(line <= 5, "C").otherwise("X").alias("Subplot"),
-        F.when(c("l_tax") > 0, reading).alias("Moisture......"),
+        .when(c("l_linestatus") == "F", "LC").otherwise("GT").alias("site"),
+        F.when(line <= 3, "D").when(line <= 5, "C").otherwise("X").alias("subplot"),
+        F.when(c("l_tax") > 0, c("l_quantity") / 4).alias("moisture"),
     )
+
+
+def _moisture_readings(spark, folder):
+    """The readings by way of a logger file with decimal commas and a mangled header."""
+    text = F.replace(F.col("moisture").cast("string"), F.lit("."), F.lit(","))
+    rows = _logger_rows(spark, folder).withColumn("moisture", text)
     path = scratch.fresh_path(spark, "moisture")
-    rows.write.option("header", True).option("sep", ";").option("nullValue", "NA").csv(path)
+    named = rows.toDF("TimeStamp", "Plot", "Site", "Subplot", "Moisture......")
+    named.write.option("header", True).option("sep", ";").option("nullValue", "NA").csv(path)
     schema = "TimeStamp string, Plot string, Site string, Subplot string, `Moisture......` double"
     readings = plots.moisture_readings(
         readers.clean_names(readers.read_csv_decimal_comma(spark, path, schema))
@@ -362,7 +368,7 @@ def _plot_table(spark, folder):
         plots.integrate(
             _base_plots(spark, folder),
             traits.trait_means(_individuals(spark, folder)),
-            plots.plot_moisture(_moisture_readings(spark, folder)),
+            plots.plot_moisture(plots.moisture_readings(_logger_rows(spark, folder))),
             plots.root_colonisation(_microscope_counts(spark, folder)),
             _environment(spark, folder),
         ),
@@ -535,23 +541,111 @@ def effect_segments(spark, folder):
     return rounded(out.select(*_EFFECT_COLUMNS), 8, "estimate", "magnitude")
 
 
-@query("stress_effects")
+def _batch_sql(source, variables):
+    """``fit`` of each variable of ``source(combi_fac, ...)`` by treatment, and ``dims`` of all variables."""
+    rows = " UNION ALL ".join(f"SELECT combi_fac AS grp, '{x}' AS var, {x}::DOUBLE AS x FROM {source}" for x in variables)
+
+    def text(value):
+        return "NULL" if value is None else f"'{value}'"
+
+    dims = ", ".join(f"({', '.join(map(text, row))})" for row in v.VARIABLES)
+    order = " ".join(f"WHEN '{x}' THEN {i}" for i, x in enumerate(v.TYPE_LEVELS, 1))
+    return f"""
+    lines AS ({rows}),
+    m AS (SELECT var, grp, count(x) AS n, avg(x) AS mean, var_samp(x) AS variance FROM lines WHERE x IS NOT NULL GROUP BY ALL),
+    c AS (SELECT *, count(*) OVER w AS k, CAST(sum(n) OVER w AS BIGINT) AS nobs,
+                 sum((n - 1) * variance) OVER w AS sse, sum(n * mean) OVER w / sum(n) OVER w AS gm
+          FROM m WINDOW w AS (PARTITION BY var)),
+    c2 AS (SELECT *, nobs - k AS df, sum(n * (mean - gm) * (mean - gm)) OVER (PARTITION BY var) AS ssb FROM c),
+    fit AS (SELECT *, CASE WHEN sse > {linmodel._PERFECT} * (sse + ssb) THEN sse / (nobs - k) END AS s2 FROM c2),
+    dims AS (SELECT var, label, type, CASE type {order} END AS type_order, plant, es
+             FROM (VALUES {dims}) AS d(var, label, type, plant, es))"""
+
+
+def _batch_effects_sql(source, variables):
+    """``eff``: group means with the contrasts each group takes part in."""
+    first, second = (f"('{a}', '{b}')" for a, b in (("AlpineControl", "AlpineWarmed"), ("AlpineWarmed", "SubalpineControl")))
+    order = " ".join(f"WHEN '{x}' THEN {i}" for i, x in enumerate(v.TREATMENTS, 1))
+    return f"""{_batch_sql(source, variables)},
+    pair AS (SELECT a.var, a.grp AS g1, b.grp AS g2, b.mean - a.mean AS est, a.df,
+                    (b.mean - a.mean) / sqrt(a.s2 * (1.0::DOUBLE / a.n + 1.0::DOUBLE / b.n)) AS t
+             FROM fit a JOIN fit b ON a.var = b.var AND (a.grp, b.grp) IN ({first}, {second})),
+    rho AS (SELECT var, -(1.0::DOUBLE / nn) / sqrt((1.0::DOUBLE / na + 1.0::DOUBLE / nn) * (1.0::DOUBLE / nn + 1.0::DOUBLE / nr)) AS rho
+            FROM (SELECT var, any_value(n) FILTER (grp = 'AlpineControl') AS na, any_value(n) FILTER (grp = 'AlpineWarmed') AS nn,
+                         any_value(n) FILTER (grp = 'SubalpineControl') AS nr FROM fit GROUP BY var)),
+    con AS (SELECT pair.*, CASE g1 WHEN 'AlpineControl' THEN 'Warming effect' ELSE 'Warming lag' END AS contrast, {models._JOINT_TAIL} AS p
+            FROM pair JOIN rho USING (var)),
+    member AS (SELECT var, g1 AS grp, contrast, est, p FROM con UNION ALL SELECT var, g2, contrast, est, p FROM con),
+    eff AS (SELECT coalesce(label, fit.var) AS var, fit.grp, n, CASE WHEN abs(mean) < 5e-7 THEN 0.0::DOUBLE ELSE round(mean, 6) END AS estimate, round(sqrt(s2 / n), 6) AS std_error,
+                   type, type_order, coalesce(plant, 'soil') AS plant, coalesce(es, 'ES') AS es, contrast, round(abs(est), 6) AS magnitude,
+                   CASE WHEN p >= 0.05 THEN 'ns' WHEN p < 0.05 THEN '*' END AS mark, CASE fit.grp {order} END AS grp_order
+            FROM fit LEFT JOIN member ON fit.var = member.var AND fit.grp = member.grp LEFT JOIN dims ON fit.var = dims.var)"""
+
+
+_BATCH_COLUMNS = ["var", "grp", "n", "estimate", "std_error", "type", "type_order", "plant", "es", "contrast", "magnitude", "mark",
+                  "grp_order"]
+_STRESS_NAME = " ".join(f"WHEN '{k}' THEN '{x}'" for k, x in v.STRESS_LABELS.items())
+_STRESS_ORDER = " ".join(f"WHEN '{k}' THEN {i}" for i, k in enumerate(v.STRESS_LABELS, 1))
+
+
+def _batch(rows, variables):
+    fit = linmodel.fit_one_way(rows, "combi_fac", variables, v.CONTRASTS)
+    out = effects.effect_table(effects.annotate(fit.means), effects.annotate(fit.contrasts))
+    # no negative zero after rounding
+    whole = F.when(F.abs("estimate") < 5e-7, 0.0).otherwise(F.col("estimate"))
+    return rounded(out.withColumn("estimate", whole), 6, "estimate", "std_error", "magnitude")
+
+
+@query("stress_effects", f"""
+    WITH {_PLOTS},
+    {_batch_effects_sql("pt", v.STRESS_VARIABLES)}
+    SELECT CASE var {_STRESS_NAME} END AS var, CASE var {_STRESS_ORDER} END AS var_order, {", ".join(_BATCH_COLUMNS[1:])} FROM eff""")
 def stress_effects(spark, folder):
-    """Means, intervals and contrasts of the stress conditions over the plot table."""
-    fit = linmodel.fit_one_way(
-        _plot_table(spark, folder), "combi_fac", v.STRESS_VARIABLES, v.CONTRASTS
-    )
-    return effects.label_stress_conditions(
-        effects.effect_table(effects.annotate(fit.means), effects.annotate(fit.contrasts))
-    )
+    """Means, errors and contrasts of the stress conditions over the plot table."""
+    out = effects.label_stress_conditions(_batch(_plot_table(spark, folder), v.STRESS_VARIABLES))
+    return out.select("var", "var_order", *_BATCH_COLUMNS[1:])
+
+
+def _responses(spark, folder, scaled):
+    return plots.analysis_groups(plots.derive(_plot_table(spark, folder), scaled))
+
+
+def _responses_sql(scaled):
+    return f"""
+    WITH {_PLOTS},
+    {derived_ctes(scaled)},
+    {_batch_effects_sql("dv", v.RESPONSE_VARIABLES)}
+    SELECT {", ".join(_BATCH_COLUMNS)} FROM eff"""
 
 
-@query("response_effects")
+@query("response_effects", _responses_sql(True))
 def response_effects(spark, folder):
     """The same for the standardised responses."""
-    rows = plots.analysis_groups(plots.derive(_plot_table(spark, folder)))
-    fit = linmodel.fit_one_way(rows, "combi_fac", v.RESPONSE_VARIABLES, v.CONTRASTS)
-    return effects.effect_table(effects.annotate(fit.means), effects.annotate(fit.contrasts))
+    return _batch(_responses(spark, folder, True), v.RESPONSE_VARIABLES).select(*_BATCH_COLUMNS)
+
+
+@query("response_effects_unscaled", _responses_sql(False))
+def response_effects_unscaled(spark, folder):
+    """The same in the responses' own units."""
+    return _batch(_responses(spark, folder, False), v.RESPONSE_VARIABLES).select(*_BATCH_COLUMNS)
+
+
+@query("response_models", f"""
+    WITH {_PLOTS},
+    {derived_ctes(False)},
+    {_batch_sql("dv", v.RESPONSE_VARIABLES)},
+    g AS (SELECT DISTINCT var, k, nobs, df, sse, ssb, s2 FROM fit)
+    SELECT coalesce(label, g.var) AS var, type, type_order, coalesce(plant, 'soil') AS plant, coalesce(es, 'ES') AS es,
+           round(ssb / (sse + ssb), 8) AS r_squared, round(1 - sse / (sse + ssb) * (nobs - 1) / df, 8) AS adj_r_squared,
+           round(ssb / (k - 1) / s2, 5) AS statistic, nobs, df AS df_residual,
+           round(exp(-df / 2.0::DOUBLE * ln(1 + 2 * (ssb / (k - 1) / s2) / df)), 8) AS p_value
+    FROM g LEFT JOIN dims ON g.var = dims.var""")
+def response_models(spark, folder):
+    """The fit of each response in its own unit, with the classes of its variable."""
+    fit = linmodel.fit_one_way(_responses(spark, folder, False), "combi_fac", v.RESPONSE_VARIABLES, v.CONTRASTS)
+    out = effects.annotate(fit.models).select(
+        "var", "type", "type_order", "plant", "es", "r_squared", "adj_r_squared", "statistic", "nobs", "df_residual", "p_value")
+    return rounded(rounded(out, 8, "r_squared", "adj_r_squared", "p_value"), 5, "statistic")
 
 
 # ---------------------------------------------------------------- ordination tables

@@ -84,6 +84,29 @@ def eigen(n: int, source: str, name: str = "ei", sweeps: int = 9) -> str:
                       list_transform(v, lambda e: e * CASE WHEN list_sum(v) < 0 THEN -1 ELSE 1 END) AS v FROM {name}_raw)"""
 
 
+def two_components(source: str, columns: Sequence[str]) -> str:
+    """``rc(i, l1, l2, w1, w2)``: loadings and score weights of the first two components of the
+    covariance matrix, turned by the varimax angle of the plane, signed and in order of their squares."""
+    p = len(columns)
+    return f"""{moments(source, columns)},
+    cov AS (SELECT c AS a FROM mo),
+    {eigen(p, "cov")},
+    two AS (SELECT any_value(v) FILTER (axis = 1) AS v1, any_value(v) FILTER (axis = 2) AS v2,
+                   any_value(value) FILTER (axis = 1) AS e1, any_value(value) FILTER (axis = 2) AS e2 FROM ei),
+    plain AS (SELECT i, v1[i] * sqrt(e1) AS x, v2[i] * sqrt(e2) AS y FROM two, range(1, {p + 1}) AS variables(i)),
+    unit AS (SELECT x / sqrt(x * x + y * y) AS x, y / sqrt(x * x + y * y) AS y FROM plain),
+    uw AS (SELECT x * x - y * y AS u, 2 * x * y AS w FROM unit),
+    angle AS (SELECT atan2(2 * sum(u * w) - 2 * sum(u) * sum(w) / {p},
+                           sum(u * u - w * w) - (sum(u) * sum(u) - sum(w) * sum(w)) / {p}) / 4 AS f FROM uw),
+    turned AS (SELECT i, x * cos(f) + y * sin(f) AS x, y * cos(f) - x * sin(f) AS y,
+                      v1[i] / sqrt(e1) * cos(f) + v2[i] / sqrt(e2) * sin(f) AS wx,
+                      v2[i] / sqrt(e2) * cos(f) - v1[i] / sqrt(e1) * sin(f) AS wy FROM plain, two, angle),
+    signs AS (SELECT sign(sum(x)) AS sx, sign(sum(y)) AS sy, sum(x * x) >= sum(y * y) AS keep FROM turned),
+    rc AS (SELECT i, CASE WHEN keep THEN sx * x ELSE sy * y END AS l1, CASE WHEN keep THEN sy * y ELSE sx * x END AS l2,
+                  CASE WHEN keep THEN sx * wx ELSE sy * wy END AS w1, CASE WHEN keep THEN sy * wy ELSE sx * wx END AS w2
+           FROM turned, signs)"""
+
+
 def places(source: str, permutations: int, seed: int, moved: Sequence[str], rounds: int = 6, walks: int = 3) -> str:
     """``swap(b, pos, ...)``: the ``moved`` columns of each row at its place in each permutation; ``stay(pos, ...)``.
 

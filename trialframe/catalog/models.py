@@ -9,7 +9,7 @@ from ..operators import aggregates, crossproducts, linmodel, ordination, permute
 from ..plans import partition
 from ..sources import readers, writers
 from ..sources.scratch import fresh_path, stored
-from .matrix_sql import eigen, eliminated, fitted, moments, places
+from .matrix_sql import eigen, eliminated, fitted, moments, places, two_components
 from .registry import query, rounded, table
 
 # ---------------------------------------------------------------- linear models
@@ -204,19 +204,64 @@ def pca_covariance(spark, folder):
     return rounded(crossproducts.covariance_table(_measures(spark, folder), _MEASURES), 6, "cov")
 
 
-@query("pca_loadings")
+_TWO_TURNED = f"""
+    WITH RECURSIVE m AS (SELECT * FROM ({_MEASURES_SQL}) WHERE quantity IS NOT NULL),
+    {two_components("m", _MEASURES)}"""
+
+
+@query("pca_loadings", f"""{_TWO_TURNED}
+    SELECT ['quantity', 'turnover', 'reduction', 'tax'][i] AS variable, round(l1, 6) AS rc1, round(l2, 6) AS rc2,
+           CASE WHEN i <= 2 THEN 'amount' ELSE 'rate' END AS type FROM rc""")
 def pca_loadings(spark, folder):
     fit = ordination.principal_components(_measures(spark, folder), _MEASURES)
     kinds = {"quantity": "amount", "turnover": "amount"}
-    return fit.loadings_table(kinds, "rate")
+    return rounded(fit.loadings_table(kinds, "rate"), 6, "rc1", "rc2")
 
 
-@query("pca_scores")
+@query("pca_scores", f"""{_TWO_TURNED},
+    w AS (SELECT list(w1 ORDER BY i) AS w1, list(w2 ORDER BY i) AS w2 FROM rc),
+    away AS (SELECT l_orderkey, l_linenumber, l_returnflag,
+                    [quantity - mean[1], turnover - mean[2], reduction - mean[3], tax - mean[4]] AS d FROM m, mo)
+    SELECT l_orderkey, l_linenumber, l_returnflag, round(list_inner_product(d, w1), 5) AS rc1,
+           round(list_inner_product(d, w2), 5) AS rc2 FROM away, w""")
 def pca_scores(spark, folder):
     rows = _measures(spark, folder)
-    return ordination.principal_components(rows, _MEASURES).scores(
-        rows, ["l_orderkey", "l_linenumber", "l_returnflag"]
-    )
+    out = ordination.principal_components(rows, _MEASURES).scores(rows, ["l_orderkey", "l_linenumber", "l_returnflag"])
+    return rounded(out, 5, "rc1", "rc2")
+
+
+_COMPONENTS = 64
+_EMBEDDED = [f"e{i}" for i in range(_COMPONENTS)]
+
+
+@query("pca_embedding_covariance", f"""
+    WITH x AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, unnest(range(len(embedding))) AS i FROM embeddings
+               WHERE len(list_filter(embedding, lambda e: e IS NULL)) = 0)
+    SELECT 'e' || a.i AS var_i, 'e' || b.i AS var_j, round(covar_samp(a.x, b.x), 9) AS cov
+    FROM x a JOIN x b ON a.vec_id = b.vec_id AND a.i <= b.i GROUP BY a.i, b.i""")
+def pca_embedding_covariance(spark, folder):
+    """All components of the vectors, too many for one aggregate of pairs."""
+    rows = table(spark, folder, "embeddings").select(*[F.col("embedding")[i].alias(c) for i, c in enumerate(_EMBEDDED)])
+    return rounded(crossproducts.covariance_table(rows, _EMBEDDED), 9, "cov")
+
+
+@query("pca_observed_eigenvalues", f"""
+    WITH RECURSIVE m AS (SELECT * FROM ({_MEASURES_SQL}) WHERE quantity IS NOT NULL),
+    {moments("m", _MEASURES, "raw")},
+    mo AS (SELECT n, mean, list_transform(range(1, 5), lambda i: list_transform(range(1, 5), lambda j:
+             c[i][j] / sqrt(c[i][i] * c[j][j]))) AS c FROM raw),
+    {eliminated(4, 4)},
+    -- the inverse is T' D T, with T and D of the elimination
+    uniq AS (SELECT c, list_transform(range(1, 5), lambda i:
+               1 / list_sum(list_transform(range(1, 5), lambda j: t[j][i] * t[j][i] / m[j][j]))) AS u FROM el),
+    reduced AS (SELECT list_transform(range(1, 5), lambda i: list_transform(range(1, 5), lambda j:
+                  c[i][j] - CASE WHEN i = j THEN u[i] ELSE 0 END)) AS a FROM uniq),
+    {eigen(4, "reduced")}
+    SELECT axis AS component, round(value, 7) AS observed FROM ei""")
+def pca_observed_eigenvalues(spark, folder):
+    """The side of parallel analysis that is not simulated."""
+    out = ordination.parallel_analysis(_measures(spark, folder), _MEASURES, 50)
+    return rounded(out.select("component", "observed"), 7, "observed")
 
 
 # One component of two variables has a closed form.

@@ -8,11 +8,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import aggregates, ordination, permute
+from ..operators import ordination, permute
 from ..plans import partition, plots, vocabulary as v
 from ..sources.scratch import stored
 from . import composites, models
-from .matrix_sql import eigen, eliminated, fitted, moments, places
+from .matrix_sql import eigen, eliminated, fitted, moments, places, two_components
 from .registry import query, rounded, table
 
 # Plot column: its expression over line items, the same in both engines.
@@ -327,6 +327,43 @@ def stress_term_contributions(spark, folder):
     return _stress_tables(spark, folder).term_contributions
 
 
+# ---------------------------------------------------------------- components of the control plots
+
+_CONTROLS = f"""
+    WITH RECURSIVE {_DERIVED},
+    used AS (SELECT * FROM dv WHERE combi_fac IN ('SubalpineControl', 'AlpineControl')
+             AND {" AND ".join(f"{t} IS NOT NULL" for t in v.TRAITS)}),
+    {two_components("used", v.TRAITS)}"""
+_CONTROL_SCORES = f"""{_CONTROLS},
+    weights AS (SELECT list(w1 ORDER BY i) AS w1, list(w2 ORDER BY i) AS w2 FROM rc),
+    scores AS (SELECT combi_fac, rep, list_inner_product(d, w1) AS rc1, list_inner_product(d, w2) AS rc2
+               FROM (SELECT combi_fac, rep, [{", ".join(f"{t} - mean[{i}]" for i, t in enumerate(v.TRAITS, 1))}] AS d FROM used, mo), weights)"""
+
+
+def _controls(spark, folder):
+    return partition.control_components(_derived(spark, folder))
+
+
+@query("control_loadings", f"""{_CONTROLS}
+    SELECT [{", ".join(f"'{t}'" for t in v.TRAITS)}][i] AS variable, round(l1, 6) AS rc1, round(l2, 6) AS rc2,
+           CASE WHEN i IN ({", ".join(str(i) for i, t in enumerate(v.TRAITS, 1) if t in v.ABOVE_GROUND)})
+                THEN 'Above-ground traits' ELSE 'Below-ground traits' END AS type FROM rc""")
+def control_loadings(spark, folder):
+    """Rotated loadings of the traits over the two control groups, by the part of the plant."""
+    return rounded(_controls(spark, folder).loadings, 6, "rc1", "rc2")
+
+
+@query("control_scores", f"{_CONTROL_SCORES} SELECT combi_fac, rep, round(rc1, 5) AS rc1, round(rc2, 5) AS rc2 FROM scores")
+def control_scores(spark, folder):
+    return rounded(_controls(spark, folder).scores, 5, "rc1", "rc2")
+
+
+@query("control_centroids", f"""{_CONTROL_SCORES}
+    SELECT combi_fac, round(avg(rc1), 5) AS mean_rc1, round(avg(rc2), 5) AS mean_rc2 FROM scores GROUP BY combi_fac""")
+def control_centroids(spark, folder):
+    return rounded(_controls(spark, folder).centroids, 5, "mean_rc1", "mean_rc2")
+
+
 # ---------------------------------------------------------------- a factor as a term
 
 _ZONES = ["low", "middle", "high"]

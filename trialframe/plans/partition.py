@@ -11,7 +11,7 @@ from ..functions.coding import recode
 from ..functions.numeric import half_even, mark_or_blank, percent_label
 from ..functions.text import paste
 from ..operators.aggregates import centroids
-from ..operators.ordination import Redundancy, redundancy, with_interactions
+from ..operators.ordination import Redundancy, principal_components, redundancy, with_interactions
 from ..operators.reshape import longer, wider
 from ..operators.windows import partition_share, running_share
 from . import vocabulary as v
@@ -29,6 +29,26 @@ class Ordination(NamedTuple):
     term_contributions: DataFrame
 
 
+class Components(NamedTuple):
+    """What is exported of rotated components."""
+
+    loadings: DataFrame
+    scores: DataFrame
+    centroids: DataFrame
+
+
+def control_components(derived: DataFrame, components: int = 2) -> Components:
+    """Rotated components of the traits over the two control groups, with the groups' centroids."""
+    rows = derived.filter(F.col("combi_fac").isin("SubalpineControl", "AlpineControl"))
+    fit = principal_components(rows, v.TRAITS, components)
+    above, below = v.TRAIT_KINDS
+    scores = fit.scores(rows, ["combi_fac", "rep"])
+    return Components(
+        fit.loadings_table({t: above for t in v.ABOVE_GROUND}, below), scores,
+        centroids(scores, ["combi_fac"], fit.names),
+    )
+
+
 def variance_partition(
     terms: DataFrame, labels: Mapping[str, str], levels: Sequence[str], at_least: float = 0.01
 ) -> DataFrame:

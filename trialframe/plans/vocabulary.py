@@ -90,6 +90,8 @@ RESPONSE_VARIABLES = [
     "moisture", "soil_nitrate", "soil_p", "soil_om",
 ]
 TRAITS = ["lma", "lnc", "rnc", "rtd", "srl", "rd", "vh"]
+ABOVE_GROUND = ["lma", "lnc", "vh"]
+TRAIT_KINDS = ("Above-ground traits", "Below-ground traits")
 SITE_CONDITIONS = ["moisture", "soil_nitrate", "soil_p", "soil_temperature"]
 FUNCTIONS = [
     "above_productivity", "below_productivity", "rate_green_teabag", "qpcr_root", "arbuscule",
