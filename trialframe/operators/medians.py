@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..sources.scratch import stored
@@ -18,22 +20,17 @@ _INFINITE, _NAN = 2047 << 52, 2**63 - 1
 def ordered_bits(x: Column) -> Column:
     """A whole number of 64 bits for a double, in the same order, one for each value.
 
-    It is the double's own binary form, negative for negative values, put together from
-    exponent and fraction by exact arithmetic. Zeros are equal; NaN comes last.
+    It is the double's own binary form, negative for negative values. Zeros are equal; NaN
+    comes last. Spark has no expression for it, so whole columns are viewed as numbers in Arrow batches.
     """
-    size = F.abs(x)
-    guess = F.floor(F.log2(size))  # may be one off
-    exponent = (
-        F.when(F.pow(F.lit(2.0), guess) > size, guess - 1)
-        .when(F.pow(F.lit(2.0), guess + 1) <= size, guess + 1).otherwise(guess)
-    )
-    fraction = ((size / F.pow(F.lit(2.0), exponent) - 1) * _FRACTION).cast("bigint")
-    tiny = (size * 2.0**537 * 2.0**537).cast("bigint")
-    bits = (
-        F.when(size == 0, F.lit(0).cast("bigint")).when(size < 2.0**-1022, tiny)
-        .when(size == float("inf"), F.lit(_INFINITE)).otherwise((exponent + 1023) * F.lit(1 << 52) + fraction)
-    )
-    return F.when(F.isnan(x), F.lit(_NAN)).when(x < 0, -bits).when(x.isNotNull(), bits)
+
+    @F.pandas_udf("bigint")
+    def view(values: pd.Series) -> pd.Series:
+        held = values.to_numpy("float64")
+        bits = held.view(np.int64)
+        return pd.Series(np.where(np.isnan(held), _NAN, np.where(bits < 0, -(bits & _NAN), bits)))
+
+    return F.when(x.isNotNull(), view(x))
 
 
 def from_ordered_bits(bits: Column) -> Column:
@@ -77,8 +74,9 @@ def group_median(
     values = df.select(*by, *[F.col(c).cast("double").alias(x) for c, x in zip(columns, xs)])
     if store_input:
         values = stored(values, "values")
-    cells = [F.struct(F.lit(i).alias("var"), ordered_bits(F.col(x)).alias("key")) for i, x in enumerate(xs)]
-    rows = values.select(*by, F.explode(F.array(*cells)).alias("__at")).select(
+    keyed = values.select(*by, *[ordered_bits(F.col(x)).alias(x) for x in xs])
+    cells = [F.struct(F.lit(i).alias("var"), F.col(x).alias("key")) for i, x in enumerate(xs)]
+    rows = keyed.select(*by, F.explode(F.array(*cells)).alias("__at")).select(
         *by, F.col("__at.var").alias("__var"), F.col("__at.key").alias("__key"))
     own = [*by, "__var"]
     shift = 64 - _BITS
