@@ -636,7 +636,8 @@ def response_effects_unscaled(spark, folder):
     {_batch_sql("dv", v.RESPONSE_VARIABLES)},
     g AS (SELECT DISTINCT var, k, nobs, df, sse, ssb, s2 FROM fit)
     SELECT coalesce(label, g.var) AS var, type, type_order, coalesce(plant, 'soil') AS plant, coalesce(es, 'ES') AS es,
-           round(ssb / (sse + ssb), 8) AS r_squared, round(1 - sse / (sse + ssb) * (nobs - 1) / df, 8) AS adj_r_squared,
+           round(ssb / nullif(sse + ssb, 0), 8) AS r_squared,
+           round(1 - sse / nullif(sse + ssb, 0) * (nobs - 1) / df, 8) AS adj_r_squared,
            round(ssb / (k - 1) / s2, 5) AS statistic, nobs, df AS df_residual,
            round(exp(-df / 2.0::DOUBLE * ln(1 + 2 * (ssb / (k - 1) / s2) / df)), 8) AS p_value
     FROM g LEFT JOIN dims ON g.var = dims.var""")
