@@ -45,8 +45,9 @@ def closest_names(
     to the first in text order), else NULL. Case and outer blanks are ignored.
 
     Texts meet names by a segment they have in common, at nearly the same place and length, and
-    are then compared within the band of ``edits``. Keys and comparison take time in proportion
-    to a text's length. The distinct texts are stored first: the measurements are scanned once.
+    are then compared within ``edits``. A text has a fixed number of keys, made in proportion
+    to its length; only the comparison of a pair that meets takes Spark's own, longer time.
+    The distinct texts are stored first: the measurements are scanned once.
     """
     def plain(c):
         return F.lower(F.trim(F.col(c)))
