@@ -8,22 +8,29 @@ overlap by half; every such region lies in one of them. Bands with enough are
 retained and verified by alignment in a band around them.
 
 The edit budget of an item is ``rate`` times its length, less where the lemma would
-leave fewer than ``MIN_SHARED`` shared q-grams. The items are an index in each
-task: at most ``slice_chars`` characters of them at a time; a larger benchmark is
-taken in slices, each over all documents.
-
-NULL and empty texts hold nothing. Items under ``min_chars`` characters are no
-evidence and are left out. A NULL item id reads -1. Items that repeat are reported each.
-Rows with the same ``doc_id`` are reported each.
+leave fewer than ``MIN_SHARED`` shared q-grams. An item under ``min_chars`` characters is
+matched exactly where no letter or digit adjoins it: its budget is 0.
+
+The distinct items are an index in each task: about ``slice_chars`` characters of them at a
+time; a larger benchmark is taken in slices, each over all documents. Between slices
+the documents are written and read again, so a stage holds one slice only.
+Bands are counted in blocks of the text. The places of a q-gram within an item count as runs
+of neighbours, so a repetitive text costs a few counters at each place, and a band is
+dropped once no later place can reach it.
+
+NULL and empty texts hold nothing, and NULL and empty items are left out. A NULL item
+id reads -1. Items that repeat are reported each. Rows with the same ``doc_id`` are reported each.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from ..sources.scratch import stored
 from .arrow import append_columns
 
 Q = 8
@@ -31,8 +38,9 @@ RATE = 0.1
 MIN_SHARED = 6
 MIN_CHARS = 24
 SLICE_CHARS = 4_000_000
-#: Characters that are hashed at once.
+#: Characters that are hashed at once, and band counts that are made at once.
 _BLOCK = 1 << 17
+_COUNTS = 1 << 20
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -63,7 +71,11 @@ def gram_hashes(codes: np.ndarray, q: int) -> np.ndarray:
 
 
 class Index:
-    """The q-grams of some items, sorted by hash, with a bitmap in front."""
+    """The q-grams of some items, sorted by hash, with a bitmap in front.
+
+    An entry is a run of places of a q-gram in an item whose gaps are at most a band's width.
+    Every band between the ends of a run then holds a place of it, and two runs share no band.
+    """
 
     def __init__(self, items: list[tuple[int, str]], q: int, rate: float) -> None:
         self.q, self.ids, self.texts = q, [i for i, _ in items], [t for _, t in items]
@@ -71,13 +83,20 @@ class Index:
         fits = (self.length - q + 1 - MIN_SHARED) // q
         self.budget = np.maximum(0, np.minimum((self.length * rate).astype(np.int64), fits))
         self.needed = np.maximum(1, self.length - q + 1 - self.budget * q)
+        self.step = self.budget + 1
         hashes = [gram_hashes(_codes(t), q) for t in self.texts]
         flat = np.concatenate(hashes)
-        order = np.argsort(flat, kind="stable")
-        self.grams, first = np.unique(flat[order], return_index=True)
-        self.start = np.append(first, len(flat))
-        self.item = np.repeat(np.arange(len(hashes)), [len(h) for h in hashes])[order]
-        self.at = np.concatenate([np.arange(len(h)) for h in hashes])[order]
+        item = np.repeat(np.arange(len(hashes)), [len(h) for h in hashes])
+        at = np.concatenate([np.arange(len(h)) for h in hashes])
+        order = np.lexsort((at, item, flat))
+        flat, item, at = flat[order], item[order], at[order]
+        new = np.ones(len(flat), bool)
+        new[1:] = (flat[1:] != flat[:-1]) | (item[1:] != item[:-1]) | (at[1:] - at[:-1] > 2 * self.step[item[1:]])
+        run = np.flatnonzero(new)
+        self.item, self.first = item[run], at[run]
+        self.last = at[np.append(run[1:], len(flat)) - 1]
+        self.grams, start = np.unique(flat[run], return_index=True)
+        self.start = np.append(start, len(run))
         self.shift = np.uint64(64 - max(16, int(len(self.grams)).bit_length() + 5))
         self.bitmap = np.zeros(1 << (64 - int(self.shift)), bool)
         self.bitmap[self._slot(self.grams)] = True
@@ -86,9 +105,9 @@ class Index:
         with np.errstate(over="ignore"):
             return (hashes * _MULTIPLIER) >> self.shift
 
-    def hits(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Shared q-grams: place in the codes, item, place in the item."""
-        out = []
+    def hits(self, codes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Shared q-grams in blocks: place in the codes, entry; about _COUNTS band counts at once."""
+        widest = int(((self.last - self.first) // self.step[self.item]).max()) + 3
         for at in range(0, max(0, len(codes) - self.q + 1), _BLOCK):
             hashed = gram_hashes(codes[at : at + _BLOCK + self.q - 1], self.q)
             maybe = np.flatnonzero(self.bitmap[self._slot(hashed)])
@@ -96,33 +115,88 @@ class Index:
             sure = self.grams[gram] == hashed[maybe]
             maybe, gram = maybe[sure], gram[sure]
             n = self.start[gram + 1] - self.start[gram]
-            entry = np.repeat(self.start[gram], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            out.append((np.repeat(maybe + at, n), self.item[entry], self.at[entry]))
-        if not out:
-            return (np.empty(0, np.int64),) * 3
-        return tuple(np.concatenate(x) for x in zip(*out))
+            upto = np.cumsum(n)
+            done = 0
+            while done < len(maybe):
+                before = int(upto[done - 1]) if done else 0
+                end = max(done + 1, int(np.searchsorted(upto, before + max(1, _COUNTS // widest), side="right")))
+                k = n[done:end]
+                entry = np.repeat(self.start[gram[done:end]] - (upto[done:end] - k - before), k) + np.arange(k.sum())
+                yield np.repeat(maybe[done:end] + at, k), entry
+                done = end
 
     def regions(self, codes: np.ndarray, starts: np.ndarray) -> Iterator[tuple[int, int, int]]:
-        """(text number, item, lowest diagonal in the text) of each band with enough shared q-grams."""
-        place, item, at = self.hits(codes)
-        doc = np.searchsorted(starts, place, side="right") - 1
-        diagonal = place - starts[doc] - at + self.length[item]
-        step = self.budget[item] + 1
-        # each hit lies in two bands; the number of one is within the text's and item's span
-        band = diagonal // step
-        key = np.concatenate([band, band - 1])
-        doc2, item2, at2 = np.tile(doc, 2), np.tile(item, 2), np.tile(at, 2)
-        order = np.lexsort((at2, key, item2, doc2))
-        doc2, item2, key, at2 = doc2[order], item2[order], key[order], at2[order]
-        new = np.ones(len(key), bool)
-        new[1:] = (doc2[1:] != doc2[:-1]) | (item2[1:] != item2[:-1]) | (key[1:] != key[:-1])
-        other = new.copy()
-        other[1:] |= at2[1:] != at2[:-1]
-        first = np.flatnonzero(new)
-        shared = np.add.reduceat(other.astype(np.int64), first) if len(first) else first
-        for i in first[shared >= self.needed[item2[first]]]:
-            d, j = int(doc2[i]), int(item2[i])
-            yield d, j, int(key[i] * (self.budget[j] + 1) - self.length[j])
+        """(text number, item, lowest diagonal in the text) of each band with enough shared q-grams.
+
+        Shared q-grams are counted by their places in the text, so the counts of blocks add up.
+        Diagonals of all texts lie on one line, with room between texts for no band to span two.
+        """
+        if not len(self.grams):
+            return
+        longest = int(self.length.max())
+        room = longest + 2 * int(self.step.max())
+        origin = starts + np.arange(len(starts)) * room + longest
+        span = len(codes) + len(starts) * room + longest + 3
+        keys, counts = np.empty(0, np.int64), np.empty(0, np.int64)
+        for place, entry in self.hits(codes):
+            doc = np.searchsorted(starts, place, side="right") - 1
+            line = place + doc * room + longest
+            item = self.item[entry]
+            step = self.step[item]
+            # a diagonal lies in two bands: its own and the one below
+            low = (line - self.last[entry]) // step - 1
+            n = (line - self.first[entry]) // step - low + 1
+            ends = np.cumsum(n)
+            band = np.repeat(low - (ends - n), n) + np.arange(ends[-1])
+            more, times = np.unique(np.repeat(item * span, n) + band + 1, return_counts=True)
+            both, where = np.unique(np.concatenate([keys, more]), return_inverse=True)
+            counts = np.bincount(where, np.concatenate([counts, times]), len(both)).astype(np.int64)
+            keys = both
+            # what the next place can no longer reach is complete
+            item = keys // span
+            closed = (keys % span + 1) * self.step[item] <= int(line[-1]) - self.length[item]
+            yield from self._retained(keys[closed], counts[closed], span, origin)
+            keys, counts = keys[~closed], counts[~closed]
+        yield from self._retained(keys, counts, span, origin)
+
+    def _retained(self, keys, counts, span, origin) -> Iterator[tuple[int, int, int]]:
+        item = keys // span
+        enough = counts >= self.needed[item]
+        for j, band in zip(item[enough].tolist(), (keys[enough] % span - 1).tolist()):
+            step = int(self.step[j])
+            doc = int(np.searchsorted(origin - int(self.length[j]), (band + 2) * step - 1, side="right")) - 1
+            yield doc, j, band * step - int(origin[doc])
+
+
+class Short:
+    """Items too short for the lemma, found exactly where no letter or digit adjoins them."""
+
+    def __init__(self, items: list[tuple[int, str]]) -> None:
+        import ahocorasick
+
+        self.ids, self.texts = [i for i, _ in items], [t for _, t in items]
+        self.automaton = ahocorasick.Automaton()
+        by: dict[str, list[int]] = {}
+        for j, text in enumerate(self.texts):
+            by.setdefault(text, []).append(j)
+        for text, numbers in by.items():
+            self.automaton.add_word(text, (len(text), numbers))
+        self.automaton.make_automaton()
+
+    def matches(self, text: str) -> list[tuple[int, int, int, int]]:
+        """(item number, start, end, 0), without overlaps of an item with itself."""
+        out, free = [], {}
+        for last, (width, numbers) in self.automaton.iter(text):
+            start, end = last + 1 - width, last + 1
+            if start and text[start - 1].isalnum() and text[start].isalnum():
+                continue
+            if end < len(text) and text[last].isalnum() and text[end].isalnum():
+                continue
+            for j in numbers:
+                if free.get(j, 0) <= start:
+                    free[j] = end
+                    out.append((j, start, end, 0))
+        return sorted(out)
 
 
 def align(item: np.ndarray, text: np.ndarray, low: int, high: int, budget: int) -> tuple[int, int, int] | None:
@@ -205,30 +279,47 @@ def with_leaks(
     """
     if min_chars < q + MIN_SHARED:
         raise ValueError("min_chars must leave MIN_SHARED q-grams")
-    usable = benchmark.where(F.col("text").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), "text")
+    usable = (
+        benchmark.where(F.col("text").isNotNull())
+        .groupBy(F.coalesce(F.col("item_id").cast("long"), F.lit(-1).cast("long")).alias("item_id"), "text")
+        .agg(F.count("*").alias("times"))
+    )
     total = usable.agg(F.sum(F.length("text"))).first()[0] or 0
     slices = total // slice_chars + 1
     kept = list(keep or documents.columns)
     result, names = documents, []
     for part in range(slices):
         rows = usable.where(F.pmod(F.xxhash64("text", "item_id"), F.lit(slices)) == part).collect()
-        items = sorted((r.item_id if r.item_id is not None else -1, normal(r.text)) for r in rows)
-        items = [x for x in items if len(x[1]) >= min_chars]
+        times = Counter()
+        for r in rows:
+            times[r.item_id, normal(r.text)] += r.times
+        items = sorted(x for x in times if x[1])
         name = f"__leaks{part}"
 
-        def make(items=items):
-            index = Index(items, q, rate) if items else None
+        def make(items=items, times=times):
+            long = [x for x in items if len(x[1]) >= min_chars]
+            short = [x for x in items if len(x[1]) < min_chars]
+            index = Index(long, q, rate) if long else None
+            exact = Short(short) if short else None
 
             def work(texts):
-                if index is None:
-                    return [[[] for _ in texts]]
-                hits = matches(index, [normal(t or "") for t in texts])
-                return [[[(index.ids[j], s, e, c) for j, s, e, c in row] for row in hits]]
+                read = [normal(t or "") for t in texts]
+                rows = [[] for _ in texts]
+                if index is not None:
+                    for row, hits in zip(rows, matches(index, read)):
+                        row += [(long[j], s, e, c) for j, s, e, c in hits]
+                if exact is not None:
+                    for row, text in zip(rows, read):
+                        row += [(short[j], s, e, c) for j, s, e, c in exact.matches(text)]
+                return [[[(x[0], s, e, c) for x, s, e, c in row for _ in range(times[x])] for row in rows]]
 
             return work
 
-        result = append_columns(result, ["text"], [T.StructField(name, T.ArrayType(_LEAK))], make, [*dict.fromkeys([*kept, "text"]), *names])
+        columns = [*dict.fromkeys([*kept, "text"]), *names]
+        result = append_columns(result, ["text"], [T.StructField(name, T.ArrayType(_LEAK))], make, columns)
         names.append(name)
+        if part < slices - 1:
+            result = stored(result, "leaks")
     return result.select(
         *[F.col(f"`{c}`") for c in kept if c.lower() != out.lower()], F.flatten(F.array(*names)).alias(out)
     )
