@@ -70,6 +70,36 @@ def test_contexts_discover_and_edges(spark):
     assert pii.report(df.limit(0)).count() == 0
 
 
+def test_candidates_of_each_form():
+    offered = lambda text: [(f, text[a:b]) for f, a, b in pii._offered(text, pii.base_spans(text))]
+    assert offered("call 0202 555 7788 or (0303) 12-34.5 now") == [("number", "0202 555 7788"), ("number", "(0303) 12-34.5")]
+    assert offered("id ab-12x4 of 555 12ab") == [("address", "ab-12x4"), ("token", "12ab"), ("number", "555")]
+    assert offered("jane.doe (at) mail dot org, joe at work dot com, me@localhost and look at me") == [
+        ("address", "jane.doe (at) mail dot org"), ("address", "joe at work dot com"), ("address", "me@localhost")]
+    assert offered("me@x.org 4111 1111 1111 1111 plain words, 1") == [("number", "1")]
+    for text in ("1" * 50_000, "a." * 50_000, "1 " * 50_000, "a@" * 30_000, "(" * 50_000, "é1" * 30_000, "a at " * 20_000, "+ " * 50_000):
+        spans = sorted((a, b) for _, a, b in [*pii._offered(text, []), *()])
+        assert all(x[1] <= y[0] for x, y in zip(spans, spans[1:]))
+
+
+def test_contexts_are_whole_words():
+    for gap in (1, 300):
+        text = "aaa " + "b" * 500 + " " * gap + "7788" + " " * gap + "c" * 500 + " d"
+        found = pii._Words(text).contexts(text.index("7"), text.index("7") + 4)
+        assert found == ["2 aaa " + "b" * 40, "1 " + "b" * 40 + " * " + "c" * 40]
+    text = "see tel:7788, then"
+    assert pii._Words(text).contexts(8, 12) == ["2 see tel:", "1 tel: * ,"]
+
+
+def test_spaced_numbers_and_addresses_without_digits(spark):
+    rows = [(i, f"Item {i}: please call us +1 202 555 {1000 + i} today or mail to user{i}@x{i}.org for more.") for i in range(30)]
+    rows += [(100, "So please call us 0202 555 7788 today."), (101, "or mail to jane.doe (at) mail dot org for more"),
+             (102, "or mail to 0202 555 7788 for"), (103, "please call us well-known today")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in pii.report(df).collect()}
+    assert got[100] == "phone:18:31" and got[101] == "email:11:37" and got[102] == got[103] == ""
+
+
 def test_pattern_scores_fall_with_what_they_also_hold(spark):
     found = [(i, "p", "phone", f"n{i}") for i in range(10)] + [(i, "q", "phone", f"n{i}") for i in range(10)] + [(50 + i, "q", None, f"u{i}") for i in range(10)]
     found += [(i, "mixed", "phone" if i % 2 else "card", f"m{i}") for i in range(10)]

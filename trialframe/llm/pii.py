@@ -5,8 +5,11 @@ written form. Their contexts, the two words before or the words on either side,
 lexical patterns. Spark scores the graph of patterns and instances in rounds: a
 pattern by the mean score of its distinct instances, base spans by one, another
 instance by the best other pattern that it stands in. A pattern that is confident enough, for one
-kind, on enough distinct known instances and documents, discovers other tokens that
-hold a digit in its place, as spans of its kind.
+kind, on enough distinct known instances and documents, discovers other candidates
+in its place, as spans of its kind. Candidates are, in this order and without overlap, addresses
+(names joined by dots and the like, or by a sign or the word for it, with or without a
+digit; e-mail only), tokens of letters and digits (any kind), and numbers (digit groups
+joined by blanks, dots, hyphens or brackets; any kind but e-mail). They may have any length.
 
 Places count code points, the end not included. Base spans always stay, and a
 discovered one never overlaps a base span. NULL and empty texts have no spans. Rows
@@ -16,6 +19,9 @@ that agree in id and text are one document; each gets its spans.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterator
+from itertools import accumulate
 
 from pyspark.sql import DataFrame, functions as F, types as T
 
@@ -38,6 +44,17 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 _TOKEN = re.compile(r"[^\s\"'=:,;<>()\[\]{}]*[0-9][^\s\"'=:,;<>()\[\]{}]*")
+_LETTER = re.compile(r"[^\W\d_]")
+_NUMBER = re.compile(r"(?<![^\W_])(?:\+ ?)?\(?[0-9]++(?![^\W\d_])(?:[ ().-]{1,3}[0-9]++(?![^\W\d_]))*+")
+_AT = r"@|[ ]?[(\[{<][ ]?(?:at|AT)[ ]?[)\]}>][ ]?"
+_DOT = r"\.|[ ]?[(\[{<][ ]?(?:dot|DOT)[ ]?[)\]}>][ ]?|[ ](?:dot|DOT)[ ]"
+_NAME = r"[A-Za-z0-9][A-Za-z0-9._%+-]*+"
+_ADDRESS = re.compile(
+    rf"(?<![A-Za-z0-9._%+@-])(?:{_NAME}(?:(?:{_AT})[A-Za-z0-9-]++(?:(?:{_DOT})[A-Za-z0-9-]++)*+"
+    rf"|[ ](?:at|AT)[ ][A-Za-z0-9-]++(?:(?:{_DOT})[A-Za-z0-9-]++)++)"
+    r"|[A-Za-z][A-Za-z0-9]*+(?:[._%+-]++[A-Za-z0-9]++)++)"
+)
+_WORDS = re.compile(r"\S+")
 _DIGITS = frozenset("0123456789")
 
 Span = tuple[str, int, int]
@@ -89,48 +106,76 @@ def base_spans(text: str | None) -> list[Span]:
     return out
 
 
-def _word(text: str) -> str:
-    return re.sub(r"[0-9]+", "0", text.lower())[-40:]
+def _word(text: str, start: int, end: int) -> str:
+    """A word as patterns hold it: its last characters, with every number as 0."""
+    return re.sub(r"[0-9]+", "0", text[max(start, end - 200) : end].lower())[-40:]
 
 
-def _contexts(text: str, start: int, end: int) -> list[str]:
-    """Patterns around a span: the two words before, and the words on either side."""
-    before = text[max(0, start - 120) : start].split()
-    after = text[end : end + 80].split()
-    left = [_word(w) for w in before[-2:]]
-    out = []
-    if len(left) == 2:
-        out.append(f"2 {left[0]} {left[1]}")
-    if left and after:
-        out.append(f"1 {left[-1]} * {_word(after[0])}")
-    return out
+class _Words:
+    """The words of a text, to find those around a span whatever their length."""
 
+    def __init__(self, text: str) -> None:
+        self.text = text
+        self.spans = [m.span() for m in _WORDS.finditer(text)]
+        self.starts = [a for a, _ in self.spans]
 
-def candidates(text: str | None, spans: list[Span]) -> list[tuple[str, str | None, int, int, str]]:
-    """(pattern, kind or None, start, end, instance) of base spans and of other tokens with a digit."""
-    if not text:
-        return []
-    out = []
-    taken = sorted((s, e) for _, s, e in spans)
-    for kind, start, end in spans:
-        out += [(p, kind, start, end, text[start:end]) for p in _contexts(text, start, end)]
+    def contexts(self, start: int, end: int) -> list[str]:
+        """Patterns around a span: the two words before, and the words on either side."""
+        n = bisect_left(self.starts, start)
+        left = [_word(self.text, a, min(b, start)) for a, b in self.spans[max(0, n - 2) : n]]
+        n = max(0, bisect_right(self.starts, end) - 1)
+        after = [_word(self.text, max(a, end), b) for a, b in self.spans[n : n + 2] if b > end][:1]
+        out = []
+        if len(left) == 2:
+            out.append(f"2 {left[0]} {left[1]}")
+        if left and after:
+            out.append(f"1 {left[-1]} * {after[0]}")
+        return out
+
+
+def _offered(text: str, spans: list[Span]) -> Iterator[tuple[str, int, int]]:
+    """(form, start, end) of what may be discovered, clear of the base spans and of each other."""
+    found = [("address", *m.span()) for m in _ADDRESS.finditer(text) if _LETTER.search(m[0])]
     if _DIGIT.search(text):
-        at = 0
         for m in _TOKEN.finditer(text):
-            start, end = m.start(), m.end()
+            start, end = m.span()
             while end > start and text[end - 1] in ".!?*#%&$|":
                 end -= 1
-            while at < len(taken) and taken[at][1] <= start:
-                at += 1
-            if end - start < 4 or end - start > 128 or (at < len(taken) and taken[at][0] < end):
-                continue
-            out += [(p, None, start, end, text[start:end]) for p in _contexts(text, start, end)]
-    return out
+            if _LETTER.search(text, start, end):
+                found.append(("token", start, end))
+        found += [("number", *m.span()) for m in _NUMBER.finditer(text)]
+    taken = sorted((s, e) for _, s, e in spans)
+    for form in ("address", "token", "number"):
+        at, free = 0, []
+        reach = list(accumulate((e for _, e in taken), max))
+        starts = [s for s, _ in taken]
+        for what, start, end in found:
+            if what == form:
+                at = bisect_left(starts, end)
+                if not at or reach[at - 1] <= start:
+                    free.append((start, end))
+                    yield form, start, end
+        taken = sorted(taken + free)
+
+
+def candidates(text: str | None, spans: list[Span]) -> list[tuple[str, str | None, str | None, int, int, str]]:
+    """(pattern, kind or None, form or None, start, end, instance) of base spans and of what may be discovered."""
+    if not text:
+        return []
+    offered = [(None, form, start, end) for form, start, end in _offered(text, spans)]
+    every = [(kind, None, start, end) for kind, start, end in spans] + offered
+    if not every:
+        return []
+    words = _Words(text)
+    return [
+        (p, kind, form, start, end, text[start:end])
+        for kind, form, start, end in every for p in words.contexts(start, end)
+    ]
 
 
 _SPAN = T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
 _CANDIDATE = T.StructType([
-    T.StructField("pattern", T.StringType()), T.StructField("kind", T.StringType()),
+    T.StructField("pattern", T.StringType()), T.StructField("kind", T.StringType()), T.StructField("form", T.StringType()),
     T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("instance", T.StringType()),
 ])
 
@@ -189,6 +234,7 @@ def all_spans(documents: DataFrame, **options) -> DataFrame:
     patterns = confident_patterns(found.select("doc", "pattern", "kind", "instance"), **options)
     new = (
         found.where("kind is null").drop("kind").join(patterns, "pattern")
+        .where("form = 'token' or (form = 'address') = (kind = 'email')")
         .groupBy(F.col("doc.doc_id").alias("__id"), F.col("doc.__h").alias("__kh"), "start", "end").agg(F.min("kind").alias("kind"))
         .groupBy("__id", "__kh").agg(F.collect_list(F.struct("kind", "start", "end")).alias("more"))
     )
