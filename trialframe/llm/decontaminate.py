@@ -5,7 +5,8 @@ q-gram lemma a region within ``k`` edits of an item of length ``m`` shares at le
 ``m - q + 1 - k q`` of its q-grams, all on diagonals that lie within ``k`` of each
 other. So shared q-grams are counted in diagonal bands of width ``2 (k + 1)`` that
 overlap by half; every such region lies in one of them. Bands with enough are
-retained and verified by alignment in a band around them.
+retained and verified by alignment in a band around them, where enough places of the
+item take part too.
 
 The edit budget of an item is ``rate`` times its length, less where the lemma would
 leave fewer than ``MIN_SHARED`` shared q-grams. An item under ``min_chars`` characters is
@@ -98,6 +99,7 @@ class Index:
         self.grams, start = np.unique(flat[run], return_index=True)
         self.start = np.append(start, len(run))
         self.shift = np.uint64(64 - max(16, int(len(self.grams)).bit_length() + 5))
+        self.ranked: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         self.bitmap = np.zeros(1 << (64 - int(self.shift)), bool)
         self.bitmap[self._slot(self.grams)] = True
 
@@ -168,6 +170,24 @@ class Index:
             yield doc, j, band * step - int(origin[doc])
 
 
+    def shared(self, j: int, window: np.ndarray, low: int, high: int) -> int:
+        """Places of item j whose q-gram the window holds on diagonals low to high."""
+        if j not in self.ranked:
+            self.ranked[j] = np.unique(gram_hashes(_codes(self.texts[j]), self.q), return_inverse=True)
+        grams, rank = self.ranked[j]
+        hashed = gram_hashes(window, self.q)
+        found = np.minimum(np.searchsorted(grams, hashed), len(grams) - 1)
+        place = np.flatnonzero(grams[found] == hashed)
+        # one number for q-gram and place, with room for places outside of the window
+        room = len(window) + 2 * len(rank) + 2 * (high - low) + 2
+        key = np.sort(found[place] * room + place)
+        at = np.arange(len(rank))
+        least = rank * room + np.maximum(at + low, 0)
+        first = np.searchsorted(key, least)
+        key = np.append(key, np.iinfo(np.int64).max)
+        return int(np.count_nonzero((at + high >= 0) & (key[first] <= rank * room + at + high)))
+
+
 class Short:
     """Items too short for the lemma, found exactly where no letter or digit adjoins them."""
 
@@ -252,6 +272,9 @@ def matches(index: Index, texts: list[str]) -> list[list[tuple[int, int, int, in
             if j not in needles:
                 needles[j] = _codes(index.texts[j])
             part = codes[starts[d] + begin : starts[d] + end]
+            # the band was retained by places of the text; places of the item bind as well
+            if index.shared(j, part, low - begin, high - begin) < index.needed[j]:
+                continue
             hit = align(needles[j], part, low - k - begin, high + k - begin, k)
             if hit is None:
                 continue
