@@ -295,6 +295,56 @@ def test_partitioning_changes_no_permutation(spark, rda):
     np.testing.assert_allclose(result(df.withColumn("all", F.lit("x")), strata="all"), whole)
 
 
+def test_no_row_of_a_permutation_is_sent(spark, rda, monkeypatch):
+    """More predictors than responses: the rows in all permutations are the narrower side, and looked small to a join."""
+    fit, df, _, _ = rda
+    plans = []
+
+    def kept(df, label, stored=permute.stored):
+        plans.append((label, df._jdf.queryExecution().optimizedPlan().toString()))
+        return stored(df, label)
+
+    monkeypatch.setattr(permute, "stored", kept)
+    assert permute.permuted_sums(fit, df, ["id"], 50, 3).count() == 50
+    (plan,) = [p for label, p in plans if label == "sums"]
+    assert "Join" not in plan and "placed" not in plan and "pos#" not in plan
+
+
+@pytest.mark.parametrize("strata", [None, "half"])
+@pytest.mark.parametrize("held, group, work", [(2**24, 2**18, 2**28), (4 * 15, 11, 40)])
+def test_sums_of_small_cells_equal_those_over_placed_rows(spark, rda, monkeypatch, strata, held, group, work):
+    fit, df, _, _ = rda
+    df = df.withColumn("half", F.expr("CASE WHEN id % 4 > 0 THEN id % 4 > 1 END"))
+    draws = 6
+    for name, value in (("_HELD", held), ("_GROUP", group), ("_WORK", work)):
+        monkeypatch.setattr(permute, name, value)
+    got = permute.permuted_sums(fit, df, ["id"], draws, 3, strata, with_predictors=True).orderBy("b").toPandas()
+    assert list(got.b) == list(range(1, draws + 1))
+    q, m = len(fit.terms), len(fit.responses)
+    rows = df.withColumns({"rid": permute.row_key(["id"]), "st": F.lit("") if strata is None else permute.row_key([strata])})
+    rows = fit.whitened(rows, ["st", "rid"]).toPandas().sort_values(["st", "rid"], ignore_index=True)
+    start = rows.groupby("st").st.transform(lambda s: s.index[0]).astype("int64")
+    sized = pd.DataFrame({"start": start, "size": rows.groupby("st").st.transform("size").astype("int64"), "number": rows.index})
+    places = permute._with_radices(spark.createDataFrame(sized)).withColumn("b", F.explode(F.expr(f"sequence(1, {draws})")))
+    places = permute.placed(places, draws, 3).toPandas()
+    z, y = rows[[f"z{j}" for j in range(q)]].to_numpy(), rows[[f"y{i}" for i in range(m)]].to_numpy()
+    for row in got.to_dict("records"):
+        at = places[places.b == row["b"]].sort_values("number").pos.to_numpy()
+        want = np.concatenate([(z[at].T @ y).ravel(), (z[at].T @ z).ravel()])
+        np.testing.assert_allclose([v for k, v in row.items() if k != "b"], want, atol=1e-9)
+
+
+def test_looked_up_turns_equal_the_rounds():
+    for start, size, wide, tall in [(0, 1, 1, 1), (5, 1000, 40, 25), (3, 9973, 141, 71), (0, 7, 3, 3)]:
+        number = np.arange(size) + start
+        one, key = np.ones(size, np.int64), permute._key(4, 9)[None]
+        got = permute._moved(number, start * one, size * one, wide * one, tall * one, key) - start
+        x = permute._once(number - start, key, start, wide, tall)
+        while (out := x >= size).any():
+            x[out] = permute._once(x[out], key, start, wide, tall)
+        assert (got == x).all() and sorted(got) == list(range(size))
+
+
 @pytest.mark.parametrize("sizes", [[1, 2, 3, 5, 40], [7, 1031], [4, 4, 4, 4]])
 def test_places_are_a_permutation_of_each_stratum(spark, sizes):
     groups = spark.createDataFrame(
