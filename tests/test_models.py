@@ -295,9 +295,11 @@ def test_partitioning_changes_no_permutation(spark, rda):
     np.testing.assert_allclose(result(df.withColumn("all", F.lit("x")), strata="all"), whole)
 
 
-def test_no_row_of_a_permutation_is_sent(spark, rda, monkeypatch):
+@pytest.mark.parametrize("strata", [None, "half"])
+def test_no_row_of_a_permutation_is_sent(spark, rda, monkeypatch, strata):
     """More predictors than responses: the rows in all permutations are the narrower side, and looked small to a join."""
     fit, df, _, _ = rda
+    df = df.withColumn("half", F.col("id") % 2)
     plans = []
 
     def kept(df, label, stored=permute.stored):
@@ -305,9 +307,9 @@ def test_no_row_of_a_permutation_is_sent(spark, rda, monkeypatch):
         return stored(df, label)
 
     monkeypatch.setattr(permute, "stored", kept)
-    assert permute.permuted_sums(fit, df, ["id"], 50, 3).count() == 50
+    assert permute.permuted_sums(fit, df, ["id"], 50, 3, strata).count() == 50
     (plan,) = [p for label, p in plans if label == "sums"]
-    assert "Join" not in plan and "placed" not in plan and "pos#" not in plan
+    assert "Join Inner" not in plan and "pos#" not in plan  # with strata, the rows meet their strata's sizes
 
 
 @pytest.mark.parametrize("strata", [None, "half"])
