@@ -51,6 +51,22 @@ def test_query_and_edges(spark):
     assert bpe.digests(df.limit(0), PATH, PATTERN).count() == 0
 
 
+def test_digests_in_one_python_step(spark):
+    """More steps would be as many workers for each task, each with a tokenizer."""
+    df = spark.createDataFrame([(1, "two words")], "doc_id long, text string")
+    plan = bpe.digests(df, PATH, PATTERN)._jdf.queryExecution().executedPlan().toString()
+    assert sum(plan.count(step) for step in ("MapInArrow", "MapInPandas", "EvalPython")) == 1
+
+
+def test_steps_apart_agree_with_the_digests(spark):
+    rows = [(1, "two  words\n"), (1, "two  words\n"), (2, None), (None, ""), (3, "é🙂 " * 30_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    apart = bpe.decode(bpe.encode(df, PATH, PATTERN), PATH, PATTERN)
+    apart = {(r.doc_id, tuple(r.token_ids), r.ids, hashlib.sha256(r.decoded).hexdigest())
+             for r in apart.withColumn("ids", bpe.ids_sha256("token_ids")).collect()}
+    assert {(r.doc_id, tuple(r.token_ids), r.ids_sha256, r.decoded_sha256) for r in bpe.digests(df, PATH, PATTERN).collect()} == apart
+
+
 def test_whole_table(spark):
     folder = "/root/testdata/sf0.001"
     texts = {r.doc_id: r.text for r in table(spark, folder, "documents").collect()}

@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, types as T
 from pyspark.sql.functions import pandas_udf
 
 from .arrow import append_columns
@@ -94,6 +94,15 @@ def encode_text(enc, text: str | None) -> np.ndarray:
     ])
 
 
+def _lists(rows: list[np.ndarray]):
+    """The ids of several texts as one Arrow array of lists."""
+    import pyarrow as pa
+
+    ends = np.cumsum([0, *map(len, rows)])
+    flat = np.concatenate(rows) if rows else np.empty(0, np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
+
+
 def encode(
     df: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "token_ids",
     keep: list[str] | None = None,
@@ -103,16 +112,7 @@ def encode(
 
     def make():
         enc = encoding(ranks, pattern)
-
-        def work(texts):
-            import pyarrow as pa
-
-            rows = [encode_text(enc, t) for t in texts]
-            ends = np.cumsum([0, *map(len, rows)])
-            flat = np.concatenate(rows) if rows else np.empty(0, np.int32)
-            return [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))]
-
-        return work
+        return lambda texts: [_lists([encode_text(enc, t) for t in texts])]
 
     return append_columns(df, [text], [T.StructField(ids, T.ArrayType(T.IntegerType()))], make, keep)
 
@@ -131,18 +131,36 @@ def decode(
     return append_columns(df, [ids], [T.StructField(out, T.BinaryType())], make, keep)
 
 
+def _sha256(ids: np.ndarray) -> str:
+    return hashlib.sha256(np.asarray(ids, "<u4").tobytes()).hexdigest()
+
+
 @pandas_udf(T.StringType())
 def ids_sha256(rows: pd.Series) -> pd.Series:
     """SHA-256 of ids as little-endian unsigned 32-bit integers."""
-    return rows.map(lambda r: hashlib.sha256(np.asarray(r, "<u4").tobytes()).hexdigest())
+    return rows.map(_sha256)
 
 
 def digests(documents: DataFrame, path: str, pattern: str) -> DataFrame:
-    """Per document: ids, their number, and digests of the ids and of the decoded bytes."""
-    coded = encode(documents, path, pattern, keep=["doc_id"])
-    back = decode(coded, path, pattern)
-    return back.select(
-        "doc_id", F.size("token_ids").cast("long").alias("n_tokens"),
-        ids_sha256("token_ids").alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
-        "token_ids",
-    )
+    """Per document: ids, their number, and digests of the ids and of the decoded bytes.
+
+    One Python step does it all: with one for each of ``encode``, ``decode`` and ``ids_sha256`` a task
+    would hold three workers, two of them with a tokenizer, and workers stay with their executor.
+    """
+    ranks = read_ranks(path)
+
+    def make():
+        enc = encoding(ranks, pattern)
+
+        def work(texts):
+            rows = [encode_text(enc, t) for t in texts]
+            decoded = [hashlib.sha256(enc.decode_bytes(r.tolist())).hexdigest() for r in rows]
+            return [list(map(len, rows)), list(map(_sha256, rows)), decoded, _lists(rows)]
+
+        return work
+
+    new = [
+        T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()),
+        T.StructField("decoded_sha256", T.StringType()), T.StructField("token_ids", T.ArrayType(T.IntegerType())),
+    ]
+    return append_columns(documents, ["text"], new, make, ["doc_id"])
